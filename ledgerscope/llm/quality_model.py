@@ -42,13 +42,15 @@ _CLASS = _classes()
 
 
 def _features(w: Words, a: int, b: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Of words a to b: the row of the word, of its last three bytes, and of its shape (classes of three bytes and length)."""
+    """Of words a to b: the row of the word, of its last three bytes, and of its shape (classes of three bytes, length, whether it repeats)."""
     s, n = w.starts[a:b], w.lens[a:b]
     last = s + n - 1
     x, y, z = (w.data[np.maximum(last - k, s)].astype(np.int64) for k in (0, 1, 2))
     end = ((x * 257 + y) * 257 + z) * 2654435761 >> 7 & END_ROWS - 1
     second = w.data[np.minimum(s + 1, last)]
-    shape = ((_CLASS[w.data[s]] * 7 + _CLASS[second]) * 7 + _CLASS[x]) * 8 + np.minimum(n // 3, 7)
+    again = np.zeros(b - a, np.int64)  # the word before it, of this piece, is the same
+    again[1:] = w.hashes[a + 1 : b] == w.hashes[a : b - 1]
+    shape = (((_CLASS[w.data[s]] * 7 + _CLASS[second]) * 7 + _CLASS[x]) * 4 + np.minimum(n // 4, 3)) * 2 + again
     return (w.hashes[a:b] & np.uint64(WORD_ROWS - 1)).astype(np.int64), end, shape
 
 

@@ -7,7 +7,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ledgerscope.llm.text import SPACE, SPACE_CLASS
+from ledgerscope.llm.text import SPACE_CLASS
 
 SYMBOLS = "#*$%&|<>"
 
@@ -42,45 +42,59 @@ RULES = (
 )
 
 
+#: Texts of up to so many words sort their windows as single longs, the place in the low bits and 48 bits of hash or more.
+SHORT = 1 << 16
+
+
 def _measures(text: Column, stop_words: list[str]) -> list[tuple[str, Column]]:
     """Columns in the order in which they are made; each may use those before it."""
-    w, n = F.col("__w"), F.col("n_words")
-    third = F.transform(
-        F.sequence(F.lit(1), F.size("__w") - 2),
-        lambda i: F.struct(F.xxhash64(F.element_at(w, i), F.element_at(w, i + 1), F.element_at(w, i + 2)).alias("h"), i.alias("i")),
-    )
-    s, last = F.col("__s"), F.size("__s")
-    same = F.filter(
-        F.transform(
-            s,
-            lambda x, k: F.when(
-                ((k > 0) & (F.get(s, k - 1)["h"] == x["h"])) | ((k + 1 < last) & (F.get(s, k + 1)["h"] == x["h"])), x["i"]
-            ),
-        ),
-        lambda x: x.isNotNull(),
+    w, n = F.col("__w"), F.size("__w")
+    none = F.array().cast("array<bigint>")
+    # a window begins at every word but the last two
+    hashes = F.transform(F.slice(w, 1, F.greatest(n - 2, F.lit(0))), lambda x, i: F.xxhash64(x, F.get(w, i + 1), F.get(w, i + 2)))
+    h, any_twice = F.col("__h"), F.col("__twice")
+    high = F.col("__high")
+    packed = F.sort_array(F.transform(h, lambda x, i: x.bitwiseAND(high).bitwiseOR(i.cast("long"))))
+    s = F.col("__s")
+    near = lambda x, y: F.coalesce(x.bitwiseAND(high) == y.bitwiseAND(high), F.lit(False))
+    short = F.transform(
+        F.filter(s, lambda x, k: near(x, F.get(s, k + 1)) | near(x, F.get(s, k - 1))), lambda x: x.bitwiseAND(F.bitwise_not(high))
     )
+    pairs = F.col("__p")
+    same = lambda x, y: F.coalesce(x["h"] == y["h"], F.lit(False))
+    long_ = F.transform(F.filter(pairs, lambda x, k: same(x, F.get(pairs, k + 1)) | same(x, F.get(pairs, k - 1))), lambda x: x["i"])
     r = F.col("__r")
     # a window at i covers i, i + 1 and i + 2; what the next window covers is left to it
     covered = F.aggregate(
-        F.transform(r, lambda x, k: F.least(F.lit(3), F.coalesce(F.get(r, k + 1) - x, F.lit(3)))), F.lit(0), lambda a, x: a + x.cast("int")
+        F.transform(r, lambda x, k: F.least(F.lit(3).cast("long"), F.coalesce(F.get(r, k + 1) - x, F.lit(3).cast("long")))), F.lit(0).cast("long"), lambda a, x: a + x
     )
     lines = F.filter(F.split(text, "\n", -1), lambda x: x.rlike(r"[^\x20\x09-\x0D]"))
+    stops = sorted({v for x in stop_words for v in (x, x.capitalize(), x.upper())})
     return [
         ("__w", F.filter(F.split(text, SPACE_CLASS + "+", -1), lambda x: x != "")),
-        ("n_words", F.size("__w").cast("long")),
-        ("__s", F.when(n >= 4, F.sort_array(third)).otherwise(F.array().cast("array<struct<h:bigint,i:int>>"))),
-        ("__r", F.sort_array(same)),
-        ("n_repeat_words", F.coalesce(covered, F.lit(0)).cast("long")),
-        ("word_chars", F.length(F.translate(text, SPACE, "")).cast("long")),
-        ("n_symbols", (F.length(text) - F.length(F.translate(text, SYMBOLS, ""))).cast("long")),
+        ("n_words", n.cast("long")),
+        ("__h", hashes),
+        ("__twice", F.size(F.array_distinct("__h")) < F.size("__h")),
+        ("__high", F.call_function("shiftleft", F.lit(-1).cast("long"), F.ceil(F.log2(F.greatest(n, F.lit(2)).cast("double"))).cast("int"))),
+        ("__s", F.when(any_twice & (n <= SHORT), packed).otherwise(none)),
+        (
+            "__p",
+            F.when(any_twice & (n > SHORT), F.sort_array(F.transform(h, lambda x, i: F.struct(x.alias("h"), i.cast("long").alias("i"))))).otherwise(
+                F.array().cast("array<struct<h:bigint,i:bigint>>")
+            ),
+        ),
+        ("__r", F.sort_array(F.when(n <= SHORT, short).otherwise(long_))),
+        ("n_repeat_words", F.when(any_twice, covered).otherwise(F.lit(0).cast("long"))),
+        ("word_chars", F.length(F.array_join(w, "")).cast("long")),
+        ("n_symbols", F.regexp_count(text, F.lit("[" + SYMBOLS + "]")).cast("long")),
         ("__l", lines),
         ("n_dup_lines", (F.size("__l") - F.size(F.array_distinct("__l"))).cast("long")),
-        ("__stop", F.size(F.filter(w, lambda x: F.lower(x).isin(stop_words)))),
-        ("__upper", F.length(F.regexp_replace(text, r"[^A-Z]", ""))),
-        ("repeat_ratio", F.try_divide(F.col("n_repeat_words"), n)),
+        ("__stop", F.size(F.filter(w, lambda x: x.isin(stops)))),
+        ("__upper", F.regexp_count(text, F.lit("[A-Z]"))),
+        ("repeat_ratio", F.try_divide(F.col("n_repeat_words"), F.col("n_words"))),
         ("symbol_ratio", F.try_divide(F.col("n_symbols"), F.col("word_chars"))),
-        ("mean_word_chars", F.try_divide(F.col("word_chars"), n)),
-        ("stop_ratio", F.try_divide(F.col("__stop"), n)),
+        ("mean_word_chars", F.try_divide(F.col("word_chars"), F.col("n_words"))),
+        ("stop_ratio", F.try_divide(F.col("__stop"), F.col("n_words"))),
         ("dup_line_ratio", F.try_divide(F.col("n_dup_lines"), F.size("__l"))),
         ("upper_ratio", F.try_divide(F.col("__upper"), F.col("word_chars"))),
     ]

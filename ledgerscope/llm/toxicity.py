@@ -102,7 +102,7 @@ class Lexicon:
         return sum(found.values()), len(found), folded.count(" ")
 
 
-def score(total: float, words: int, half: float = 4.0) -> float:
+def score(total: float, words: int, half: float = 10.0) -> float:
     """0 to 1. A hit of weight ``half`` in a text of up to 400 words scores one half; longer texts need more, by the square root of their length."""
     return 1 - 2.0 ** -(total / (half * max(1.0, math.sqrt(words / 400))))
 
@@ -115,7 +115,7 @@ def learn_lexicon(
 
     At most ``max_rows`` labelled rows are used, in the order of a hash of their id. A weight is the log ratio of the
     entry's document shares in labelled-toxic and other rows, smoothed by one; only entries of at least ``least`` toxic
-    documents with a ratio above 20 are kept, and of these at most ``max_entries``. The counts are summed by Spark.
+    documents, with a ratio above 20 that chance would not give any entry, are kept, and of these at most ``max_entries``. The counts are summed by Spark.
     """
     known = labels.filter(F.col(label).isNotNull()).groupBy(id).agg(F.max(label).cast("int").alias("__y"))
     known = known.orderBy(F.xxhash64(F.col(id)), F.col(id)).limit(max_rows)
@@ -136,12 +136,19 @@ def learn_lexicon(
         F.sum(F.when(F.col("y") == 1, F.col("n")).otherwise(0)).alias("bad"), F.sum(F.when(F.col("y") == 0, F.col("n")).otherwise(0)).alias("good")
     )
     counts = counts.cache()
-    total = counts.filter("entry = ''").collect()
-    bad, good = (total[0]["bad"], total[0]["good"]) if total else (0, 0)
+    total = counts.agg(
+        F.max(F.when(F.col("entry") == "", F.col("bad"))), F.max(F.when(F.col("entry") == "", F.col("good"))), F.count_if(F.col("bad") >= least)
+    ).collect()[0]
+    bad, good, tests = total[0] or 0, total[1] or 0, max(total[2] or 0, 1)
     weights = {f" {w} ": 6.0 for w in SEED_WORDS}
     if bad and good:
+        share = bad / (bad + good)
+        n = F.col("bad") + F.col("good")
         ratio = F.log((F.col("bad") + 1) / F.lit(float(bad))) - F.log((F.col("good") + 1) / F.lit(float(good)))
-        top = counts.filter((F.col("entry") != "") & (F.col("bad") >= least)).withColumn("w", ratio).filter(F.col("w") > math.log(20))
+        # Chernoff's bound on so many toxic documents by chance, over all entries tested
+        sure = F.col("bad") * F.log(F.col("bad") / n / share) + F.when(F.col("good") > 0, F.col("good") * F.log(F.col("good") / n / (1 - share))).otherwise(0.0)
+        top = counts.filter((F.col("entry") != "") & (F.col("bad") >= least)).withColumn("w", ratio)
+        top = top.filter((F.col("w") > math.log(20)) & (sure > math.log(tests) + 4.6))
         for r in top.orderBy(F.desc("w"), "entry").limit(max_entries).collect():
             weights[r["entry"]] = max(weights.get(r["entry"], 0.0), r["w"])
     counts.unpersist()
