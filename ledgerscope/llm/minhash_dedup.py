@@ -146,14 +146,68 @@ def _confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return x.select("a", "b", "sa", "sb").mapInArrow(run, f"a {kind}, b {kind}")
 
 
+#: Set sizes are classed by this ratio when prefixes are joined.
+_CLASS = 1.03
+
+
+def _prefix_pairs(sets: DataFrame, percent: int) -> DataFrame:
+    """Pairs (a, b) of different components that can reach the threshold, from (rep, s, comp).
+
+    With every set in one order, rare shingles first, a pair that is linked has its first common shingle early in both:
+    at most as far in as leaves the overlap that the threshold asks for. So each set is entered under that many shingles
+    and no more, by its own size class and by those of the smaller sets it can be linked with. Members of a large group
+    that are too far apart to be linked differ in rare shingles first, and so never meet.
+    """
+
+    def shingles(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            s = [np.frombuffer(x.as_buffer(), np.int64) for x in b.column("s")]
+            n = [len(x) for x in s]
+            row = pa.array(np.repeat(np.arange(len(n)), n), pa.int64())
+            flat = pa.array(np.concatenate(s) if s else np.zeros(0, np.int64), pa.int64())
+            yield pa.RecordBatch.from_arrays([b.column("rep").take(row), b.column("comp").take(row), pa.array(np.repeat(n, n), pa.int64()), flat], ["rep", "comp", "n", "h"])
+
+    kind = sets.schema["rep"].dataType.simpleString()
+    rows = stored(sets.select("rep", "comp", "s").mapInArrow(shingles, f"rep {kind}, comp {kind}, n long, h long"), "shingles")
+    df = rows.groupBy("h").agg(F.count("*").alias("df"))
+    ordered = rows.join(df, "h").groupBy("rep", "comp", "n").agg(F.sort_array(F.collect_list(F.struct("df", "h"))).alias("s"))
+    need = lambda n, m: F.ceil((n + m) * percent / (100 + percent))
+    step = float(np.log(_CLASS))
+    size_class = lambda n: F.floor(F.log(n.cast("double")) / step)
+    n = F.col("n")
+    least = F.ceil(n * percent / 100)
+    own = F.struct(size_class(n).alias("c"), F.lit(True).alias("own"), (n - need(n, n)).alias("last"))
+    smaller = F.transform(
+        F.sequence(size_class(least), size_class(n)),
+        lambda c: F.struct(c.alias("c"), F.lit(False).alias("own"), (n - need(n, F.greatest(least, F.floor(F.exp(c * step))))).alias("last")),
+    )
+    entries = ordered.select("rep", "comp", "n", "s", F.explode(F.concat(F.array(own), smaller)).alias("e")).filter("e.last >= 0")
+    entries = entries.select("rep", "comp", "n", "e.c", "e.own", F.posexplode(F.slice("s", F.lit(1), (F.col("e.last") + 1).cast("int"))).alias("at", "x"))
+    entries = stored(entries.filter("x.df > 1").select("rep", "comp", "n", "c", "own", "at", F.col("x.h").alias("h")), "entries")
+    # the component with most entries under a key need not be joined with itself
+    most = entries.groupBy("h", "c", "comp").agg(F.count("*").alias("k")).groupBy("h", "c")
+    most = most.agg(F.max_by("comp", F.struct("k", "comp")).alias("main"), F.count("*").alias("comps")).filter("comps > 1")
+    entries = entries.join(most, ["h", "c"]).withColumn("is_main", F.col("comp") == F.col("main"))
+    x = entries.filter("own").select("h", "c", F.col("rep").alias("r1"), F.col("comp").alias("c1"), F.col("n").alias("n1"), F.col("at").alias("p1"), F.col("is_main").alias("m1"))
+    y = entries.filter("NOT own").select("h", "c", F.col("rep").alias("r2"), F.col("comp").alias("c2"), F.col("n").alias("n2"), F.col("at").alias("p2"), F.col("is_main").alias("m2"))
+    fits = (
+        (F.col("c1") != F.col("c2"))
+        & ((F.col("n1") < F.col("n2")) | ((F.col("n1") == F.col("n2")) & (F.col("r1") < F.col("r2"))))
+        & (F.least(F.col("n1") - F.col("p1"), F.col("n2") - F.col("p2")) >= need(F.col("n1"), F.col("n2")))
+    )
+    met = x.filter("NOT m1").join(y, ["h", "c"]).filter(fits).unionByName(x.filter("m1").join(y.filter("NOT m2"), ["h", "c"]).filter(fits))
+    return met.select(F.greatest("r1", "r2").alias("a"), F.least("r1", "r2").alias("b")).distinct()
+
+
 def near_duplicates(docs: DataFrame, id: str = "doc_id", text: str = "text", shingle: int = 5, percent: int = 80) -> DataFrame:
     """Per row: doc_id, n_shingles, component_id (the least doc_id reachable by links), kept (doc_id = component_id).
 
     Documents are linked when the sets of their lower-cased (A-Z) word shingles have a Jaccard similarity of at least
     ``percent`` hundredths. Equal sets are one class and travel as its least doc_id. In every band bucket two leaders
     are compared with all members, which joins large groups with work in proportion to their size; the second round
-    then tests every remaining candidate pair of a bucket whose members are not yet in one component, so nothing is
-    left untested. A text with fewer words than a shingle is one shingle; null and empty texts have none and stay
+    then tests the remaining pairs among the members of buckets that are not yet in one component, so nothing is
+    left untested; there, rare-first prefixes of the sets choose the pairs, so that a group's members that are too far apart
+    are never paired. A text with fewer words than a shingle is one shingle; null and empty texts have none and stay
     alone. A null id has no component and is kept. Rows that repeat an id share its component.
     """
     sigs = stored(signatures(docs, shingle, id, text), "signatures")
@@ -171,11 +225,9 @@ def near_duplicates(docs: DataFrame, id: str = "doc_id", text: str = "text", shi
     labels = components(links)
     placed = buckets.select("band", "rep").join(labels.withColumnRenamed("node", "rep"), "rep", "left")
     placed = placed.select("band", "rep", F.coalesce("component", "rep").alias("comp"))
-    by_comp = placed.groupBy("band", "comp").agg(F.count("*").alias("c"))
-    main = by_comp.groupBy("band").agg(F.max_by("comp", F.struct("c", "comp")).alias("main"), F.count("*").alias("comps")).filter("comps > 1")
-    open_ = stored(placed.join(main, "band").select("band", "rep", "comp", (F.col("comp") == F.col("main")).alias("is_main")), "open")
-    other = open_.filter("NOT is_main").select("band", F.col("rep").alias("r2"), F.col("comp").alias("c2"))
-    pairs = open_.join(other, "band").filter("comp <> c2").select(F.greatest("rep", "r2").alias("a"), F.least("rep", "r2").alias("b")).distinct()
+    open_ = placed.groupBy("band").agg(F.min("comp").alias("x"), F.max("comp").alias("y")).filter("x <> y").select("band")
+    open_ = stored(placed.join(open_, "band", "left_semi").select("rep", "comp").distinct(), "open")
+    pairs = _prefix_pairs(sets.join(open_, "rep"), percent)
     more = stored(_confirmed(_likely(pairs, reps, percent).join(tried, ["a", "b"], "left_anti"), sets, percent), "links")
     labels = components(links.unionByName(more))
     by_class = classes.join(labels.withColumnRenamed("node", "rep"), "rep", "left").select("k1", "k2", F.col("n").alias("m"), F.coalesce("component", "rep").alias("comp"))
