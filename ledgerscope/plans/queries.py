@@ -267,7 +267,7 @@ def ls47_dropped_counts(spark, sf):
     return ledger.dropped_counts(ledger.drop_implausible(t), t.select("asset_uid").distinct())
 
 
-@query("""SELECT l_orderkey AS block, strftime(max(block_time), '%Y-%m-%d') AS latest, count(*) AS n FROM t WHERE (l_orderkey * 8 + l_linenumber) % 7 <> 0 GROUP BY ALL""")
+@query("""SELECT l_orderkey AS block, strftime(max(m), '%Y-%m-%d') AS latest, count(*) AS n FROM (SELECT *, max(block_time) OVER (PARTITION BY l_orderkey) AS m FROM t) WHERE (l_orderkey * 8 + l_linenumber) % 7 <> 0 GROUP BY ALL""")
 def ls48_block_times(spark, sf):
     logs = fx.raw_logs(spark, sf)
     t = fx.transfers(spark, sf).select(F.substring("tx_hash", 3, 20).cast("long").alias("number"), "block_time")
