@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ledgerscope.llm.graph import components
-from ledgerscope.llm.text import mix, stored, words_of
+from ledgerscope.llm.text import mix, pieces, stored, words_of
 
 #: 24 bands of 6 minima: a pair at 0.85 meets in a band but for 1 case in 80,000, at 0.8 but for 1 in 1,400.
 BANDS, ROWS = 24, 6
@@ -64,7 +64,7 @@ def signatures(docs: DataFrame, shingle: int, id: str, text: str) -> DataFrame:
     """Per row: doc_id, n (set size), k1 and k2 (a 128-bit key of the set), sig (packed low bits), bands (band keys)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in pieces(batches, "t"):
             w = words_of(b.column("t"))
             n, k1, k2, sig, bands = [], [], [], [], []
             for a, z in zip(w.first[:-1], w.first[1:], strict=True):
@@ -114,7 +114,7 @@ def _sets(docs: DataFrame, wanted: DataFrame, shingle: int, id: str, text: str)
     """The full shingle sets (rep, s) of the wanted ids."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in pieces(batches, "t"):
             w = words_of(b.column("t"))
             s = [shingle_hashes(w.hashes[a:z], shingle).tobytes() for a, z in zip(w.first[:-1], w.first[1:], strict=True)]
             yield pa.RecordBatch.from_arrays([b.column("rep"), pa.array(s, pa.binary())], ["rep", "s"])

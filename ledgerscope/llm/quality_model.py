@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ledgerscope.llm.text import Words, held_out, stored, words_of
+from ledgerscope.llm.text import Words, held_out, pieces, stored, words_of
 
 DIMS = 32
 #: Words share so many vectors by hash; word endings and shapes have index vectors of their own.
@@ -162,7 +162,7 @@ def fit(
 
     def sums(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros((WORD_ROWS, DIMS), np.float32)
-        for b in batches:
+        for b in pieces(batches, "t"):
             total += _context_sums(words_of(b.column("t")))
         yield pa.RecordBatch.from_pydict({"part": pa.array([total.tobytes()], pa.binary())})
 
@@ -174,7 +174,7 @@ def fit(
     vectors = WordVectors((WORD_INDEX + context / np.maximum(norm, 1e-6) * own).astype(np.float32))
 
     def pooled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in pieces(batches, "t"):
             x = vectors.pool(b.column("t"))
             yield pa.RecordBatch.from_pydict({"i": b.column("i").cast(pa.string()), "y": b.column("y"), "x": pa.array([r.tobytes() for r in x], pa.binary())})
 
@@ -189,7 +189,7 @@ def score(docs: DataFrame, model: tuple[WordVectors, Network] | None, id: str =
     """Per row: doc_id, score, predicted. Null counts as empty; an empty text gets the network's value for no words. Without a model all score 0.5."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in pieces(batches, "t"):
             p = model[1].probabilities(model[0].pool(b.column("t"))) if model else np.full(b.num_rows, 0.5)
             yield pa.RecordBatch.from_pydict({"doc_id": b.column("doc_id"), "score": pa.array(p, pa.float64()), "predicted": pa.array((p >= threshold).astype(np.int32))})
 

@@ -8,6 +8,7 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -121,6 +122,17 @@ def words_of(column: pa.Array, lower: bool = True) -> Words:
     return Words(*buffers(column), lower)
 
 
+def pieces(batches: Iterator[pa.RecordBatch], column: str, size: int = 4 << 20) -> Iterator[pa.RecordBatch]:
+    """The batches in slices of whole rows with about ``size`` bytes of text each, so that a task's memory does not follow the row count of a batch."""
+    for b in batches:
+        _, offsets = buffers(b.column(column))
+        lo = 0
+        while lo < b.num_rows:
+            hi = max(lo + 1, int(np.searchsorted(offsets, offsets[lo] + size, "right")) - 1)
+            yield b.slice(lo, hi - lo)
+            lo = hi
+
+
 def ascii_lower(text: Column) -> Column:
     """Lower-cases A-Z only."""
     return F.translate(text, UPPER, UPPER.lower())
