@@ -162,11 +162,31 @@ def screen(groups: DataFrame, snapshot: Snapshot) -> DataFrame:
     return snapshot.filters.groupBy("bucket").cogroup(marked.groupBy("bucket")).applyInPandas(look, "digest binary, maybe boolean")
 
 
+#: Bits of the screen that goes to every task before texts are moved: a megabyte, whatever the input.
+SCREEN_BITS = 1 << 23
+
+
+def _bit(digest: Column) -> Column:
+    return F.pmod(F.xxhash64(digest), F.lit(SCREEN_BITS)) + 1
+
+
+def _screened(rows: DataFrame, wanted: DataFrame) -> DataFrame:
+    """Rows whose digest may be wanted. The wanted digests set bits of a bitmap of fixed size, at most 256 rows of 4 kB, which is
+    broadcast; the fuller it is, the more rows pass, and none that is wanted is lost."""
+    marks = wanted.select(_bit(F.col("digest")).alias("x")).groupBy(F.bitmap_bucket_number("x").alias("__page")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("x")).alias("__bits"))
+    x = rows.withColumn("__x", _bit(F.col("digest")))
+    at = F.bitmap_bit_position("__x")
+    byte = F.conv(F.hex(F.substring("__bits", (F.floor(at / 8) + 1).cast("int"), F.lit(1))), 16, 10).cast("int")
+    hit = byte.bitwiseAND(F.call_function("shiftleft", F.lit(1), (at % 8).cast("int"))) != 0
+    return x.join(F.broadcast(marks), F.bitmap_bucket_number("__x") == F.col("__page")).filter(hit).drop("__x", "__page", "__bits")
+
+
 def _texts(docs: DataFrame, wanted: DataFrame, id: str, text: str) -> DataFrame:
-    """The normalised text of each wanted (digest, doc_id): of repeated rows one."""
+    """The normalised text of each wanted (digest, side, doc_id): of repeated rows one."""
     body = docs.select(F.col(f"`{id}`").alias("doc_id"), normalised(F.col(f"`{text}`")).alias("body")).withColumn(
         "digest", F.unhex(F.sha2("body", 256))
     )
+    body = _screened(body, wanted)
     found = body.join(wanted, body["doc_id"].eqNullSafe(wanted["doc_id"]) & (body["digest"] == wanted["digest"])).select(
         wanted["digest"], "side", "body"
     )
