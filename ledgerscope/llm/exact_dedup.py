@@ -187,9 +187,8 @@ def _texts(docs: DataFrame, wanted: DataFrame, id: str, text: str) -> DataFrame:
         "digest", F.unhex(F.sha2("body", 256))
     )
     body = _screened(body, wanted)
-    found = body.join(wanted, body["doc_id"].eqNullSafe(wanted["doc_id"]) & (body["digest"] == wanted["digest"])).select(
-        wanted["digest"], "side", "body"
-    )
+    w = wanted.select(F.col("digest").alias("w_digest"), F.col("doc_id").alias("w_id"), "side")
+    found = body.join(w, F.col("doc_id").eqNullSafe(F.col("w_id")) & (F.col("digest") == F.col("w_digest"))).select("digest", "side", "body")
     return found.groupBy("digest", "side").agg(F.min("body").alias("body"))
 
 
