@@ -102,7 +102,7 @@ class Lexicon:
         return sum(found.values()), len(found), folded.count(" ")
 
 
-def score(total: float, words: int, half: float = 10.0) -> float:
+def score(total: float, words: int, half: float = 20.0) -> float:
     """0 to 1. A hit of weight ``half`` in a text of up to 400 words scores one half; longer texts need more, by the square root of their length."""
     return 1 - 2.0 ** -(total / (half * max(1.0, math.sqrt(words / 400))))
 
