@@ -195,7 +195,7 @@ def _texts(docs: DataFrame, wanted: DataFrame, id: str, text: str) -> DataFrame:
 def dedup(docs: DataFrame, snapshot_if: Column, id: str = "doc_id", text: str = "text") -> DataFrame:
     """Exact duplicates of a whole table, of which the rows where ``snapshot_if`` holds are the snapshot and the rest arrives.
 
-    Returns per row: doc_id, keep_id, group_size, kept, text_sha256. Of equal texts stays the row with the most code
+    Returns per row: doc_id, keep_id, group_size, kept, text_sha256, n_chars (of the original text). Of equal texts stays the row with the most code
     points in the original text, then the smallest doc_id (null first), then any one of identical rows. Null and empty
     texts, and texts of white space only, are one group. Other columns are not read; an empty table gives no rows.
     """
@@ -225,11 +225,22 @@ def dedup(docs: DataFrame, snapshot_if: Column, id: str = "doc_id", text: str =
         "group_size",
         (F.col("row") == F.col("best.row")).alias("kept"),
         F.lower(F.hex("digest")).alias("text_sha256"),
+        "n_chars",
     )
 
 
-def drop_copies(docs: DataFrame, found: DataFrame, id: str = "doc_id") -> DataFrame:
-    """The rows of ``docs`` that stay, with their columns; of rows that repeat an id and a text, one."""
-    ids = found.filter("kept").select(F.col("doc_id").alias("__id"))
-    left = docs.join(ids.distinct(), docs[id].eqNullSafe(F.col("__id")), "left_semi")
-    return left.dropDuplicates([id, "text"])
+def _row_key(id: Column, digest: Column, n_chars: Column) -> Column:
+    return F.concat_ws(":", F.coalesce(id.cast("string"), F.lit("null")), digest, n_chars.cast("string"))
+
+
+def drop_copies(docs: DataFrame, found: DataFrame, id: str = "doc_id", text: str = "text") -> DataFrame:
+    """The rows of ``docs`` that stay, with their columns, where ``found`` is what ``dedup`` returned for them.
+
+    A row stays by its id, its normalised text and its length, so one id with several texts is judged text by text; of
+    rows that repeat all three, one stays. Such repeats are dropped before the texts move, and texts move once.
+    """
+    ids = found.filter("kept").select(_row_key(F.col("doc_id"), F.col("text_sha256"), F.col("n_chars")).alias("__key")).distinct()
+    body = F.col(f"`{text}`")
+    key = _row_key(F.col(f"`{id}`"), F.sha2(normalised(body), 256), F.length(F.coalesce(body, F.lit(""))))
+    # an inner join, as a semi-join would be pushed below the dropping of repeats
+    return docs.withColumn("__key", key).dropDuplicates(["__key"]).join(ids, "__key").drop("__key")

@@ -30,7 +30,8 @@ def op4_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op5_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return exact_dedup.dedup(_table(spark, sf_dir, "documents"), held_out(F.col("doc_id"), 2, 0))
+    found = exact_dedup.dedup(_table(spark, sf_dir, "documents"), held_out(F.col("doc_id"), 2, 0))
+    return found.select("doc_id", "keep_id", "group_size", "kept", "text_sha256")
 
 
 def op6_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:

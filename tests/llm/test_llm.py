@@ -124,6 +124,13 @@ def test_exact_dedup_repeated_and_null_ids(spark):
     assert sum(r.kept for r in exact_dedup.dedup(docs, F.lit(False)).collect()) == 2
 
 
+def test_drop_copies_judges_a_repeated_id_text_by_text(spark):
+    docs = spark.createDataFrame([(1, "a", "x"), (1, "a", "x"), (2, "a  ", "y"), (1, "b", "x"), (3, "b", "z"), (None, "c", "x"), (None, "c", "x"), (4, None, "x"), (5, "", "x")], "doc_id long, text string, best string")
+    left = exact_dedup.drop_copies(docs, exact_dedup.dedup(docs, F.col("doc_id") % 2 == 0))
+    assert left.columns == docs.columns
+    assert sorted(map(str, map(tuple, left.collect()))) == sorted(map(str, [(2, "a  ", "y"), (1, "b", "x"), (None, "c", "x"), (4, None, "x")]))
+
+
 def test_rules(docs, texts):
     for r in quality_rules.apply_rules(docs.withColumn("failed", F.lit(1))).collect():
         t = texts[r.doc_id] or ""
