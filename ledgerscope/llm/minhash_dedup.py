@@ -60,6 +60,12 @@ def _bands(least: np.ndarray) -> np.ndarray:
     return mix(keys).view(np.int64)
 
 
+def _key(shingles: np.ndarray) -> tuple[int, int]:
+    """A 128-bit key of a set, in two halves."""
+    both = (shingles + np.uint64(1), shingles ^ np.uint64(0x5851F42D4C957F2D))
+    return tuple(int(mix(x).sum(dtype=np.uint64).view(np.int64)) for x in both)
+
+
 def signatures(docs: DataFrame, shingle: int, id: str, text: str) -> DataFrame:
     """Per row: doc_id, n (set size), k1 and k2 (a 128-bit key of the set), sig (packed low bits), bands (band keys)."""
 
@@ -70,8 +76,8 @@ def signatures(docs: DataFrame, shingle: int, id: str, text: str) -> DataFrame:
             for a, z in zip(w.first[:-1], w.first[1:], strict=True):
                 s = shingle_hashes(w.hashes[a:z], shingle)
                 n.append(len(s))
-                k1.append(int(mix(s + np.uint64(1)).sum(dtype=np.uint64).view(np.int64)))
-                k2.append(int(mix(s ^ np.uint64(0x5851F42D4C957F2D)).sum(dtype=np.uint64).view(np.int64)))
+                for to, key in zip((k1, k2), _key(s), strict=True):
+                    to.append(key)
                 least = signature(s) if len(s) else None
                 sig.append(_pack(least) if len(s) else None)
                 bands.append(_bands(least) if len(s) else None)
@@ -111,17 +117,18 @@ def _likely(pairs: DataFrame, reps: DataFrame, percent: int) -> DataFrame:
 
 
 def _sets(docs: DataFrame, wanted: DataFrame, shingle: int, id: str, text: str) -> DataFrame:
-    """The full shingle sets (rep, s) of the wanted ids."""
+    """The full shingle sets (rep, k, s) of the wanted ids, k a key of the set."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in pieces(batches, "t"):
             w = words_of(b.column("t"))
-            s = [shingle_hashes(w.hashes[a:z], shingle).tobytes() for a, z in zip(w.first[:-1], w.first[1:], strict=True)]
-            yield pa.RecordBatch.from_arrays([b.column("rep"), pa.array(s, pa.binary())], ["rep", "s"])
+            s = [shingle_hashes(w.hashes[a:z], shingle) for a, z in zip(w.first[:-1], w.first[1:], strict=True)]
+            k = pa.array([_key(x)[0] for x in s], pa.int64())
+            yield pa.RecordBatch.from_arrays([b.column("rep"), k, pa.array([x.tobytes() for x in s], pa.binary())], ["rep", "k", "s"])
 
     kind = docs.schema[id].dataType.simpleString()
     rows = docs.select(F.col(f"`{id}`").alias("rep"), F.col(f"`{text}`").alias("t")).join(wanted, "rep", "left_semi")
-    return rows.mapInArrow(run, f"rep {kind}, s binary")
+    return rows.mapInArrow(run, f"rep {kind}, k long, s binary")
 
 
 def _confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
@@ -151,7 +158,7 @@ _CLASS = 1.03
 
 
 def _prefix_pairs(sets: DataFrame, percent: int) -> DataFrame:
-    """Pairs (a, b) of different components that can reach the threshold, from (rep, s, comp).
+    """Pairs (a, b) of different components that can reach the threshold, from (rep, k, s, comp).
 
     With every set in one order, rare shingles first, a pair that is linked has its first common shingle early in both:
     at most as far in as leaves the overlap that the threshold asks for. So each set is entered under that many shingles
@@ -165,12 +172,12 @@ def _prefix_pairs(sets: DataFrame, percent: int) -> DataFrame:
             n = [len(x) for x in s]
             row = pa.array(np.repeat(np.arange(len(n)), n), pa.int64())
             flat = pa.array(np.concatenate(s) if s else np.zeros(0, np.int64), pa.int64())
-            yield pa.RecordBatch.from_arrays([b.column("rep").take(row), b.column("comp").take(row), pa.array(np.repeat(n, n), pa.int64()), flat], ["rep", "comp", "n", "h"])
+            yield pa.RecordBatch.from_arrays([*(b.column(c).take(row) for c in ("rep", "k", "comp")), pa.array(np.repeat(n, n), pa.int64()), flat], ["rep", "k", "comp", "n", "h"])
 
     kind = sets.schema["rep"].dataType.simpleString()
-    rows = stored(sets.select("rep", "comp", "s").mapInArrow(shingles, f"rep {kind}, comp {kind}, n long, h long"), "shingles")
+    rows = stored(sets.select("rep", "k", "comp", "s").mapInArrow(shingles, f"rep {kind}, k long, comp {kind}, n long, h long"), "shingles")
     df = rows.groupBy("h").agg(F.count("*").alias("df"))
-    ordered = rows.join(df, "h").groupBy("rep", "comp", "n").agg(F.sort_array(F.collect_list(F.struct("df", "h"))).alias("s"))
+    ordered = rows.join(df, "h").groupBy("rep", "k", "comp", "n").agg(F.sort_array(F.collect_set(F.struct("df", "h"))).alias("s"))
     need = lambda n, m: F.ceil((n + m) * percent / (100 + percent))
     step = float(np.log(_CLASS))
     size_class = lambda n: F.floor(F.log(n.cast("double")) / step)
@@ -208,12 +215,15 @@ def near_duplicates(docs: DataFrame, id: str = "doc_id", text: str = "text", shi
     then tests the remaining pairs among the members of buckets that are not yet in one component, so nothing is
     left untested; there, rare-first prefixes of the sets choose the pairs, so that a group's members that are too far apart
     are never paired. A text with fewer words than a shingle is one shingle; null and empty texts have none and stay
-    alone. A null id has no component and is kept. Rows that repeat an id share its component.
+    alone. A null id has no component and is kept. Rows that repeat an id and a set are one document; an id with several
+    sets has the links of each, and a component per row.
     """
     sigs = stored(signatures(docs, shingle, id, text), "signatures")
     classes = sigs.filter("n > 0 AND doc_id IS NOT NULL").groupBy("k1", "k2", "n").agg(F.min("doc_id").alias("rep"))
-    reps = sigs.join(classes, ["k1", "k2", "n"]).filter("doc_id = rep").select("rep", "n", "sig", "bands").dropDuplicates(["rep"])
-    reps = stored(reps, "classes")
+    # by the id too, so that a large class of copies is spread; an id with several texts stands for each of their sets
+    owner = ["doc_id", "k1", "k2", "n"]
+    reps = sigs.filter("n > 0").dropDuplicates(owner).join(classes.withColumn("doc_id", F.col("rep")), owner)
+    reps = stored(reps.select("rep", "n", "k1", "k2", "sig", "bands"), "classes")
     buckets = reps.select("rep", F.explode("bands").alias("band"))
     leaders = buckets.groupBy("band").agg(F.count("*").alias("c"), F.min("rep").alias("l1"), F.min_by("rep", F.xxhash64("rep", "band")).alias("l2")).filter("c > 1")
     buckets = stored(buckets.join(leaders, "band").select("band", "rep", "l1", "l2"), "buckets")
@@ -239,6 +249,6 @@ def near_duplicates(docs: DataFrame, id: str = "doc_id", text: str = "text", shi
 
 
 def drop_near(docs: DataFrame, found: DataFrame, id: str = "doc_id") -> DataFrame:
-    """The rows whose id is kept, with their columns; rows with a null id stay."""
-    gone = found.filter("NOT kept").select(F.col("doc_id").alias(id)).distinct()
+    """The rows whose id is kept, with their columns; rows with a null id stay, and so does an id of which any row is kept."""
+    gone = found.groupBy(F.col("doc_id").alias(id)).agg(F.bool_or("kept").alias("__kept")).filter("NOT __kept").select(id)
     return docs.join(gone, id, "left_anti")

@@ -177,6 +177,28 @@ def test_near_duplicates(docs, texts, none):
     assert minhash_dedup.near_duplicates(none).count() == 0
 
 
+def test_near_duplicates_with_repeated_rows_and_ids(spark):
+    a = [f"a{k}" for k in range(40)]
+    b = [f"b{k}" for k in range(40)]
+    near = lambda w, k: " ".join([*w[:k], "x", *w[k + 1 :]])
+    rows = [(1, " ".join(a)), (1, " ".join(a)), (7, near(a, 39)), (7, near(a, 39)), (7, " ".join(b)), (8, near(b, 0)), (9, None), (9, None), (None, " ".join(a))]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    found = minhash_dedup.near_duplicates(docs, shingle=3, percent=85)
+    got = sorted({(r.doc_id or 0, r.n_shingles, r.component_id or 0, r.kept) for r in found.collect()})
+    assert found.count() == len(rows)
+    assert got == [(0, 38, 0, True), (1, 38, 1, True), (7, 38, 1, False), (8, 38, 1, False), (9, 0, 9, True)]
+    assert sorted(r.doc_id or 0 for r in minhash_dedup.drop_near(docs, found).collect()) == [0, 1, 1, 9, 9]
+
+
+def test_prefix_pairs_take_repeated_rows_once(spark):
+    rng = np.random.default_rng(8)
+    base = rng.integers(1, 1 << 62, 60, np.uint64)
+    a, b = np.unique(base[:56]), np.unique(base[4:])
+    rows = [(1, 11, 1, a.tobytes())] * 3 + [(2, 12, 2, b.tobytes())]
+    sets = spark.createDataFrame([(r, k, bytearray(s), c) for r, k, c, s in rows], "rep long, k long, s binary, comp long")
+    assert [tuple(r) for r in minhash_dedup._prefix_pairs(sets, 80).collect()] == [(2, 1)]
+
+
 def test_chat_round_trip_and_attachments(spark):
     said = "</s>[INST] <|end|>\n&lt; | ok"
     part = lambda kind, text=None, ref=None, units=None: (kind, text, ref, units)
