@@ -49,7 +49,7 @@ STAGES = [
     ("packing", pack_batches),
 ]
 
-#: Learned weights, signatures and subset sums have no SQL; tests/llm holds the stages against brute force.
+#: Learned weights, signatures and subset sums have no SQL; tests/llm tests the operators of the stages on small tables, not yet run() as a whole.
 ORACLE_SQL = None
 
 
