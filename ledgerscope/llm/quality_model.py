@@ -6,6 +6,7 @@ from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -16,6 +17,8 @@ DIMS = 32
 #: Words share so many vectors by hash; word endings and shapes have index vectors of their own.
 WORD_ROWS, END_ROWS, SHAPE_ROWS = 1 << 13, 1 << 12, 4096
 _PIECE = 1 << 17
+#: Context sums are added up in so many parts.
+_SLABS = 64
 
 
 def _index_vectors(rows: int, seed: int) -> np.ndarray:
@@ -83,7 +86,7 @@ def _context_sums(w: Words) -> np.ndarray:
     """Per hashed word, the sum of the index vectors of the two words before and after it in its text."""
     out = np.zeros((WORD_ROWS, DIMS), np.float32)
     doc = np.repeat(np.arange(len(w.first) - 1), np.diff(w.first))
-    rows = (w.hashes & np.uint64(WORD_ROWS - 1)).astype(np.int64)
+    rows = (w.hashes & np.uint64(WORD_ROWS - 1)).astype(np.uint16)  # two bytes: sorted by radix
     for shift in (1, 2):
         left, right = rows[:-shift], rows[shift:]
         same = doc[:-shift] == doc[shift:]
@@ -97,6 +100,26 @@ def _context_sums(w: Words) -> np.ndarray:
     return out
 
 
+def corpus_context(docs: DataFrame, text: str = "text") -> np.ndarray:
+    """The context sums over all texts. A task yields one sum of fixed size, in slabs, which Spark adds up; they are whole numbers, so in any order."""
+
+    def sums(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros((WORD_ROWS, DIMS))
+        for b in pieces(batches, "t"):
+            total += _context_sums(words_of(b.column("t")))
+        parts = [x.tobytes() for x in total.reshape(_SLABS, -1)]
+        yield pa.RecordBatch.from_pydict({"slab": pa.array(range(_SLABS), pa.int32()), "part": pa.array(parts, pa.binary())})
+
+    def add(key: tuple, part: pd.DataFrame) -> pd.DataFrame:
+        return pd.DataFrame({"slab": [key[0]], "part": [sum(np.frombuffer(x) for x in part["part"]).tobytes()]})
+
+    parts = docs.select(F.col(f"`{text}`").alias("t")).mapInArrow(sums, "slab int, part binary")
+    out = np.zeros((_SLABS, WORD_ROWS * DIMS // _SLABS))
+    for r in parts.groupBy("slab").applyInPandas(add, "slab int, part binary").collect():
+        out[r["slab"]] = np.frombuffer(r["part"])
+    return out.reshape(WORD_ROWS, DIMS)
+
+
 @dataclass
 class Network:
     """Inputs are standardised by ``mean`` and ``scale``; one hidden layer of rectified units; logits are divided by ``temperature``."""
@@ -154,21 +177,15 @@ def train(x: np.ndarray, y: np.ndarray, hidden: int = 32, epochs: int = 40, seed
 def fit(
     docs: DataFrame, labels: DataFrame, id: str = "doc_id", text: str = "text", label: str = "quality", max_rows: int = 20_000
 ) -> tuple[WordVectors, Network] | None:
-    """Word vectors and network from at most ``max_rows`` labelled rows, chosen by a hash of the id; None without both labels."""
+    """Word vectors from all texts, and the network from at most ``max_rows`` labelled rows, chosen by a hash of the id; None without both labels."""
     known = labels.filter(F.col(label).isNotNull()).groupBy(id).agg(F.max(label).cast("double").alias("__y"))
     known = known.orderBy(F.xxhash64(F.col(id)), F.col(id)).limit(max_rows)
     rows = docs.select(id, text).join(F.broadcast(known), id).select(F.col(id).alias("i"), F.col(text).alias("t"), F.col("__y").alias("y"))
     rows = stored(rows.repartition(8), "labelled")
 
-    def sums(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros((WORD_ROWS, DIMS), np.float32)
-        for b in pieces(batches, "t"):
-            total += _context_sums(words_of(b.column("t")))
-        yield pa.RecordBatch.from_pydict({"part": pa.array([total.tobytes()], pa.binary())})
-
-    context = np.zeros((WORD_ROWS, DIMS), np.float32)
-    for r in rows.select("t").coalesce(8).mapInArrow(sums, "part binary").collect():
-        context += np.frombuffer(r["part"], np.float32).reshape(WORD_ROWS, DIMS)
+    if rows.select("y").distinct().count() < 2:
+        return None
+    context = corpus_context(docs, text)
     norm = np.linalg.norm(context, axis=1, keepdims=True)
     own = np.linalg.norm(WORD_INDEX, axis=1, keepdims=True)
     vectors = WordVectors((WORD_INDEX + context / np.maximum(norm, 1e-6) * own).astype(np.float32))
@@ -179,8 +196,6 @@ def fit(
             yield pa.RecordBatch.from_pydict({"i": b.column("i").cast(pa.string()), "y": b.column("y"), "x": pa.array([r.tobytes() for r in x], pa.binary())})
 
     got = rows.mapInArrow(pooled, "i string, y double, x binary").toPandas().sort_values("i")
-    if got["y"].nunique() < 2:
-        return None
     x = np.stack([np.frombuffer(v, np.float32) for v in got["x"]])
     return vectors, train(x, got["y"].to_numpy())
 

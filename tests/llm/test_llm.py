@@ -5,10 +5,12 @@ import itertools
 import re
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
 from ledgerscope.llm import chat_format, exact_dedup, html_extract, lm_score, minhash_dedup, mixing, packing, quality_model, quality_rules, toxicity
+from ledgerscope.llm.text import words_of
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long"
@@ -99,6 +101,18 @@ def test_quality_model_learns(spark, none):
     assert quality_model.learn_and_score(docs, labels.limit(0)).filter("score <> 0.5").count() == 0
 
 
+def test_word_vectors_are_of_the_whole_corpus(spark):
+    texts = ["plain words here" if k % 2 else "odd $$ here" for k in range(40)] + ["zorkmid beside quaxle", None]
+    labels = spark.createDataFrame([(k, k % 2, 0) for k in range(40)], "doc_id long, quality int, toxic int")
+    vectors, _ = quality_model.fit(table(spark, texts), labels)
+    at = [int(h) % quality_model.WORD_ROWS for h in words_of(pa.array(["zorkmid beside quaxle"])).hashes]
+    assert len(set(at)) == 3
+    own = quality_model.WORD_INDEX
+    for k in range(3):  # none of the three words is in a labelled text
+        near = sum(own[at[j]] for j in range(3) if j != k)
+        assert vectors.words[at[k]] == pytest.approx(own[at[k]] + near / np.linalg.norm(near) * np.linalg.norm(own[at[k]]), abs=1e-5)
+
+
 def test_binary_fuse():
     keys = np.random.default_rng(6).integers(0, 1 << 63, 20_000).astype(np.uint64)
     f = exact_dedup.BinaryFuse.build(keys[:10_000])
