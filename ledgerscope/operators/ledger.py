@@ -13,10 +13,10 @@ from ledgerscope.functions.keys import hex_to_decimal, hex_to_long, topic_addres
 TRANSFER_TOPIC = "0xddf252ad1be2c89b69c2b068fc378daa952ba7f163c4a11628f55a4df523b3ef"
 
 
-def scan_logs(raw: DataFrame, head: int, step: int = 10_000) -> DataFrame:
-    """Transfer logs up to a pinned head, with the aligned block window each belongs to (the table's partition column, so whole windows are pruned)."""
+def scan_logs(raw: DataFrame, head: int | None = None, step: int = 10_000) -> DataFrame:
+    """Transfer logs up to a pinned head, or all to the newest block without one, with the aligned block window each belongs to (the table's partition column, so whole windows are pruned)."""
     block = hex_to_long(F.col("blockNumber"))
-    return raw.filter((F.get("topics", F.lit(0)) == TRANSFER_TOPIC) & (block <= head)).withColumn("block_window", block - F.pmod(block, F.lit(step)))
+    return raw.filter((F.get("topics", F.lit(0)) == TRANSFER_TOPIC) & (block.isNotNull() if head is None else block <= head)).withColumn("block_window", block - F.pmod(block, F.lit(step)))
 
 
 def decode_logs(raw: DataFrame, blocks: DataFrame | None = None) -> DataFrame:

@@ -23,6 +23,15 @@ def test_no_cartesian_product(spark, name):
     assert "CartesianProduct" not in plan
 
 
+def test_scan_and_block_ranges_reach_the_newest_block(spark):
+    sf = "/root/testdata/sf0.01"
+    newest = spark.read.parquet(f"{sf}/lineitem.parquet").agg({"l_orderkey": "max"}).collect()[0][0]
+    assert newest > 9000
+    logs = __spark_entry__.queries()["ls07_log_scan_newest"](spark, sf).collect()
+    assert sum(r.n for r in logs) == spark.read.parquet(f"{sf}/lineitem.parquet").count() and max(r.last_block for r in logs) == newest
+    assert max(r.last_block for r in __spark_entry__.queries()["ls43_block_ranges_newest"](spark, sf).collect()) > 9000
+
+
 def test_stream_equals_batch(spark, tmp_path):
     rows = spark.sql("select timestamp '2026-06-01 00:00:00' + make_interval(0,0,0,0,id*5) as block_time, concat('a', id % 2) as asset_uid, cast(id as double) as amount from range(40)")
     rows.write.parquet(str(tmp_path / "in"))
