@@ -24,6 +24,13 @@ def months(spark: SparkSession, first: str, last: str) -> DataFrame:
     return one.select(F.date_format("m", "yyyy-MM").alias("window_id"), F.to_timestamp("m").alias("start"), F.to_timestamp(F.add_months("m", 1)).alias("end"))
 
 
+def months_of(facts: DataFrame, time: str = "block_time") -> DataFrame:
+    """All calendar months from the first to the last of the facts, as ``months``; none without facts. A one-row aggregate finds the two."""
+    span = facts.agg(F.trunc(F.min(time), "month").alias("a"), F.trunc(F.max(time), "month").alias("b")).filter("a IS NOT NULL")
+    one = span.select(F.explode(F.sequence("a", "b", F.expr("interval 1 month"))).alias("m"))
+    return one.select(F.date_format("m", "yyyy-MM").alias("window_id"), F.to_timestamp("m").alias("start"), F.to_timestamp(F.add_months("m", 1)).alias("end"))
+
+
 def assign(facts: DataFrame, windows: DataFrame, time: str = "block_time") -> DataFrame:
     """Facts with the windows that hold them, start <= time < end. ``windows`` is a declared list of a few rows, so a range join against it is broadcast."""
     return facts.join(F.broadcast(windows.select("window_id", "start", "end")), (F.col(time) >= F.col("start")) & (F.col(time) < F.col("end")))

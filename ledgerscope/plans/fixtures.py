@@ -66,13 +66,17 @@ def snapshots(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-def month_list(spark: SparkSession) -> DataFrame:
-    return windows.months(spark, FIRST, LAST)
+class AllMonths(str):
+    """A folder of tables whose windows are all months of its transfers, not the declared ones."""
+
+
+def month_list(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return windows.months_of(transfers(spark, sf_dir)) if isinstance(sf_dir, AllMonths) else windows.months(spark, FIRST, LAST)
 
 
 def balances(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Balances just before every month's end."""
-    return ledger.balances_at(transfers(spark, sf_dir), month_list(spark).select(F.col("end").alias("as_of")))
+    return ledger.balances_at(transfers(spark, sf_dir), month_list(spark, sf_dir).select(F.col("end").alias("as_of")))
 
 
 def raw_logs(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -122,3 +126,8 @@ b AS (SELECT asset_uid, w.window_id, w."end" AS as_of, address, sum(delta) AS ba
   WHERE address NOT IN ('{ZERO}', '{DEAD}') GROUP BY ALL HAVING sum(delta) > 0),
 u AS (SELECT a.asset_uid, w.window_id, w.start, w."end" FROM (SELECT DISTINCT asset_uid FROM t) a, w)
 """
+
+_DECLARED = f"SELECT unnest(generate_series(TIMESTAMP '{FIRST}-01', TIMESTAMP '{LAST}-01', INTERVAL 1 MONTH)) AS m"
+_FOUND = "SELECT unnest(generate_series(a, b, INTERVAL 1 MONTH)) AS m FROM (SELECT CAST(date_trunc('month', min(block_time)) AS TIMESTAMP) AS a, CAST(date_trunc('month', max(block_time)) AS TIMESTAMP) AS b FROM t)"
+#: The same with the windows of AllMonths.
+ALL_CTES = CTES.replace(_DECLARED, _FOUND)

@@ -36,11 +36,11 @@ def _r(*names: str) -> list:
 
 
 def _placed(spark: SparkSession, sf: str) -> DataFrame:
-    return windows.assign(fx.classified(spark, sf), fx.month_list(spark))
+    return windows.assign(fx.classified(spark, sf), fx.month_list(spark, sf))
 
 
 def _universe(spark: SparkSession, sf: str) -> DataFrame:
-    return panel.skeleton(fx.transfers(spark, sf), fx.month_list(spark))
+    return panel.skeleton(fx.transfers(spark, sf), fx.month_list(spark, sf))
 
 
 def _supply(spark: SparkSession, sf: str) -> DataFrame:
@@ -58,7 +58,7 @@ def _blocks(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def _held(spark: SparkSession, sf: str) -> DataFrame:
-    return asof.exact_state(fx.balances(spark, sf), fx.month_list(spark))
+    return asof.exact_state(fx.balances(spark, sf), fx.month_list(spark, sf))
 
 
 # ---- sources
@@ -242,25 +242,25 @@ def ls40_trailing_windows(spark, sf):
 
 @query("""SELECT w.window_id, date_diff('day', start, "end") AS days, count(p.asset_uid) AS n FROM w LEFT JOIN p ON p.window_id = w.window_id GROUP BY ALL""")
 def ls41_calendar_months(spark, sf):
-    w = fx.month_list(spark)
+    w = fx.month_list(spark, sf)
     n = windows.assign_month(fx.transfers(spark, sf)).groupBy("window_id").agg(F.count("*").alias("n"))
     return w.join(n, "window_id", "left").select("window_id", F.datediff("end", "start").cast("long").alias("days"), F.coalesce("n", F.lit(0)).alias("n"))
 
 
 @query("""SELECT asset_uid, window_id, count(*) AS n FROM p GROUP BY ALL""")
 def ls42_assign_windows(spark, sf):
-    return windows.assign(fx.transfers(spark, sf), fx.month_list(spark)).groupBy("asset_uid", "window_id").agg(F.count("*").alias("n"))
+    return windows.assign(fx.transfers(spark, sf), fx.month_list(spark, sf)).groupBy("asset_uid", "window_id").agg(F.count("*").alias("n"))
 
 
 @query("""SELECT w.window_id, min(l_orderkey) AS first_block, max(l_orderkey) AS last_block FROM w LEFT JOIN t ON block_time >= start AND block_time < "end" AND l_orderkey <= 9000 GROUP BY ALL""")
 def ls43_block_ranges(spark, sf):
     """To the pinned head 9000 of its SQL; ls43_block_ranges_newest reads on to the newest block."""
-    return windows.block_ranges(_blocks(spark, sf), fx.month_list(spark), 9000)
+    return windows.block_ranges(_blocks(spark, sf), fx.month_list(spark, sf), 9000)
 
 
 @query("""SELECT w.window_id, min(l_orderkey) AS first_block, max(l_orderkey) AS last_block FROM w LEFT JOIN t ON block_time >= start AND block_time < "end" GROUP BY ALL""")
 def ls43_block_ranges_newest(spark, sf):
-    return windows.block_ranges(_blocks(spark, sf), fx.month_list(spark))
+    return windows.block_ranges(_blocks(spark, sf), fx.month_list(spark, sf))
 
 
 # ---- ledger
@@ -310,8 +310,8 @@ FROM u LEFT JOIN t ON t.asset_uid = u.asset_uid AND block_time < u."end" GROUP B
 
 @query(f"SELECT * FROM {_SUPPLY}")
 def ls51_supply(spark, sf):
-    s = ledger.supply_at(fx.transfers(spark, sf), fx.month_list(spark).select(F.col("end").alias("as_of")))
-    return asof.exact_state(s, fx.month_list(spark)).select("asset_uid", "window_id", "total_supply")
+    s = ledger.supply_at(fx.transfers(spark, sf), fx.month_list(spark, sf).select(F.col("end").alias("as_of")))
+    return asof.exact_state(s, fx.month_list(spark, sf)).select("asset_uid", "window_id", "total_supply")
 
 
 @query(
@@ -358,13 +358,13 @@ _SNAP = """(SELECT s.asset_uid, w.window_id, arg_max(total_supply, (as_of, sourc
 
 @query(f"SELECT * FROM {_SNAP}")
 def ls57_latest_snapshot(spark, sf):
-    return asof.latest_snapshot(fx.snapshots(spark, sf), fx.month_list(spark)).select("asset_uid", "window_id", "total_supply", "market_value_usd", "holder_count")
+    return asof.latest_snapshot(fx.snapshots(spark, sf), fx.month_list(spark, sf)).select("asset_uid", "window_id", "total_supply", "market_value_usd", "holder_count")
 
 
 @query("""SELECT b.asset_uid, h.window_id, b.window_id AS month, count(*) AS n, sum(balance) AS held FROM b JOIN (SELECT asset_uid, w.window_id, max(as_of) AS as_of FROM b, w
 WHERE b.as_of <= w."end" - INTERVAL 10 DAY + INTERVAL 1 HOUR GROUP BY ALL) h ON h.asset_uid = b.asset_uid AND h.as_of = b.as_of GROUP BY ALL""")
 def ls58_latest_holders(spark, sf):
-    w = fx.month_list(spark).withColumn("end", F.col("end") - F.expr("interval 10 days"))
+    w = fx.month_list(spark, sf).withColumn("end", F.col("end") - F.expr("interval 10 days"))
     h = asof.latest_holders(fx.balances(spark, sf), w)
     return h.groupBy("asset_uid", "window_id", F.date_format(F.col("as_of") - F.expr("interval 1 day"), "yyyy-MM").alias("month")).agg(F.count("*").alias("n"), F.sum("balance").alias("held"))
 
@@ -380,7 +380,7 @@ concat_ws(',', CASE WHEN total_supply IS NULL THEN 'supply_from_holders' END, CA
 FROM (SELECT asset_uid, window_id, sum(balance) AS observed, count(*) AS listed FROM b GROUP BY ALL) o LEFT JOIN {_SNAP} s ON o.asset_uid = s.asset_uid AND o.window_id = s.window_id"""
 )
 def ls60_share_denominator(spark, sf):
-    state = asof.latest_snapshot(fx.snapshots(spark, sf), fx.month_list(spark))
+    state = asof.latest_snapshot(fx.snapshots(spark, sf), fx.month_list(spark, sf))
     o = _held(spark, sf).groupBy("asset_uid", "window_id").agg(F.sum("balance").alias("observed"), F.count("*").alias("listed"))
     out = asof.share_denominator(state.select("asset_uid", "window_id", "total_supply", "holder_count"), o)
     return out.select("asset_uid", "window_id", "denominator", "error_code", F.array_join("warnings", ",").alias("warnings"))
@@ -427,7 +427,7 @@ def ls63_unclassified(spark, sf):
 @query(f"""SELECT v.asset_uid, v.window_id, mode, round(CASE WHEN total_supply > 0 THEN volume_native / total_supply END, 6) AS turnover_native, round(CASE WHEN market_value_usd > 0 THEN volume_usd / market_value_usd END, 6) AS turnover_usd
 FROM {_VOL} v LEFT JOIN {_SNAP} s ON v.asset_uid = s.asset_uid AND v.window_id = s.window_id""")
 def ls64_turnover(spark, sf):
-    out = measures.turnover(_volumes(spark, sf), asof.latest_snapshot(fx.snapshots(spark, sf), fx.month_list(spark)))
+    out = measures.turnover(_volumes(spark, sf), asof.latest_snapshot(fx.snapshots(spark, sf), fx.month_list(spark, sf)))
     return out.select("asset_uid", "window_id", "mode", *_r("turnover_native", "turnover_usd"))
 
 
@@ -492,7 +492,7 @@ def _status(spark, sf):
 
 def _report(spark, sf):
     inputs = report.Inputs(fx.classified(spark, sf), fx.balances(spark, sf), fx.snapshots(spark, sf), fx.lists(spark)[1], _status(spark, sf))
-    return report.build_report(inputs, fx.month_list(spark))
+    return report.build_report(inputs, fx.month_list(spark, sf))
 
 
 @query(f"""SELECT v.asset_uid, v.window_id, n AS n_transfers, round(CASE WHEN right(v.asset_uid, 2) <> '03' AND total_supply > 0 THEN volume_native / total_supply END, 6) AS turnover, coalesce(a.n_active, 0) AS active,
@@ -516,7 +516,7 @@ _PANEL = f"""(SELECT u.asset_uid, u.window_id, coalesce(sum(amount) FILTER (cate
 @query(f"""SELECT asset_uid, CASE WHEN n < 2 THEN 'insufficient data' WHEN a = 0 AND z = 0 THEN 'flat at zero' WHEN a = 0 THEN 'rising from zero' WHEN (z - a) / abs(a) > 0.1 THEN 'rising' WHEN (z - a) / abs(a) < -0.1 THEN 'falling' ELSE 'flat' END AS direction
 FROM (SELECT asset_uid, arg_min(volume_native, window_id) AS a, arg_max(volume_native, window_id) AS z, count(*) AS n FROM {_VOL} WHERE mode = 'secondary_only' GROUP BY ALL)""")
 def ls80_trend(spark, sf):
-    v = _volumes(spark, sf).filter("mode = 'secondary_only'").join(F.broadcast(fx.month_list(spark).select("window_id", "start")), "window_id")
+    v = _volumes(spark, sf).filter("mode = 'secondary_only'").join(F.broadcast(fx.month_list(spark, sf).select("window_id", "start")), "window_id")
     return report.direction(v.select("asset_uid", F.lit("volume").alias("metric"), "start", F.col("volume_native").alias("value"))).drop("metric")
 
 
@@ -524,7 +524,7 @@ def _panel(spark, sf):
     t = fx.classified(spark, sf)
     h = fx.balances(spark, sf)
     supply = h.groupBy("asset_uid", "as_of").agg(F.sum("balance").alias("total_supply")).withColumn("source", F.lit("ledger"))
-    return panel.build_panel(t, fx.month_list(spark), t, h, supply, fx.lists(spark)[1])
+    return panel.build_panel(t, fx.month_list(spark, sf), t, h, supply, fx.lists(spark)[1])
 
 
 @query(f"""SELECT p.asset_uid, p.window_id, v_creation, v_residual, n_all, v_all, n_issuer_linked, n_unresolved, round(v_all / z, 6) AS t_all, round(v_residual / z, 6) AS t_res, round(CASE WHEN v_residual > 0 THEN v_all / v_residual END, 6) AS f,
@@ -675,3 +675,18 @@ def monthly_turnover(spark, sf):
     spread = _spread(spark, sf).select("asset_uid", "window_id", "top_share")
     out = v.join(_supply(spark, sf), ["asset_uid", "window_id"], "left").join(spread, ["asset_uid", "window_id"], "left")
     return out.select("asset_uid", "window_id", F.round(F.when(F.col("denominator") > 0, F.col("volume_native") / F.col("denominator")), 6).alias("turnover"), *_r("top_share"))
+
+
+# ---- all months: the windows declared for the SQL above hold 24 months; each query over them again, over every month of its transfers
+
+_MONTHLY = "monthly_turnover 38 39 41 42 43_block_ranges_newest 50 51 57 58 59 60 62 63 64 65 66 67 68 69 72 75 76 77 78 79 80 81 82 83 84 85 86 87 88".split()
+
+
+def _over_all_months(f: Callable[[SparkSession, str], DataFrame]) -> Callable[[SparkSession, str], DataFrame]:
+    return lambda spark, sf: f(spark, fx.AllMonths(sf))
+
+
+for _name in [n for n in QUERIES if any(n == m or n.startswith(f"ls{m}") for m in _MONTHLY)]:
+    QUERIES[f"{_name}_all_months"] = _over_all_months(QUERIES[_name])
+    if _name in SQL:
+        SQL[f"{_name}_all_months"] = SQL[_name].replace(fx.CTES, fx.ALL_CTES, 1)

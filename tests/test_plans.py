@@ -3,6 +3,7 @@
 import pytest
 
 import __spark_entry__
+from ledgerscope.operators import windows
 from ledgerscope.plans import queries
 from ledgerscope.streaming.volumes import tumbling_volumes
 
@@ -32,6 +33,14 @@ def test_scan_and_block_ranges_reach_the_newest_block(spark):
     assert max(r.last_block for r in __spark_entry__.queries()["ls43_block_ranges_newest"](spark, sf).collect()) > 9000
 
 
+def test_all_months_hold_every_transfer(spark):
+    q = __spark_entry__.queries()
+    rows = {name: q[name](spark, SF).agg({"n": "sum"}).collect()[0][0] for name in ("ls42_assign_windows", "ls42_assign_windows_all_months")}
+    whole = spark.read.parquet(f"{SF}/lineitem.parquet").count()
+    assert rows["ls42_assign_windows"] < rows["ls42_assign_windows_all_months"] == whole
+    assert windows.months_of(spark.createDataFrame([], "block_time timestamp")).count() == 0
+
+
 def test_stream_equals_batch(spark, tmp_path):
     rows = spark.sql("select timestamp '2026-06-01 00:00:00' + make_interval(0,0,0,0,id*5) as block_time, concat('a', id % 2) as asset_uid, cast(id as double) as amount from range(40)")
     rows.write.parquet(str(tmp_path / "in"))
