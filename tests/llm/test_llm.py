@@ -63,6 +63,25 @@ def test_lm_base_and_probabilities(spark, docs, texts, none):
     assert lm_score.score(none).count() == 0
 
 
+def test_every_training_word_is_a_context(spark):
+    rng = np.random.default_rng(9)
+    vocabulary = [f"v{k}" for k in range(5000)]
+    texts = [" ".join(rng.permutation(vocabulary)) for _ in range(3)] + ["rare%d next%d" % (k % 40, k % 40) for k in range(400)]
+    probes = ["rare%d next%d" % (k, j) for k in range(5) for j in (k, k + 20)]
+    docs = table(spark, texts + probes)
+    held = docs.withColumn("doc_id", F.when(F.col("doc_id") >= len(texts), F.col("doc_id")))  # rows without an id train
+    scores = {r.doc_id: r.score for r in lm_score.score(docs, modulus=1, remainder=1).collect()}
+    model, restaurants, totals = lm_score.train(lm_score.encode(held, "doc_id", "text", F.col("doc_id").isNotNull()), sweeps=1)
+    own = {c for r in restaurants.collect() for c in np.frombuffer(r["ctxs"], np.uint64)}
+    assert model.contexts is None and len(own) == 5000 + 80 + 1 and lm_score.START in own
+    sums = {}
+    for r in totals.filter("kind = 1 AND customers").collect():
+        sums |= dict(zip(np.frombuffer(r["ctxs"], np.uint64), lm_score._expand(r["val"], np.uint64), strict=True))
+    assert set(sums) == own and sum(map(int, sums.values())) == model.tokens
+    for k in range(5):  # next0 follows rare0, next20 does not
+        assert scores[len(texts) + 2 * k] > scores[len(texts) + 2 * k + 1] + 0.5
+
+
 def test_seats_are_bounded_and_follow_the_mass():
     rng = np.random.default_rng(2)
     c = np.array([1, 2, 40, 5000] * 200)
