@@ -15,18 +15,18 @@ CELLS_PER_OCTAVE = 355
 LOT_ROWS = 50_000
 
 
-def best_bounds(lengths: np.ndarray, counts: np.ndarray, buckets: int) -> np.ndarray:
+def best_bounds(lengths: np.ndarray, counts: np.ndarray, buckets: int, sums: np.ndarray | None = None) -> np.ndarray:
     """The upper bounds of at most ``buckets`` length buckets with the least total padding, by dynamic programming.
 
     With the distinct lengths ascending, ``cost(i, j)`` is the padding if lengths i to j - 1 are padded to the last of
-    them. The best split point does not move back as j grows, so each layer is filled by divide and conquer.
+    them. A cell of several lengths has its largest in ``lengths`` and its tokens in ``sums``. The best split point does not move back as j grows, so each layer is filled by divide and conquer.
     """
     order = np.argsort(lengths)
     x, c = lengths[order].astype(np.float64), counts[order].astype(np.float64)
     n = len(x)
     if n <= buckets:
         return lengths[order].astype(np.int64)
-    docs, tokens = np.concatenate([[0], np.cumsum(c)]), np.concatenate([[0], np.cumsum(c * x)])
+    docs, tokens = np.concatenate([[0], np.cumsum(c)]), np.concatenate([[0], np.cumsum(c * x if sums is None else sums[order].astype(np.float64))])
     best = np.full(n + 1, np.inf)
     best[0] = 0
     splits = []
@@ -72,11 +72,11 @@ def pack(docs: DataFrame, id: str = "doc_id", text: str = "text", buckets: int =
     spark = docs.sparkSession
     rows = docs.select(F.col(f"`{id}`").alias("doc_id"), word_count(F.col(f"`{text}`")).alias("n_tokens"))
     rows = stored(rows.withColumn("cell", _cell(F.col("n_tokens"))).withColumn("draw", F.xxhash64(F.lit(seed), F.col("doc_id").cast("string"))), "lengths")
-    cells = rows.groupBy("cell").agg(F.count("*").alias("n")).orderBy("cell").toPandas()
-    bounds = best_bounds(cells["cell"].to_numpy(), cells["n"].to_numpy(), buckets) if len(cells) else np.array([0])
+    cells = rows.groupBy("cell").agg(F.count("*").alias("n"), F.max("n_tokens").alias("longest"), F.sum("n_tokens").alias("tokens")).orderBy("cell").toPandas()
+    bounds = best_bounds(cells["longest"].to_numpy(), cells["n"].to_numpy(), buckets, cells["tokens"].to_numpy()) if len(cells) else np.array([0])
     lots = 1 + int(cells["n"].sum()) // LOT_ROWS if len(cells) else 1
     lots = max(lots, 64)
-    of = F.size(F.filter(F.array(*[F.lit(int(b)) for b in bounds]), lambda b: b < F.col("cell"))).cast("int")
+    of = F.size(F.filter(F.array(*[F.lit(int(b)) for b in bounds]), lambda b: b < F.col("n_tokens"))).cast("int")
     length = F.element_at(F.array(*[F.lit(int(b)) for b in bounds]), F.col("bucket") + 1).cast("long")
     rows = rows.withColumn("bucket", of).withColumn("bucket_length", length).withColumn("lot", F.pmod("draw", F.lit(lots)).cast("int"))
     counted = rows.groupBy("bucket", "lot").agg(F.count("*").alias("n"))

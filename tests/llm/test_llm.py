@@ -100,6 +100,11 @@ def test_packing_covers_all_rows(docs, none):
     assert packing.pack(none).count() == 0
 
 
+def test_long_documents_are_padded_to_a_real_length(spark):
+    rows = packing.pack(table(spark, ["w " * n for n in (3000, 3000, 5001, 5001, 7)]), buckets=3).collect()
+    assert sorted((r.n_tokens, r.bucket_length, r.padding) for r in rows) == [(7, 7, 0), (3000, 3000, 0), (3000, 3000, 0), (5001, 5001, 0), (5001, 5001, 0)]
+
+
 def test_bounds_are_optimal():
     rng = np.random.default_rng(4)
     x = np.sort(rng.choice(np.arange(1, 60), 9, replace=False))
