@@ -6,6 +6,7 @@ Arrow column with numpy, so no Python object is made per word.
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 from collections.abc import Iterator
@@ -149,16 +150,16 @@ def held_out(doc_id: Column, modulus: int, remainder: int) -> Column:
 
 
 def work_dir(spark: SparkSession) -> str:
-    """The shared folder of the cluster (spark.checkpoint.dir); a temporary one, set here, where none is named."""
+    """The shared folder of the cluster (spark.checkpoint.dir). Where none is named, on one machine only, a temporary one is set here."""
     named = spark.conf.get("spark.checkpoint.dir", None)
+    held = spark.sparkContext._jsc.sc().getCheckpointDir()
+    if not named and held.isDefined():
+        return held.get()
     if not named:
-        sc = spark.sparkContext
-        held = sc._jsc.sc().getCheckpointDir()
-        named = held.get() if held.isDefined() else f"file://{tempfile.mkdtemp(prefix='spark-')}"
-        if not held.isDefined():
-            sc.setCheckpointDir(named)
-        return named
-    if not spark.sparkContext._jsc.sc().getCheckpointDir().isDefined():
+        if not re.fullmatch(r"local(\[[^]]*\])?", spark.sparkContext.master):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
+        named = f"file://{tempfile.mkdtemp(prefix='spark-')}"
+    if not held.isDefined():
         spark.sparkContext.setCheckpointDir(named)
     return named
 
@@ -168,4 +169,13 @@ def stored(df, name: str, compression: str = "zstd"):
     spark = df.sparkSession
     path = f"{work_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
     df.write.option("compression", compression).parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._stored_at = path
+    return out
+
+
+def discard(*tables) -> None:
+    """Deletes tables that ``stored`` has written and nothing reads any more."""
+    for t in tables:
+        path = t.sparkSession._jvm.org.apache.hadoop.fs.Path(t._stored_at)
+        path.getFileSystem(t.sparkSession._jsc.hadoopConfiguration()).delete(path, True)
