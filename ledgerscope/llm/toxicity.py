@@ -10,12 +10,13 @@ from collections.abc import Iterator
 from dataclasses import dataclass, field
 
 import ahocorasick
+import numpy as np
 import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ledgerscope.llm.text import held_out
+from ledgerscope.llm.text import held_out, stored
 
 #: Digits and signs that stand for letters.
 DIGITS = {"0": "o", "1": "i", "3": "e", "4": "a", "5": "s", "7": "t", "@": "a"}
@@ -65,14 +66,16 @@ def fold(text: str | None) -> str:
 
 @dataclass
 class Lexicon:
-    """Weights by folded entry: `` word `` is a whole word, `` word`` a beginning. ``exceptions`` are folded phrases."""
+    """Weights by folded entry: `` word `` is a whole word, `` word`` a beginning. ``exceptions`` are folded phrases; a text of
+    up to 400 words with hits of weight ``half`` scores one half."""
 
     weights: dict[str, float]
     exceptions: tuple[str, ...] = EXCEPTIONS
+    half: float = 12.0
     _auto: object = field(default=None, repr=False, compare=False)
 
     def __getstate__(self):
-        return {"weights": self.weights, "exceptions": self.exceptions, "_auto": None}
+        return {"weights": self.weights, "exceptions": self.exceptions, "half": self.half, "_auto": None}
 
     def automaton(self):
         if self._auto is None:
@@ -99,70 +102,131 @@ class Lexicon:
                 found[at] = x
         if free:
             found = {at: x for at, x in found.items() if not any(a <= at < b for a, b in free)}
-        return sum(found.values()), len(found), folded.count(" ")
+        return sum(found.values()), len(found), len(folded.split())
 
+    def score(self, total: float, words: int) -> float:
+        return score(total, words, self.half)
 
-def score(total: float, words: int, half: float = 20.0) -> float:
-    """0 to 1. A hit of weight ``half`` in a text of up to 400 words scores one half; longer texts need more, by the square root of their length."""
-    return 1 - 2.0 ** -(total / (half * max(1.0, math.sqrt(words / 400))))
+
+def strength(total: float, words: int) -> float:
+    """Weight of the hits by length: texts of more than 400 words need more, by the square root of their length."""
+    return total / max(1.0, math.sqrt(words / 400))
+
+
+def score(total: float, words: int, half: float) -> float:
+    """0 to 1; one half at a strength of ``half``."""
+    return 1 - 2.0 ** -(strength(total, words) / half)
+
+
+#: Letters of the word beginnings that are tried as entries.
+BEGINNINGS = range(4, 9)
+
+
+def _entries(text: str | None) -> set[str]:
+    words = set(fold(text).split())
+    return {f" {w} " for w in words} | {f" {w[:n]}" for w in words for n in BEGINNINGS if len(w) > n}
+
+
+def _weigh(counts: dict[str, tuple[int, int]], bad: int, good: int, least: int, ratio: float) -> dict[str, float]:
+    """Entries of toxic documents beyond chance, from their toxic and other document counts.
+
+    A weight is the log ratio of the two shares, smoothed by one. Kept are entries of at least ``least`` toxic documents
+    and a ratio above ``ratio`` that chance would not give any of those tried (Chernoff's bound), less the beginnings that
+    say no more than a longer entry.
+    """
+    found = {f" {w} ": (6.0, 0) for w in SEED_WORDS}
+    if bad and good:
+        share = bad / (bad + good)
+        tried = {e: (b, g) for e, (b, g) in counts.items() if b >= least}
+        for e, (b, g) in tried.items():
+            w = math.log((b + 1) / bad) - math.log((g + 1) / good)
+            sure = b * math.log(b / (b + g) / share) + (g * math.log(g / (b + g) / (1 - share)) if g else 0.0)
+            if w > math.log(ratio) and sure > math.log(len(tried)) + 4.6:
+                found[e] = (max(w, found.get(e, (0.0, 0))[0]), b)
+    longest: dict[str, int] = {}  # of each beginning, the most toxic documents that a longer entry has
+    for e, (_, b) in found.items():
+        for n in range(1 + BEGINNINGS.start, len(e)):
+            longest[e[:n]] = max(longest.get(e[:n], 0), b)
+    return {e: w for e, (w, b) in sorted(found.items()) if e.endswith(" ") or b * 0.9 > longest.get(e, 0)}
 
 
 def learn_lexicon(
     docs: DataFrame, labels: DataFrame, id: str = "doc_id", text: str = "text", label: str = "toxic",
-    max_rows: int = 40_000, max_entries: int = 4_000, least: int = 4,
+    max_rows: int = 40_000, least: int = 4, ratios: tuple[float, ...] = (4.0, 10.0, 25.0), threshold: float = 0.3, folds: int = 3,
 ) -> Lexicon:
-    """Weights from the words, and the word beginnings of four to six letters, of labelled documents.
+    """Weights from the words, and the word beginnings of four to eight letters, of labelled documents, and the scale of scores.
 
-    At most ``max_rows`` labelled rows are used, in the order of a hash of their id. A weight is the log ratio of the
-    entry's document shares in labelled-toxic and other rows, smoothed by one; only entries of at least ``least`` toxic
-    documents, with a ratio above 20 that chance would not give any entry, are kept, and of these at most ``max_entries``. The counts are summed by Spark.
+    At most ``max_rows`` labelled rows are used, in the order of a hash of their id; rows without an id or a label are not.
+    The counts are summed by Spark, by fold. The least ratio of entries and the scale are fitted to the same rows: those of
+    a fold are scored with the entries of the others, and the pair that gives the best F1 at the threshold is taken (the
+    largest ratio and 12 where the rows do not have both labels).
     """
-    known = labels.filter(F.col(label).isNotNull()).groupBy(id).agg(F.max(label).cast("int").alias("__y"))
-    known = known.orderBy(F.xxhash64(F.col(id)), F.col(id)).limit(max_rows)
-    rows = docs.select(id, text).join(F.broadcast(known), id).select(F.col(text).alias("t"), F.col("__y").alias("y"))
+    known = labels.filter(F.col(label).isNotNull() & F.col(id).isNotNull()).groupBy(id).agg(F.max(label).cast("int").alias("__y"))
+    known = known.orderBy(F.xxhash64(F.col(id)), F.col(id)).limit(max_rows).withColumn("__fold", F.pmod(F.xxhash64(F.lit(3), F.col(id)), F.lit(folds)).cast("int"))
+    rows = docs.select(id, text).join(F.broadcast(known), id).select(F.col(text).alias("t"), F.col("__y").alias("y"), F.col("__fold").alias("fold"))
+    rows = stored(rows, "labelled")
 
     def features(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        sums: dict[int, Counter] = {0: Counter(), 1: Counter()}
+        sums: dict[tuple[int, int], Counter] = {}
         for part in parts:
-            for t, y in zip(part["t"], part["y"], strict=True):
-                words = {w for w in fold(t).split() if len(w) > 2}
-                sums[int(y)].update({f" {w} " for w in words} | {f" {w[:n]}" for w in words for n in (4, 5, 6) if len(w) > n})
-                sums[int(y)][""] += 1
-        for y, c in sums.items():
-            if c:
-                yield pd.DataFrame({"entry": list(c), "y": y, "n": list(c.values())})
-
-    counts = rows.mapInPandas(features, "entry string, y int, n long").groupBy("entry").agg(
-        F.sum(F.when(F.col("y") == 1, F.col("n")).otherwise(0)).alias("bad"), F.sum(F.when(F.col("y") == 0, F.col("n")).otherwise(0)).alias("good")
-    )
-    counts = counts.cache()
-    total = counts.agg(
-        F.max(F.when(F.col("entry") == "", F.col("bad"))), F.max(F.when(F.col("entry") == "", F.col("good"))), F.count_if(F.col("bad") >= least)
-    ).collect()[0]
-    bad, good, tests = total[0] or 0, total[1] or 0, max(total[2] or 0, 1)
-    weights = {f" {w} ": 6.0 for w in SEED_WORDS}
-    if bad and good:
-        share = bad / (bad + good)
-        n = F.col("bad") + F.col("good")
-        ratio = F.log((F.col("bad") + 1) / F.lit(float(bad))) - F.log((F.col("good") + 1) / F.lit(float(good)))
-        # Chernoff's bound on so many toxic documents by chance, over all entries tested
-        sure = F.col("bad") * F.log(F.col("bad") / n / share) + F.when(F.col("good") > 0, F.col("good") * F.log(F.col("good") / n / (1 - share))).otherwise(0.0)
-        top = counts.filter((F.col("entry") != "") & (F.col("bad") >= least)).withColumn("w", ratio)
-        top = top.filter((F.col("w") > math.log(20)) & (sure > math.log(tests) + 4.6))
-        for r in top.orderBy(F.desc("w"), "entry").limit(max_entries).collect():
-            weights[r["entry"]] = max(weights.get(r["entry"], 0.0), r["w"])
-    counts.unpersist()
-    return Lexicon(weights)
+            for t, y, k in zip(part["t"], part["y"], part["fold"], strict=True):
+                c = sums.setdefault((int(y), int(k)), Counter())
+                c.update(_entries(t))
+                c[""] += 1
+        for (y, k), c in sums.items():
+            yield pd.DataFrame({"entry": list(c), "y": y, "fold": k, "n": list(c.values())})
+
+    def count(y: int, k: int):
+        return F.sum(F.when((F.col("y") == y) & (F.col("fold") == k), F.col("n")).otherwise(0))
+
+    counts = rows.mapInPandas(features, "entry string, y int, fold int, n long").groupBy("entry").agg(F.array(*[count(y, k) for y in (1, 0) for k in range(folds)]).alias("n"))
+    # an entry of too few toxic documents in all has too few in any folds
+    got = {r["entry"]: r["n"] for r in counts.filter((F.aggregate(F.slice("n", 1, folds), F.lit(0).cast("long"), lambda a, x: a + x) >= least) | (F.col("entry") == "")).collect()}
+    totals = got.pop("", [0] * (2 * folds))
+
+    def lexicon(ratio: float, without: int | None) -> Lexicon:
+        use = [k for k in range(folds) if k != without]
+        two = lambda n: (sum(n[k] for k in use), sum(n[folds + k] for k in use))
+        return Lexicon(_weigh({e: two(n) for e, n in got.items()}, *two(totals), least, ratio))
+
+    if not (sum(totals[:folds]) and sum(totals[folds:])):
+        return lexicon(ratios[-1], None)
+    by_fold = [[lexicon(r, k) for k in range(folds)] for r in ratios]
+
+    def strengths(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for part in parts:
+            found = [[strength(x, n) for x, _, n in (lex[k].hits(t) for lex in by_fold)] for t, k in zip(part["t"], part["fold"], strict=True)]
+            yield pd.DataFrame({"y": part["y"], "x": found})
+
+    seen = rows.mapInPandas(strengths, "y int, x array<double>").toPandas()  # of max_rows rows at most
+    x, y = np.stack(seen["x"].to_list()), seen["y"].to_numpy()
+    best, cut, ratio = max((*_best_cut(x[:, i], y), r) for i, r in enumerate(ratios))
+    out = lexicon(ratio, None)
+    out.half = cut / -math.log2(1 - threshold)
+    return out
+
+
+def _best_cut(x: np.ndarray, y: np.ndarray) -> tuple[float, float]:
+    """The best F1 of "toxic from here on", and the strength between the rows where it is."""
+    values = np.unique(x[x > 0])
+    if not len(values):
+        return 0.0, 6.0
+    order = np.argsort(-x, kind="stable")
+    at = np.searchsorted(-x[order], -values, "right")  # rows with at least that strength
+    hit = np.cumsum(y[order] == 1)[at - 1]
+    f1 = 2 * hit / (at + (y == 1).sum())
+    best = int(np.argmax(f1))
+    return float(f1[best]), float((values[best] + (values[best - 1] if best else 0.0)) / 2)
 
 
 def toxicity(docs: DataFrame, lexicon: Lexicon, id: str = "doc_id", text: str = "text", threshold: float = 0.3) -> DataFrame:
-    """Per row: doc_id, score, predicted, n_hits, n_words. A null or empty text scores 0; rows are independent."""
+    """Per row: doc_id, score, predicted, n_hits, n_words. A null or empty text scores 0; rows are independent; an empty table gives no rows."""
     kind = docs.schema[id].dataType.simpleString()
 
     def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for part in parts:
             found = [lexicon.hits(t) for t in part["t"]]
-            scores = [score(x, n) for x, _, n in found]
+            scores = [lexicon.score(x, n) for x, _, n in found]
             yield pd.DataFrame(
                 {"doc_id": part["doc_id"], "score": scores, "predicted": [int(s >= threshold) for s in scores], "n_hits": [h for _, h, _ in found], "n_words": [n for _, _, n in found]}
             )
@@ -181,11 +245,11 @@ def learn_and_score(docs: DataFrame, labels: DataFrame, id: str = "doc_id", text
 
 
 def keep_clean(docs: DataFrame, lexicon: Lexicon, text: str = "text", threshold: float = 0.3) -> DataFrame:
-    """The rows whose text scores below the threshold, with their columns."""
+    """The rows whose text scores below the threshold, with all their columns; null and empty texts stay, and so does each of repeated rows."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            clean = [score(x, n) < threshold for x, _, n in (lexicon.hits(t) for t in b.column(text).to_pylist())]
+            clean = [lexicon.score(x, n) < threshold for x, _, n in (lexicon.hits(t) for t in b.column(text).to_pylist())]
             yield b.filter(pa.array(clean, pa.bool_()))
 
     return docs.mapInArrow(run, docs.schema)
