@@ -2,42 +2,47 @@
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ledgerscope.llm import exact_dedup, minhash_dedup, mixing, packing, toxicity
-from ledgerscope.llm.text import held_out, work_dir
+from ledgerscope.llm.text import discard, held_out, stored
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
+ROW = "__row"
+
+
+def _numbered(docs: DataFrame) -> DataFrame:
+    """The documents with a number of the row, written, so that a decision holds for one row whatever its id."""
+    return stored(docs.select(*COLUMNS, F.monotonically_increasing_id().alias(ROW)), "numbered")
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the toxicity operator rejects go."""
+    """Documents that the toxicity operator rejects go. Null and empty texts stay; repeated rows are judged alike; without labels the seed words judge."""
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet").filter(~held_out(F.col("doc_id"), 4, 2))
     lexicon = toxicity.learn_lexicon(docs, labels)
     return toxicity.keep_clean(docs, lexicon).select(COLUMNS)
 
 
 def drop_exact_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of equal texts one stays."""
+    """Of equal texts, null and empty ones among them, one stays, whether their ids differ, repeat or are null."""
     return exact_dedup.drop_copies(docs, exact_dedup.dedup(docs, held_out(F.col("doc_id"), 2, 0))).select(COLUMNS)
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near duplicates stays: five-word shingles, similarity of 0.8 or more."""
-    found = minhash_dedup.near_duplicates(docs)
-    return minhash_dedup.drop_near(docs, found).select(COLUMNS)
+    """One document of each group of near duplicates stays: five-word shingles, similarity of 0.8 or more. Rows are told apart by number, so null and repeated ids are judged row by row; a text without words stays."""
+    rows = _numbered(docs)
+    return minhash_dedup.drop_near(rows, minhash_dedup.near_duplicates(rows, id=ROW), id=ROW).select(COLUMNS)
 
 
 def mix_to_weights(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Every document as often as the mix takes it."""
-    return mixing.repeat(docs, mixing.mix_sources(docs)).select(COLUMNS)
+    """Every row as often as the mix takes it: the words of a source sum to what the mix takes of it. Null is a source; empty texts are taken in whole passes only."""
+    rows = _numbered(docs)
+    return mixing.repeat(rows, mixing.mix_sources(rows, row=ROW), ROW).select(COLUMNS)
 
 
 def pack_batches(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Where each row of the mix is packed."""
+    """Where each row of the mix is packed; null and empty texts have no tokens and go to the lowest bucket."""
     return packing.pack(docs)
 
 
@@ -49,15 +54,17 @@ STAGES = [
     ("packing", pack_batches),
 ]
 
-#: Learned weights, signatures and subset sums have no SQL; tests/llm tests the operators of the stages on small tables, not yet run() as a whole.
+#: Learned weights, signatures and subset sums have no SQL; tests/llm holds run() to its operators, stage by stage, on a small table.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Applies the stages to ``documents``; what a stage returns is written to the shared folder and read for the next."""
+    """Applies the stages to ``documents``; what a stage returns is written to the shared folder and read for the next, and then deleted. The last stage's rows stay there."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    before = None
     for name, stage in STAGES:
-        path = f"{work_dir(spark).rstrip('/')}/pipeline-{name}-{uuid.uuid4().hex}"
-        stage(spark, docs, sf_dir).write.parquet(path)
-        docs = spark.read.parquet(path)
+        docs = stored(stage(spark, docs, sf_dir), f"pipeline-{name}")
+        if before is not None:
+            discard(before)
+        before = docs
     return docs

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ledgerscope.llm.text import stored
+from ledgerscope.llm.text import discard, stored
 
 
 def _sum(edges: DataFrame) -> tuple:
@@ -14,11 +14,16 @@ def _sum(edges: DataFrame) -> tuple:
 
 
 def _star(edges: DataFrame, large: bool) -> DataFrame:
-    """Large: each node gives its larger neighbours its least neighbour. Small: it gives the same to its smaller ones and itself."""
+    """Large: each node gives its larger neighbours its least neighbour. Small: it gives the same to its smaller ones and itself.
+
+    The edges of a hub are split by the adaptive skew join, which repeats the hub's one row of ``least`` for each split.
+    """
     both = edges.select("a", "b").union(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
     if not large:
         both = both.filter("b < a")
-    least = both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))
+    # in two steps, so that the hub of a large star is no row for every task before in one task
+    part = both.withColumn("part", F.pmod(F.spark_partition_id(), F.lit(32))).groupBy("a", "part").agg(F.min("b").alias("m"))
+    least = part.groupBy("a").agg(F.min("m").alias("m")).select("a", F.least("a", "m").alias("m"))
     out = both.join(least, "a")
     if large:
         out = out.filter("b > a").select(F.col("b").alias("a"), F.col("m").alias("b"))
@@ -32,7 +37,8 @@ def components(links: DataFrame) -> DataFrame:
     edges = stored(links.filter("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "edges")
     before = _sum(edges)
     while before[0]:
-        edges = stored(_star(_star(edges, True), False), "edges")
+        old, edges = edges, stored(_star(_star(edges, True), False), "edges")
+        discard(old)
         after = _sum(edges)
         if after == before:
             break

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import functools
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -12,21 +14,29 @@ from pyspark.sql import functions as F
 from ledgerscope.llm.graph import components
 from ledgerscope.llm.text import mix, pieces, stored, words_of
 
-#: 24 bands of 6 minima: a pair at 0.85 meets in a band but for 1 case in 80,000, at 0.8 but for 1 in 1,400.
-BANDS, ROWS = 24, 6
 #: Low bits kept of each minimum: 16 to a long.
 BITS = 4
-#: Candidates whose estimate is this far below the threshold are dropped unconfirmed: more than six standard errors.
+#: Candidates whose estimate is this far below the threshold are dropped unconfirmed: more than five standard errors.
 MARGIN = 0.2
+#: A pair at the threshold meets in no band in fewer cases than this.
+MISSED = 2e-5
 
-_K = BANDS * ROWS
 
+def band_plan(percent: int) -> tuple[int, int]:
+    """Bands and minima in each, for a threshold: 24 of 6 at 85, 32 of 5 at 80. All minima together fill whole longs."""
+    s = min(max(percent, 1), 99) / 100
+    rows = max(1, round(math.log(0.35) / math.log(s)))
+    bands = math.ceil(math.log(MISSED) / math.log(1 - s**rows) - 0.5)
+    while bands * rows % (64 // BITS):
+        bands += 1
+    return bands, rows
 
+
+@functools.cache
 def _odd(n: int, seed: int) -> np.ndarray:
     return np.random.default_rng(seed).integers(1, 1 << 63, n, np.uint64) | np.uint64(1)
 
 
-_MULT, _ADD, _BAND = _odd(_K, 11), _odd(_K, 12), _odd(_K, 13)
 _WINDOW = _odd(64, 14)
 
 
@@ -42,11 +52,11 @@ def shingle_hashes(words: np.ndarray, k: int) -> np.ndarray:
     return np.unique(mix(h))
 
 
-def signature(shingles: np.ndarray) -> np.ndarray:
-    """The minima of all permutations (multiply and add modulo 2^64, upper half), piece by piece for long sets."""
-    least = np.full(_K, np.uint64(0xFFFFFFFFFFFFFFFF))
+def signature(shingles: np.ndarray, k: int) -> np.ndarray:
+    """The minima of k permutations (multiply and add modulo 2^64), piece by piece for long sets."""
+    least = np.full(k, np.uint64(0xFFFFFFFFFFFFFFFF))
     for a in range(0, len(shingles), 2048):
-        np.minimum(least, (shingles[a : a + 2048, None] * _MULT + _ADD).min(axis=0), out=least)
+        np.minimum(least, (shingles[a : a + 2048, None] * _odd(k, 11) + _odd(k, 12)).min(axis=0), out=least)
     return mix(least)
 
 
@@ -55,8 +65,8 @@ def _pack(least: np.ndarray) -> np.ndarray:
     return (low << (np.arange(64 // BITS, dtype=np.uint64) * np.uint64(BITS))).sum(axis=1, dtype=np.uint64).view(np.int64)
 
 
-def _bands(least: np.ndarray) -> np.ndarray:
-    keys = (least * _BAND).reshape(BANDS, ROWS).sum(axis=1, dtype=np.uint64) + np.arange(BANDS, dtype=np.uint64)
+def _bands(least: np.ndarray, bands: int) -> np.ndarray:
+    keys = (least * _odd(len(least), 13)).reshape(bands, -1).sum(axis=1, dtype=np.uint64) + np.arange(bands, dtype=np.uint64)
     return mix(keys).view(np.int64)
 
 
@@ -66,8 +76,9 @@ def _key(shingles: np.ndarray) -> tuple[int, int]:
     return tuple(int(mix(x).sum(dtype=np.uint64).view(np.int64)) for x in both)
 
 
-def signatures(docs: DataFrame, shingle: int, id: str, text: str) -> DataFrame:
+def signatures(docs: DataFrame, shingle: int, percent: int, id: str, text: str) -> DataFrame:
     """Per row: doc_id, n (set size), k1 and k2 (a 128-bit key of the set), sig (packed low bits), bands (band keys)."""
+    n_bands, n_rows = band_plan(percent)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in pieces(batches, "t"):
@@ -78,9 +89,9 @@ def signatures(docs: DataFrame, shingle: int, id: str, text: str) -> DataFrame:
                 n.append(len(s))
                 for to, key in zip((k1, k2), _key(s), strict=True):
                     to.append(key)
-                least = signature(s) if len(s) else None
+                least = signature(s, n_bands * n_rows) if len(s) else None
                 sig.append(_pack(least) if len(s) else None)
-                bands.append(_bands(least) if len(s) else None)
+                bands.append(_bands(least, n_bands) if len(s) else None)
             longs = pa.list_(pa.int64())
             yield pa.RecordBatch.from_arrays(
                 [b.column("doc_id"), pa.array(n, pa.int64()), pa.array(k1, pa.int64()), pa.array(k2, pa.int64()), pa.array(sig, longs), pa.array(bands, longs)],
@@ -93,11 +104,11 @@ def signatures(docs: DataFrame, shingle: int, id: str, text: str) -> DataFrame:
     )
 
 
-def estimate(a: Column, b: Column) -> Column:
-    """Similarity from packed low bits: the share of equal ones, less what chance makes equal, 2^-b."""
+def estimate(a: Column, b: Column, k: int) -> Column:
+    """Similarity from the packed low bits of k minima: the share of equal ones, less what chance makes equal, 2^-b."""
     ones = int("1" * (64 // BITS), 16)  # the lowest bit of every field
     unequal = None
-    for j in range(_K * BITS // 64):
+    for j in range(k * BITS // 64):
         x = F.get(a, F.lit(j)).bitwiseXOR(F.get(b, F.lit(j)))
         folded = x
         for s in range(1, BITS):
@@ -105,7 +116,7 @@ def estimate(a: Column, b: Column) -> Column:
         count = F.bit_count(folded.bitwiseAND(F.lit(ones)))
         unequal = count if unequal is None else unequal + count
     chance = 2.0**-BITS
-    return ((1 - unequal / _K) - chance) / (1 - chance)
+    return ((1 - unequal / k) - chance) / (1 - chance)
 
 
 def _likely(pairs: DataFrame, reps: DataFrame, percent: int) -> DataFrame:
@@ -113,7 +124,7 @@ def _likely(pairs: DataFrame, reps: DataFrame, percent: int) -> DataFrame:
     x = pairs.join(reps.select(F.col("rep").alias("a"), F.col("n").alias("na"), F.col("sig").alias("sa")), "a")
     x = x.join(reps.select(F.col("rep").alias("b"), F.col("n").alias("nb"), F.col("sig").alias("sb")), "b")
     x = x.filter(F.least("na", "nb") * 100 >= F.greatest("na", "nb") * percent)
-    return x.filter(estimate(F.col("sa"), F.col("sb")) >= percent / 100 - MARGIN).select("a", "b")
+    return x.filter(estimate(F.col("sa"), F.col("sb"), math.prod(band_plan(percent))) >= percent / 100 - MARGIN).select("a", "b")
 
 
 def _sets(docs: DataFrame, wanted: DataFrame, shingle: int, id: str, text: str) -> DataFrame:
@@ -218,7 +229,7 @@ def near_duplicates(docs: DataFrame, id: str = "doc_id", text: str = "text", shi
     alone. A null id has no component and is kept. Rows that repeat an id and a set are one document; an id with several
     sets has the links of each, and a component per row.
     """
-    sigs = stored(signatures(docs, shingle, id, text), "signatures")
+    sigs = stored(signatures(docs, shingle, percent, id, text), "signatures")
     classes = sigs.filter("n > 0 AND doc_id IS NOT NULL").groupBy("k1", "k2", "n").agg(F.min("doc_id").alias("rep"))
     # by the id too, so that a large class of copies is spread; an id with several texts stands for each of their sets
     owner = ["doc_id", "k1", "k2", "n"]
@@ -249,6 +260,6 @@ def near_duplicates(docs: DataFrame, id: str = "doc_id", text: str = "text", shi
 
 
 def drop_near(docs: DataFrame, found: DataFrame, id: str = "doc_id") -> DataFrame:
-    """The rows whose id is kept, with their columns; rows with a null id stay, and so does an id of which any row is kept."""
+    """The rows whose id is kept, with their columns; rows with a null id stay, and so does an id of which any row is kept. With a number of the row as the id, rows are judged one by one."""
     gone = found.groupBy(F.col("doc_id").alias(id)).agg(F.bool_or("kept").alias("__kept")).filter("NOT __kept").select(id)
     return docs.join(gone, id, "left_anti")

@@ -7,7 +7,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ledgerscope.llm.text import stored, word_count
+from ledgerscope.llm.text import in_lots, stored, word_count
 
 #: Documents of one source and length are dealt by a seeded hash of their id to so many lots, each ranked by itself.
 LOTS = 256
@@ -39,6 +39,38 @@ def source_targets(sizes: DataFrame, weights: tuple[float, ...] = (5.0, 2.0, 1.0
     )
 
 
+def _reach(n: np.ndarray, free: np.ndarray, rest: int) -> list[tuple[int, int]]:
+    """How many of which length to take so that their sum is as near below ``rest`` as can be, by bounded-knapsack dynamic programming.
+
+    Bit r of a set says that r is reachable. Of the sets only every sixty-fourth is kept for the way back, and those
+    between are made again.
+    """
+    moves, kept = [], []
+    mask, reach = (1 << (rest + 1)) - 1, 1
+    for i in range(len(n)):
+        left, power = (min(int(free[i]), rest // int(n[i])) if n[i] else 0), 1
+        while left > 0 and not reach >> rest & 1:
+            if len(moves) % 64 == 0:
+                kept.append(reach)
+            k = min(power, left)
+            moves.append((i, k))
+            reach |= reach << (k * int(n[i])) & mask
+            left -= k
+            power *= 2
+        if reach >> rest & 1:
+            break
+    at, out = reach.bit_length() - 1, []
+    for lot in range(len(kept) - 1, -1, -1):
+        part, sets = moves[64 * lot : 64 * lot + 64], [kept[lot]]
+        for i, k in part[:-1]:
+            sets.append(sets[-1] | sets[-1] << (k * int(n[i])) & mask)
+        for (i, k), before in zip(reversed(part), reversed(sets), strict=True):
+            if not before >> at & 1:
+                out.append((i, k))
+                at -= k * int(n[i])
+    return out
+
+
 def fit_counts(lengths: np.ndarray, counts: np.ndarray, budget: int) -> np.ndarray:
     """How many documents of each length to take so that their lengths sum to ``budget``, or as near below as can be.
 
@@ -63,24 +95,8 @@ def fit_counts(lengths: np.ndarray, counts: np.ndarray, budget: int) -> np.ndarr
                 k = min(int(c[i] - take[i]), max(0, rest - bound) // int(n[i]) + 1, rest // int(n[i]))
                 take[i] += k
                 rest -= k * int(n[i])
-        reach, steps = 1, []
-        mask = (1 << (rest + 1)) - 1
-        for i in range(len(n)):
-            free, power = int(c[i] - take[i]), 1
-            free = min(free, rest // int(n[i])) if n[i] else 0
-            while free > 0 and not reach >> rest & 1:
-                k = min(power, free)
-                steps.append((i, k, reach))
-                reach |= reach << (k * int(n[i])) & mask
-                free -= k
-                power *= 2
-            if reach >> rest & 1:
-                break
-        at = reach.bit_length() - 1
-        for i, k, before in reversed(steps):
-            if not before >> at & 1:
-                take[i] += k
-                at -= k * int(n[i])
+        for i, k in _reach(n, c - take, rest):
+            take[i] += k
     out = np.zeros(len(n), np.int64)
     out[order] = take
     return out
@@ -88,23 +104,23 @@ def fit_counts(lengths: np.ndarray, counts: np.ndarray, budget: int) -> np.ndarr
 
 def mix_sources(
     docs: DataFrame, id: str = "doc_id", text: str = "text", source: str = "source", seed: int = 17,
-    weights: tuple[float, ...] = (5.0, 2.0, 1.0), share: float = 1.5, most: float = 2.0,
+    weights: tuple[float, ...] = (5.0, 2.0, 1.0), share: float = 1.5, most: float = 2.0, row: str | None = None,
 ) -> DataFrame:
-    """Per row: doc_id, size, source, source_size, target, copies (0, 1, ... up to ``most``) and taken (size times copies).
+    """Per row: doc_id, row (the column named so, else a number), size, source, source_size, target, copies (0, 1, ... up to ``most``) and taken (size times copies).
 
     A source gets as many whole passes as fit its target; what is left is a subset sum over its documents' exact
     lengths, and the documents of a length are chosen by a seeded hash of the id, so reruns agree. Null is a source of
     its own; a null or empty text has size 0 and is never taken beyond the whole passes. Repeated rows of one id are
-    documents of their own, told apart by their order. An empty table gives no rows.
+    documents of their own, told apart by their row. An empty table gives no rows.
     """
     rows = stored(
         docs.select(
             F.col(f"`{id}`").alias("doc_id"), F.col(f"`{source}`").cast("string").alias("source"), word_count(F.col(f"`{text}`")).alias("size"),
-            F.xxhash64(F.lit(seed), F.col(f"`{id}`").cast("string")).alias("draw"),
+            F.xxhash64(F.lit(seed), F.col(f"`{id}`").cast("string")).alias("draw"), (F.col(f"`{row}`") if row else F.monotonically_increasing_id()).alias("row"),
         ),
         "sizes",
     )
-    rows = rows.withColumn("lot", F.pmod("draw", F.lit(LOTS)).cast("int"))
+    rows = in_lots(rows, LOTS)
     lots = rows.groupBy("source", "size", "lot").agg(F.count("*").alias("n"))
     lots = stored(lots, "lots")
     by_length = lots.groupBy("source", "size").agg(F.sum("n").alias("n"))
@@ -127,18 +143,21 @@ def mix_sources(
     dealt = lots.withColumn("earlier", F.coalesce(earlier, F.lit(0)))
     dealt = dealt.alias("d").join(plan.alias("p"), F.col("d.source").eqNullSafe(F.col("p.source")) & (F.col("d.size") == F.col("p.size")))
     dealt = dealt.select("d.source", "d.size", "d.lot", "source_size", "target", "passes", (F.col("more") - F.col("earlier")).alias("here"))
-    rank = F.row_number().over(Window.partitionBy("source", "size", "lot").orderBy("draw", "doc_id"))
+    rank = F.row_number().over(Window.partitionBy("source", "size", "lot").orderBy("draw", "doc_id", "row"))
     ranked = rows.withColumn("rank", rank)
     out = ranked.alias("r").join(
         dealt.alias("d"),
         F.col("r.source").eqNullSafe(F.col("d.source")) & (F.col("r.size") == F.col("d.size")) & (F.col("r.lot") == F.col("d.lot")),
     )
     copies = F.col("passes") + F.when(F.col("rank") <= F.col("here"), 1).otherwise(0)
-    return out.select("doc_id", "r.size", "r.source", "source_size", "target", copies.alias("copies"), (F.col("r.size") * copies).alias("taken"))
+    return out.select("doc_id", "row", "r.size", "r.source", "source_size", "target", copies.alias("copies"), (F.col("r.size") * copies).alias("taken"))
+
 
+def repeat(docs: DataFrame, mixed: DataFrame, row: str) -> DataFrame:
+    """The rows of ``docs`` with their columns, each as often as the mix takes it, where ``row`` is the column that told rows apart there.
 
-def repeat(docs: DataFrame, mixed: DataFrame, id: str = "doc_id") -> DataFrame:
-    """The rows of ``docs`` with their columns, each as often as the mix takes it. Ids that repeat share the mean of their copies, rounded up."""
-    copies = mixed.groupBy(F.col("doc_id").alias("__id")).agg(F.ceil(F.avg("copies")).cast("int").alias("__copies")).filter("__copies > 0")
-    rows = docs.join(copies, docs[id].eqNullSafe(F.col("__id")))
-    return rows.withColumn("__copy", F.explode(F.sequence(F.lit(1), F.col("__copies")))).drop("__id", "__copies", "__copy")
+    Rows with a null id or an id of other rows too are taken by their own copies. An empty table gives no rows.
+    """
+    copies = mixed.filter("copies > 0").select(F.col("row").alias("__taken"), F.col("copies").alias("__copies"))
+    rows = docs.join(copies, F.col(f"`{row}`") == F.col("__taken"))
+    return rows.withColumn("__copy", F.explode(F.sequence(F.lit(1), F.col("__copies")))).drop("__taken", "__copies", "__copy")

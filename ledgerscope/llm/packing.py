@@ -6,7 +6,7 @@ import numpy as np
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ledgerscope.llm.text import stored, word_count
+from ledgerscope.llm.text import in_lots, stored, word_count
 
 #: Lengths up to here are histogram cells of their own; above, cells grow by 1/512, so a histogram has a bounded number of cells.
 EXACT_LENGTHS = 2048
@@ -69,20 +69,21 @@ def pack(docs: DataFrame, id: str = "doc_id", text: str = "text", buckets: int =
     unless one row alone exceeds it. A null or empty text has 0 tokens and goes to the lowest bucket. Repeated rows are
     packed each; an empty table gives no rows. Only the histogram, of a bounded number of cells, reaches the driver.
     """
-    spark = docs.sparkSession
     rows = docs.select(F.col(f"`{id}`").alias("doc_id"), word_count(F.col(f"`{text}`")).alias("n_tokens"))
-    rows = stored(rows.withColumn("cell", _cell(F.col("n_tokens"))).withColumn("draw", F.xxhash64(F.lit(seed), F.col("doc_id").cast("string"))), "lengths")
+    rows = rows.withColumn("draw", F.xxhash64(F.lit(seed), F.col("doc_id").cast("string"))).withColumn("row", F.monotonically_increasing_id())
+    rows = stored(rows.withColumn("cell", _cell(F.col("n_tokens"))), "lengths")
     cells = rows.groupBy("cell").agg(F.count("*").alias("n"), F.max("n_tokens").alias("longest"), F.sum("n_tokens").alias("tokens")).orderBy("cell").toPandas()
     bounds = best_bounds(cells["longest"].to_numpy(), cells["n"].to_numpy(), buckets, cells["tokens"].to_numpy()) if len(cells) else np.array([0])
     lots = 1 + int(cells["n"].sum()) // LOT_ROWS if len(cells) else 1
     lots = max(lots, 64)
     of = F.size(F.filter(F.array(*[F.lit(int(b)) for b in bounds]), lambda b: b < F.col("n_tokens"))).cast("int")
     length = F.element_at(F.array(*[F.lit(int(b)) for b in bounds]), F.col("bucket") + 1).cast("long")
-    rows = rows.withColumn("bucket", of).withColumn("bucket_length", length).withColumn("lot", F.pmod("draw", F.lit(lots)).cast("int"))
+    rows = rows.withColumn("bucket", of).withColumn("bucket_length", length)
+    rows = in_lots(rows, lots)
     counted = rows.groupBy("bucket", "lot").agg(F.count("*").alias("n"))
     before = F.sum("n").over(Window.partitionBy("bucket").orderBy("lot").rowsBetween(Window.unboundedPreceding, -1))
     places = counted.withColumn("before", F.coalesce(before, F.lit(0))).withColumn("all", F.sum("n").over(Window.partitionBy("bucket"))).drop("n")
-    within = F.row_number().over(Window.partitionBy("bucket", "lot").orderBy("draw", "doc_id", "n_tokens"))
+    within = F.row_number().over(Window.partitionBy("bucket", "lot").orderBy("draw", "doc_id", "n_tokens", "row"))
     joined = rows.withColumn("within", within).join(places, ["bucket", "lot"])
     per = F.greatest(F.lit(1), F.floor(F.lit(budget) / F.greatest(F.col("bucket_length"), F.lit(1)))).cast("long")
     at = F.col("before") + F.col("within") - 1

@@ -179,3 +179,15 @@ def discard(*tables) -> None:
     for t in tables:
         path = t.sparkSession._jvm.org.apache.hadoop.fs.Path(t._stored_at)
         path.getFileSystem(t.sparkSession._jsc.hadoopConfiguration()).delete(path, True)
+
+
+def in_lots(rows, lots: int):
+    """Adds ``lot``, from (doc_id, draw, row): by the draw, so that reruns agree, but by the row where one id has over a thousandth of the rows.
+
+    There are at most a thousand such ids, a null one among them; they are broadcast. Rows of such an id may change places.
+    """
+    least = max(rows.count() // 1000, 100)
+    many = rows.groupBy(F.col("doc_id").alias("__id")).agg(F.count("*").alias("__n")).filter(F.col("__n") > least)
+    out = rows.join(F.broadcast(many), F.col("doc_id").eqNullSafe(F.col("__id")), "left")
+    key = F.when(F.col("__n").isNotNull(), F.xxhash64("draw", "row")).otherwise(F.col("draw"))
+    return out.withColumn("lot", F.pmod(key, F.lit(lots)).cast("int")).drop("__id", "__n")
