@@ -61,40 +61,48 @@ def _sum(values: Column) -> Column:
     return F.aggregate(values, F.lit(0).cast("long"), lambda a, x: a + x)
 
 
+def _before(values: Column) -> Column:
+    """The sum of the values before each, as an array built by appending."""
+    start = F.struct(F.lit(0).cast("long").alias("sum"), F.array().cast("array<bigint>").alias("sums"))
+    return F.aggregate(values, start, lambda a, x: F.struct((a["sum"] + x).alias("sum"), F.concat(a["sums"], F.array(a["sum"])).alias("sums")))["sums"]
+
+
+#: Turns that are added up together. Appending copies an array each time, so arrays stay short.
+_RUN = 256
+
+
+def _begins(lengths: Column, first: int) -> Column:
+    """Where each piece begins, for a conversation of any number of turns: within runs of turns, then from run to run."""
+    runs = F.transform(F.sequence(F.lit(0), F.floor((F.size(lengths) - 1) / _RUN).cast("int")), lambda k: F.slice(lengths, k * _RUN + 1, F.lit(_RUN)))
+    return F.flatten(F.zip_with(F.transform(runs, _before), _before(F.transform(runs, _sum)), lambda inside, at: F.transform(inside, lambda x: x + at + first)))
+
+
 def format_chats(turns: DataFrame, conv: str = "conv_id", turn: str = "turn", role: str = "role", parts: str = "parts", train_on: str = "assistant") -> DataFrame:
     """One row per conversation: conv_id, n_turns, formatted, loss_spans, attachments, attachment_tokens, text_tokens.
 
     ``formatted`` is ``<s>`` and, for each turn by number, ``<|role|>``, a line break, the parts and ``<|end|>`` with a
     line break. ``loss_spans`` are the 1-based start and length, in code points, of the contents of turns of the role
     ``train_on``, without markers. ``attachments`` are (place, kind, ref) in order of appearance. Turns with equal
-    numbers follow their role, then their text; a null number comes first, a null role is empty, a null id is a
-    conversation of its own. A conversation is one output row, so its turns meet in one task; each row reaches the
-    shuffle already formatted.
+    numbers follow their role, then their parts (kind, then text as given); a null number comes first, a null role is
+    empty, a null text is empty, a null id is a conversation of its own, an empty table gives no rows. Columns other than
+    the four named are not read. A conversation is one output row, so its turns meet in one task.
     """
     p = F.coalesce(F.col(f"`{parts}`"), F.array().cast(f"array<{PART}>"))
     who = F.coalesce(F.col(f"`{role}`"), F.lit(""))
-    body = F.array_join(F.transform(p, _visit), "")
-    refs = F.transform(
-        F.filter(p, lambda x: F.coalesce(x["kind"], F.lit("text")) != "text"),
+    one = turns.select(F.col(f"`{conv}`").alias("conv_id"), F.struct(F.col(f"`{turn}`").alias("turn"), who.alias("role"), p.alias("parts")).alias("t"))
+    chats = one.groupBy("conv_id").agg(F.array_sort(F.collect_list("t")).alias("sorted"))
+    refs = lambda parts: F.transform(
+        F.filter(parts, lambda x: F.coalesce(x["kind"], F.lit("text")) != "text"),
         lambda x: F.struct(F.when(x["kind"].isin(*UNIT_TOKENS), x["kind"]).otherwise("document").alias("kind"), x["ref"].alias("ref")),
     )
-    one = turns.select(
-        F.col(f"`{conv}`").alias("conv_id"),
-        F.struct(
-            F.col(f"`{turn}`").alias("turn"), who.alias("role"), body.alias("body"), refs.alias("refs"),
-            _sum(F.transform(p, _units)).alias("units"), _sum(F.transform(p, _text_tokens)).alias("words"),
-        ).alias("t"),
+    visited = lambda t: F.struct(
+        t["role"].alias("role"), F.array_join(F.transform(t["parts"], _visit), "").alias("body"), refs(t["parts"]).alias("refs"),
+        _sum(F.transform(t["parts"], _units)).alias("units"), _sum(F.transform(t["parts"], _text_tokens)).alias("words"),
     )
-    chats = one.groupBy("conv_id").agg(F.array_sort(F.collect_list("t")).alias("ts"))
+    chats = chats.withColumn("ts", F.transform("sorted", visited)).drop("sorted")
     piece = lambda t: F.concat(F.lit(OPEN), escape(t["role"]), F.lit(SHUT), t["body"], F.lit(END))
     chats = chats.withColumn("pieces", F.transform("ts", piece))
-    # begins[k] is the length of the output before turn k
-    grow = F.struct(
-        F.lit(len(BEGIN)).cast("long").alias("at"), F.array().cast("array<bigint>").alias("starts")
-    )
-    begins = F.aggregate(
-        "pieces", grow, lambda a, x: F.struct((a["at"] + F.length(x)).alias("at"), F.concat(a["starts"], F.array(a["at"])).alias("starts"))
-    )["starts"]
+    begins = _begins(F.transform("pieces", lambda x: F.length(x).cast("long")), len(BEGIN))
     spans = F.filter(
         F.transform(
             F.arrays_zip("ts", F.col("begins")),

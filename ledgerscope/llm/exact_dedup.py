@@ -162,31 +162,29 @@ def screen(groups: DataFrame, snapshot: Snapshot) -> DataFrame:
     return snapshot.filters.groupBy("bucket").cogroup(marked.groupBy("bucket")).applyInPandas(look, "digest binary, maybe boolean")
 
 
-#: Bits of the screen that goes to every task before texts are moved: a megabyte, whatever the input.
-SCREEN_BITS = 1 << 23
+#: Bits of the screen for each wanted digest, and at most: 64 MB go to every task, whatever the input.
+SCREEN_SHARE, SCREEN_MOST = 16, 1 << 29
 
 
-def _bit(digest: Column) -> Column:
-    return F.pmod(F.xxhash64(digest), F.lit(SCREEN_BITS)) + 1
-
-
-def _screened(rows: DataFrame, wanted: DataFrame) -> DataFrame:
-    """Rows whose digest may be wanted. The wanted digests set bits of a bitmap of fixed size, at most 256 rows of 4 kB, which is
-    broadcast; the fuller it is, the more rows pass, and none that is wanted is lost."""
-    marks = wanted.select(_bit(F.col("digest")).alias("x")).groupBy(F.bitmap_bucket_number("x").alias("__page")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("x")).alias("__bits"))
-    x = rows.withColumn("__x", _bit(F.col("digest")))
+def _screened(rows: DataFrame, wanted: DataFrame, n: int) -> DataFrame:
+    """Rows whose digest may be one of the n wanted. These set bits of a bitmap that is sized by their count up to a bound and broadcast in pages
+    of 4 kB; beyond the bound more other rows pass and move, but none that is wanted is lost."""
+    bits = min(SCREEN_MOST, max(1 << 16, 1 << math.ceil(math.log2(max(n, 1) * SCREEN_SHARE))))
+    bit = lambda digest: F.pmod(F.xxhash64(digest), F.lit(bits)) + 1
+    marks = wanted.select(bit(F.col("digest")).alias("x")).groupBy(F.bitmap_bucket_number("x").alias("__page")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("x")).alias("__bits"))
+    x = rows.withColumn("__x", bit(F.col("digest")))
     at = F.bitmap_bit_position("__x")
     byte = F.conv(F.hex(F.substring("__bits", (F.floor(at / 8) + 1).cast("int"), F.lit(1))), 16, 10).cast("int")
     hit = byte.bitwiseAND(F.call_function("shiftleft", F.lit(1), (at % 8).cast("int"))) != 0
     return x.join(F.broadcast(marks), F.bitmap_bucket_number("__x") == F.col("__page")).filter(hit).drop("__x", "__page", "__bits")
 
 
-def _texts(docs: DataFrame, wanted: DataFrame, id: str, text: str) -> DataFrame:
+def _texts(docs: DataFrame, wanted: DataFrame, n: int, id: str, text: str) -> DataFrame:
     """The normalised text of each wanted (digest, side, doc_id): of repeated rows one."""
     body = docs.select(F.col(f"`{id}`").alias("doc_id"), normalised(F.col(f"`{text}`")).alias("body")).withColumn(
         "digest", F.unhex(F.sha2("body", 256))
     )
-    body = _screened(body, wanted)
+    body = _screened(body, wanted, n)
     w = wanted.select(F.col("digest").alias("w_digest"), F.col("doc_id").alias("w_id"), "side")
     found = body.join(w, F.col("doc_id").eqNullSafe(F.col("w_id")) & (F.col("digest") == F.col("w_digest"))).select("digest", "side", "body")
     return found.groupBy("digest", "side").agg(F.min("body").alias("body"))
@@ -210,7 +208,7 @@ def dedup(docs: DataFrame, snapshot_if: Column, id: str = "doc_id", text: str =
     wanted = pairs.select("digest", F.lit("held").alias("side"), F.col("old.doc_id").alias("doc_id")).unionByName(
         pairs.select("digest", F.lit("new").alias("side"), F.col("new.doc_id").alias("doc_id"))
     )
-    bodies = _texts(docs, wanted, id, text)
+    bodies = _texts(docs, wanted, pairs.count(), id, text)
     # equal digests of unequal bytes: such a group stays by itself
     unequal = bodies.groupBy("digest").agg((F.min("body") != F.max("body")).alias("unequal")).filter("unequal")
     sides = (

@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from ledgerscope.llm.text import Words, held_out, pieces, stored, words_of
 
 DIMS = 32
-#: Words share so many vectors by hash; word endings and shapes have index vectors of their own.
+#: A word's index vector follows from its hash; its context sum shares one of so many rows by hash. Word endings and shapes have index vectors of their own.
 WORD_ROWS, END_ROWS, SHAPE_ROWS = 1 << 13, 1 << 12, 4096
 _PIECE = 1 << 17
 #: Context sums are added up in so many parts.
@@ -27,7 +27,15 @@ def _index_vectors(rows: int, seed: int) -> np.ndarray:
     return rng.choice(np.array([-1, 0, 0, 0, 0, 0, 0, 1], np.float32), size=(rows, DIMS))
 
 
-WORD_INDEX, END_INDEX, SHAPE_INDEX = (_index_vectors(n, s) for n, s in ((WORD_ROWS, 1), (END_ROWS, 2), (SHAPE_ROWS, 3)))
+END_INDEX, SHAPE_INDEX = (_index_vectors(n, s) for n, s in ((END_ROWS, 2), (SHAPE_ROWS, 3)))
+#: An eighth of an index vector for each value of a byte of the hash: eight bytes give 2^64 vectors.
+_EIGHTHS = _index_vectors(8 * 256, 1)[:, : DIMS // 8].reshape(8, 256, DIMS // 8)
+
+
+def index_vectors(hashes: np.ndarray) -> np.ndarray:
+    """The sparse ternary index vectors of words, from their 64-bit hashes alone."""
+    parts = np.ascontiguousarray(hashes).view(np.uint8).reshape(-1, 8)
+    return np.concatenate([_EIGHTHS[k][parts[:, k]] for k in range(8)], axis=1)
 
 
 def _classes() -> np.ndarray:
@@ -59,9 +67,9 @@ def _features(w: Words, a: int, b: int) -> tuple[np.ndarray, np.ndarray, np.ndar
 
 @dataclass
 class WordVectors:
-    """``words``: per hashed word, its own index vector plus the normalised sum of those of its neighbours in the corpus."""
+    """``context``: per row of words, the normalised sum of the index vectors of their neighbours in the corpus; a word's vector is its own plus that."""
 
-    words: np.ndarray
+    context: np.ndarray
 
     def pool(self, column: pa.Array) -> np.ndarray:
         """One row per text: the mean of its words' vectors (word, ending, shape), then log(1 + words). No words: zeros."""
@@ -72,8 +80,9 @@ class WordVectors:
         for a in range(0, len(w.hashes), _PIECE):
             b = min(a + _PIECE, len(w.hashes))
             f, e, s = _features(w, a, b)
-            v = self.words[f] + END_INDEX[e]
-            v += SHAPE_INDEX[s]
+            v = index_vectors(w.hashes[a:b])
+            for more in (self.context[f], END_INDEX[e], SHAPE_INDEX[s]):
+                v += more
             d0, d1 = np.searchsorted(w.first, a, "right") - 1, np.searchsorted(w.first, b, "left")
             rows = np.arange(d0, d1)
             rows = rows[n[rows] > 0]
@@ -90,13 +99,14 @@ def _context_sums(w: Words) -> np.ndarray:
     for shift in (1, 2):
         left, right = rows[:-shift], rows[shift:]
         same = doc[:-shift] == doc[shift:]
-        for a, b in ((left[same], right[same]), (right[same], left[same])):
+        ahead, behind = w.hashes[shift:][same], w.hashes[:-shift][same]
+        for a, b in ((left[same], ahead), (right[same], behind)):
             order = np.argsort(a, kind="stable")
             for k in range(0, len(order), _PIECE):
                 o = order[k : k + _PIECE]
                 key = a[o]
                 first = np.flatnonzero(np.r_[True, key[1:] != key[:-1]])
-                out[key[first]] += np.add.reduceat(WORD_INDEX[b[o]], first, axis=0)
+                out[key[first]] += np.add.reduceat(index_vectors(b[o]), first, axis=0)
     return out
 
 
@@ -187,8 +197,7 @@ def fit(
         return None
     context = corpus_context(docs, text)
     norm = np.linalg.norm(context, axis=1, keepdims=True)
-    own = np.linalg.norm(WORD_INDEX, axis=1, keepdims=True)
-    vectors = WordVectors((WORD_INDEX + context / np.maximum(norm, 1e-6) * own).astype(np.float32))
+    vectors = WordVectors((context / np.maximum(norm, 1e-6) * (DIMS / 4) ** 0.5).astype(np.float32))
 
     def pooled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in pieces(batches, "t"):

@@ -42,7 +42,8 @@ RULES = (
 )
 
 
-#: Texts of up to so many words sort their windows as single longs, the place in the low bits and 48 bits of hash or more.
+#: Texts of up to so many words sort their windows as single longs, the place in the low bits and 48 bits of hash or more;
+#: longer ones as pairs of hash and place. Both confirm equal hashes on the words, so the results are the same.
 SHORT = 1 << 16
 
 
@@ -56,12 +57,14 @@ def _measures(text: Column, stop_words: list[str]) -> list[tuple[str, Column]]:
     high = F.col("__high")
     packed = F.sort_array(F.transform(h, lambda x, i: x.bitwiseAND(high).bitwiseOR(i.cast("long"))))
     s = F.col("__s")
-    near = lambda x, y: F.coalesce(x.bitwiseAND(high) == y.bitwiseAND(high), F.lit(False))
+    equal = lambda i, j: (F.get(w, i) == F.get(w, j)) & (F.get(w, i + 1) == F.get(w, j + 1)) & (F.get(w, i + 2) == F.get(w, j + 2))
+    place = lambda x: x.bitwiseAND(F.bitwise_not(high)).cast("int")
+    near = lambda x, y: F.coalesce((x.bitwiseAND(high) == y.bitwiseAND(high)) & equal(place(x), place(y)), F.lit(False))
     short = F.transform(
         F.filter(s, lambda x, k: near(x, F.get(s, k + 1)) | near(x, F.get(s, k - 1))), lambda x: x.bitwiseAND(F.bitwise_not(high))
     )
     pairs = F.col("__p")
-    same = lambda x, y: F.coalesce(x["h"] == y["h"], F.lit(False))
+    same = lambda x, y: F.coalesce((x["h"] == y["h"]) & equal(x["i"].cast("int"), y["i"].cast("int")), F.lit(False))
     long_ = F.transform(F.filter(pairs, lambda x, k: same(x, F.get(pairs, k + 1)) | same(x, F.get(pairs, k - 1))), lambda x: x["i"])
     r = F.col("__r")
     # a window at i covers i, i + 1 and i + 2; what the next window covers is left to it
@@ -122,11 +125,11 @@ def apply_rules(docs: DataFrame, text: str = "text", rules: tuple[Rule, ...] = R
     A null or empty text has zero of everything and null ratios. Columns of the input whose names clash with an added
     one are dropped in favour of it. Rows are independent, so repeated rows and empty tables need no special case.
     """
-    added = {*COUNTS, *RATIOS, "failed", "passed"}
-    keep = [F.col(f"`{c}`") for c in docs.columns if c not in added and not c.startswith("__")]
-    body = F.coalesce(F.col(f"`{text}`"), F.lit(""))
-    out = docs.select(*keep, body.alias("__t"))
-    for name, column in _measures(F.col("__t"), sorted({w for ws in stop_words.values() for w in ws})):
+    measures = _measures(F.col("__t"), sorted({w for ws in stop_words.values() for w in ws}))
+    inner = {"__t", *[name for name, _ in measures if name.startswith("__")]}
+    added = {*COUNTS, *RATIOS, "failed", "passed", *inner}
+    out = docs.select(*[F.col(f"`{c}`") for c in docs.columns if c not in added], F.coalesce(F.col(f"`{text}`"), F.lit("")).alias("__t"))
+    for name, column in measures:
         out = out.withColumn(name, column)
     out = out.withColumn("failed", compile_rules(rules)).withColumn("passed", F.size("failed") == 0)
-    return out.drop(*[c for c in out.columns if c.startswith("__")])
+    return out.drop(*inner)
