@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from ledgerscope.functions.classify import is_burn
 from ledgerscope.functions.keys import hex_to_decimal, hex_to_long, topic_address
+from ledgerscope.shared import settled
 
 #: Fixed value: the topic of a Transfer event.
 TRANSFER_TOPIC = "0xddf252ad1be2c89b69c2b068fc378daa952ba7f163c4a11628f55a4df523b3ef"
@@ -22,7 +23,7 @@ def scan_logs(raw: DataFrame, head: int | None = None, step: int = 10_000) -> Da
 def decode_logs(raw: DataFrame, blocks: DataFrame | None = None) -> DataFrame:
     """Logs of three topics as transfers (asset_uid, block, log_index, tx_hash, from_address, to_address, raw, overflow, block_time).
 
-    ``raw`` is exact up to 2^126, else null with ``overflow`` set. A missing or zero timestamp is looked up in ``blocks``.
+    ``raw`` is exact up to 2^126, else null with ``overflow`` set (``drop_implausible`` takes a null amount as above any supply). A missing or zero timestamp is looked up in ``blocks``.
     """
     out = raw.filter(F.size("topics") == 3).select(
         "asset_uid", hex_to_long(F.col("blockNumber")).alias("block"), hex_to_long(F.col("logIndex")).alias("log_index"), F.col("transactionHash").alias("tx_hash"),
@@ -52,41 +53,82 @@ def running_sum(rows: DataFrame, bucket: str, order: list[str], value: str, out:
     return rows.withColumn(out, F.coalesce(inside, F.lit(0))).join(offsets, ["asset_uid", bucket]).withColumn(out, F.col(out) + F.col("__before")).drop("__before")
 
 
-def drop_implausible(transfers: DataFrame, bucket: str = "bucket", seq: str = "seq") -> DataFrame:
+#: Rows of an asset that one task replays, about.
+LOT_ROWS = 500_000
+
+
+def drop_implausible(transfers: DataFrame, bucket: str = "bucket", seq: str = "seq", lot_rows: int = LOT_ROWS) -> DataFrame:
     """Adds ``dropped``: a transfer out of no burn address that moves more than the supply so far. A dropped burn leaves the supply as it was.
 
+    A null amount is one too large to be a number (see ``decode_logs``): above any supply, so it is dropped, and a mint of
+    one is kept but never added.
+
     Where an asset's mints less burns never go below zero, the supply before a row is their running sum. Only assets that
-    do go below, which a dropped burn makes a true recurrence, replay their mint and burn rows in order, one task an
-    asset; other rows then take the supply of the last such row before them.
+    do go below, which a dropped burn makes a true recurrence, are replayed in order, in lots of ``lot_rows`` rows. A lot
+    starts from the sum of the lots before it, first without drops; lots whose start has changed are replayed
+    again until none has, so a busy asset is many tasks, and an asset of one lot takes one round.
     """
     mint, burn = is_burn(F.col("from_address")), is_burn(F.col("to_address"))
-    delta = F.when(mint, F.col("amount")).when(burn, -F.col("amount")).otherwise(0)
+    known = F.coalesce(F.col("amount"), F.lit(0))
+    delta = F.when(mint, known).when(burn, -known).otherwise(0)
+    above = lambda supply: ~F.col("__mint") & (F.col("amount").isNull() | (F.col("amount") > supply))
     rows = running_sum(transfers.withColumn("__delta", delta), bucket, [seq], "__delta", "__sum")
     rows = rows.withColumn("__mint", mint).withColumn("__burn", burn & ~mint)
     negative = rows.groupBy("asset_uid").agg((F.min(F.col("__sum") + F.col("__delta")) < 0).alias("__replay"))
     rows = rows.join(negative, "asset_uid")
-    plain = rows.filter("NOT __replay").withColumn("dropped", ~F.col("__mint") & (F.col("amount") > F.col("__sum")))
-
-    def replay(part: pd.DataFrame) -> pd.DataFrame:
-        supply, after = 0, []
-        for amount, is_mint in zip(part["amount"], part["__mint"], strict=True):
-            if is_mint:
-                supply += amount
-            elif amount <= supply:
-                supply -= amount
-            after.append(supply)
-        return pd.DataFrame({"asset_uid": part["asset_uid"], "__seq": part[seq], "__after": after})
-
-    hard = rows.filter("__replay")
-    kinds = {f.name: f.dataType.simpleString() for f in rows.schema}
-    moves = hard.filter("__mint OR __burn").select("asset_uid", F.col(seq), "amount", "__mint")
-    played = moves.groupBy("asset_uid").applyInPandas(
-        lambda part: replay(part.sort_values(seq)), f"asset_uid string, __seq {kinds[seq]}, __after {kinds['amount']}"
-    )
-    hard = hard.join(played.withColumnRenamed("__seq", seq), ["asset_uid", seq], "left")
-    last = F.last("__after", ignorenulls=True).over(Window.partitionBy("asset_uid").orderBy(seq).rowsBetween(Window.unboundedPreceding, -1))
-    hard = hard.withColumn("dropped", ~F.col("__mint") & (F.col("amount") > F.coalesce(last, F.lit(0)))).drop("__after")
-    return plain.unionByName(hard).drop("__delta", "__sum", "__mint", "__burn", "__replay")
+    plain = rows.filter("NOT __replay").withColumn("dropped", above(F.col("__sum"))).drop("__delta", "__sum", "__mint", "__burn", "__replay")
+    hard = rows.filter("__replay").drop("__sum", "__replay")
+    # buckets of an asset are put together to lots by the rows before them
+    per = hard.groupBy("asset_uid", bucket).agg(F.count("*").alias("n"), F.sum("__delta").alias("__net"))
+    before = F.coalesce(F.sum("n").over(Window.partitionBy("asset_uid").orderBy(bucket).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    per = settled(per.withColumn("__lot", F.floor(before / lot_rows)))
+    hard = hard.join(per.select("asset_uid", bucket, "__lot"), ["asset_uid", bucket])
+    starts = _lot_starts(hard.filter("__mint OR __burn"), per, seq)
+
+    def flag(part: pd.DataFrame) -> pd.DataFrame:
+        part = part.sort_values(seq)
+        dropped, _ = _replay(part)
+        return part.drop(columns=["__start", "__mint", "__burn", "__lot", "__delta"]).assign(dropped=dropped)
+
+    ready = hard.join(starts.select("asset_uid", "__lot", F.col("start").alias("__start")), ["asset_uid", "__lot"])
+    kept = [c for c in ready.columns if c not in ("__start", "__mint", "__burn", "__lot", "__delta")]
+    schema = ready.select(*kept, F.lit(True).alias("dropped")).schema
+    return plain.unionByName(ready.groupBy("asset_uid", "__lot").applyInPandas(flag, schema))
+
+
+def _replay(part: pd.DataFrame) -> tuple[list[bool], object]:
+    """Which rows are dropped, in the order given, and the supply after them."""
+    supply, dropped = part["__start"].iloc[0], []
+    for amount, mint, burn in zip(part["amount"], part["__mint"], part["__burn"], strict=True):
+        big = pd.isna(amount)
+        bad = not mint and (big or amount > supply)
+        dropped.append(bad)
+        if not bad and not big:
+            supply += amount if mint else -amount if burn else 0
+    return dropped, supply
+
+
+def _lot_starts(moves: DataFrame, per: DataFrame, seq: str) -> DataFrame:
+    """The supply at which each lot (asset_uid, __lot) of mints and burns starts, as ``start``."""
+    kind = per.schema["__net"].dataType.simpleString()
+    nets = per.groupBy("asset_uid", "__lot").agg(F.sum("__net").cast(kind).alias("net")).withColumn("start", F.lit(None).cast(kind))
+    earlier = Window.partitionBy("asset_uid").orderBy("__lot").rowsBetween(Window.unboundedPreceding, -1)
+
+    def run(part: pd.DataFrame) -> pd.DataFrame:
+        part = part.sort_values(seq)
+        start = part["__start"].iloc[0]
+        return pd.DataFrame({"asset_uid": part["asset_uid"].iloc[:1], "__lot": part["__lot"].iloc[:1], "net": [_replay(part)[1] - start], "start": [start]})
+
+    while True:
+        due = nets.withColumn("due", F.coalesce(F.sum("net").over(earlier), F.lit(0)).cast(kind))
+        changed = settled(due.filter(~F.col("start").eqNullSafe(F.col("due"))))
+        if changed.isEmpty():
+            return nets
+        again = moves.join(changed.select("asset_uid", "__lot", F.col("due").alias("__start")), ["asset_uid", "__lot"])
+        played = again.groupBy("asset_uid", "__lot").applyInPandas(run, f"asset_uid string, __lot long, net {kind}, start {kind}")
+        # a lot of neither mints nor burns changes nothing
+        still = changed.join(played, ["asset_uid", "__lot"], "left_anti").select("asset_uid", "__lot", F.lit(0).cast(kind).alias("net"), F.col("due").alias("start"))
+        nets = settled(due.join(changed, ["asset_uid", "__lot"], "left_anti").drop("due").unionByName(played).unionByName(still))
 
 
 def dropped_counts(flagged: DataFrame, assets: DataFrame) -> DataFrame:
@@ -102,7 +144,16 @@ def legs(transfers: DataFrame) -> DataFrame:
 
 
 def _next_instant(rows: DataFrame, instants: DataFrame) -> DataFrame:
-    """Each row with the first instant after it; rows after the last are left out. The instants, a declared list, are one broadcast array."""
+    """Each row with the first instant after it; rows after the last are left out.
+
+    Instants with a ``month``, the ends of consecutive months, are found by the row's month. Others, a declared list, are
+    one broadcast array.
+    """
+    if "month" in instants.columns:
+        span = instants.agg(F.min("as_of").alias("__first"), F.max("as_of").alias("__last"))
+        own = F.add_months(F.trunc("block_time", "month"), 1).cast("timestamp")
+        out = rows.crossJoin(F.broadcast(span)).withColumn("as_of", F.greatest(own, F.col("__first"))).filter(F.col("as_of") <= F.col("__last"))
+        return out.drop("__first", "__last")
     all_of = instants.select("as_of").distinct().agg(F.sort_array(F.collect_list("as_of")).alias("__all"))
     out = rows.crossJoin(F.broadcast(all_of)).withColumn("as_of", F.get(F.filter("__all", lambda x: x > F.col("block_time")), F.lit(0)))
     return out.drop("__all").filter("as_of IS NOT NULL")
@@ -155,3 +206,15 @@ def issuance_profile(transfers: DataFrame) -> DataFrame:
     return facts.join(top, "asset_uid").select(
         *facts.columns, F.col("t.recipient").alias("top_recipient"), F.when(F.col("all_got") > 0, -F.col("t.x") / F.col("all_got")).alias("top_share")
     )
+
+
+def issuance_caveat(profile: DataFrame) -> DataFrame:
+    """Adds ``caveat``: null where mints are seen, else what their absence means for the secondary figures, and who received most."""
+    most = F.format_string(
+        " Most was received by %s, %.1f%% of all receipts: if that is the issuer, list it as one, and what it hands out counts as primary.", F.col("top_recipient"), F.col("top_share") * 100
+    )
+    text = F.concat(
+        F.lit("No issuance is seen: nothing ever leaves the zero address, so secondary figures may hold an issuer's own distribution and are upper bounds."),
+        F.when(F.col("top_recipient").isNotNull() & F.col("top_share").isNotNull(), most).otherwise(""),
+    )
+    return profile.withColumn("caveat", F.when(F.col("mints") == 0, text))

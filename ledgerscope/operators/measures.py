@@ -81,22 +81,27 @@ def guarded(value: Column) -> Column:
     return F.when(value <= SHARE_CEILING, value)
 
 
-def concentration(holders: DataFrame, supply: DataFrame, top_n: int = TOP_N) -> DataFrame:
+def concentration(holders: DataFrame, supply: DataFrame | None = None, top_n: int = TOP_N) -> DataFrame:
     """Holders with ``retained`` and (asset_uid, window_id, denominator) to top-n share, HHI, coverage and the conditional forms.
 
+    Without a supply the denominator is the sum of all prepared holders, taken in the same aggregate.
+
     Shares of all prepared holders are of the supply; conditional ones are of the retained sum. Top-n ranks keep n rows a
     task before the shuffle.
     """
     if top_n <= 0:
         raise ValueError("top_n must be positive")
-    kept = holders.filter("retained")
-    sums = kept.groupBy(*KEY).agg(F.sum("balance").alias("b"), F.sum(F.col("balance") * F.col("balance")).alias("bb"), F.count("*").alias("retained_holders"))
+    kept, own = holders.filter("retained"), F.when(F.col("retained"), F.col("balance"))
+    sums = holders.groupBy(*KEY).agg(
+        F.sum(own).alias("b"), F.sum(own * own).alias("bb"), F.nullif(F.count(own), F.lit(0)).alias("retained_holders"), F.sum("balance").alias("__all")
+    )
     rank = F.row_number().over(Window.partitionBy(*KEY).orderBy(F.desc("balance"), "address"))
     top = kept.withColumn("__r", rank).filter(F.col("__r") <= top_n).groupBy(*KEY).agg(F.sum("balance").alias("top"))
     s = F.col("denominator")
-    out = supply.select(*KEY, "denominator").join(sums, KEY, "left").join(top, KEY, "left")
+    base = sums.withColumnRenamed("__all", "denominator") if supply is None else supply.select(*KEY, "denominator").join(sums.drop("__all"), KEY, "left")
+    out = base.join(top, KEY, "left")
     return out.select(
-        *KEY, "retained_holders",
+        *KEY, "denominator", "retained_holders",
         guarded(F.col("top") / s).alias("top_share"),
         (guarded(F.col("bb") / (s * s)) * HHI_SCALE).alias("hhi"),
         guarded(F.col("b") / s).alias("coverage"),
@@ -108,10 +113,14 @@ def concentration(holders: DataFrame, supply: DataFrame, top_n: int = TOP_N) ->
 
 
 def dormancy(holders: DataFrame, active_rows: DataFrame, supply: DataFrame) -> DataFrame:
-    """The share of the supply held by addresses that were not active in the window: a left anti join, safe with nulls."""
-    idle = holders.withColumn("address", F.lower("address")).join(active_rows.select(*KEY, "address"), [*KEY, "address"], "left_anti")
-    sums = idle.groupBy(*KEY).agg(F.sum("balance").alias("idle"))
-    return supply.join(sums, KEY, "left").select(*KEY, guarded(F.coalesce("idle", F.lit(0.0)) / F.col("denominator")).alias("dormancy"))
+    """The share of the supply held by addresses that were not active in the window: a left join with the active ones, safe with nulls.
+
+    Null, not zero, where no holder is left. ``holders`` are those that are left after exclusions.
+    """
+    live = active_rows.select(*KEY, "address").withColumn("__live", F.lit(True))
+    marked = holders.withColumn("address", F.lower("address")).join(live, [*KEY, "address"], "left")
+    sums = marked.groupBy(*KEY).agg(F.sum(F.when(F.col("__live").isNull(), F.col("balance")).otherwise(0)).alias("idle"))
+    return supply.join(sums, KEY, "left").select(*KEY, guarded(F.col("idle") / F.col("denominator")).alias("dormancy"))
 
 
 def provenance(metric: str, mode: str | None, denomination: str | None, sources: Column, records: Column, exclusions: Column, warnings: Column) -> Column:

@@ -52,11 +52,19 @@ def agreement(compared: DataFrame, tolerance: float = DISAGREEMENT_TOLERANCE) ->
     return compared.agg(F.count("*").alias("compared"), F.count_if(F.col("relative_difference") > tolerance).alias("disagreements"))
 
 
+def readable(c: str) -> F.Column:
+    """Thousands separators and no decimals from 1,000 up, else four significant digits."""
+    v, size = F.col(c), F.abs(F.col(c))
+    scale = F.pow(F.lit(10.0), 3 - F.floor(F.log10(size)))
+    plain = F.regexp_replace((F.bround(v * scale) / scale).cast("decimal(20,8)").cast("string"), r"\.?0+$", "")
+    tiny = F.regexp_replace(F.format_string("%.3e", v), r"\.?0+e", "e")
+    return F.when(size >= 1000, F.format_number(v, 0)).when(size == 0, "0").when(size < 1e-4, tiny).otherwise(plain)
+
+
 def describe(found: DataFrame) -> DataFrame:
-    """Adds one line of text a row, with thousands separators from 1,000 up."""
-    number = lambda c: F.when(F.abs(c) >= 1000, F.format_number(F.col(c), 2)).otherwise(F.col(c).cast("string"))
+    """Adds one line of text a row."""
     text = F.concat(
-        F.col("asset_uid"), F.lit(" "), F.col("field"), F.lit(": "), F.col("source_a"), F.lit("="), number("value_a"), F.lit(" vs "), F.col("source_b"), F.lit("="), number("value_b"),
-        F.format_string(" (%.1f%% apart)", F.col("relative_difference") * 100), F.when(F.col("stale"), F.lit(" [observed too far apart to compare]")).otherwise(""),
+        F.col("asset_uid"), F.lit(" "), F.col("field"), F.lit(": "), F.col("source_a"), F.lit("="), readable("value_a"), F.lit(" vs "), F.col("source_b"), F.lit("="), readable("value_b"),
+        F.format_string(" (%.1f%% apart)", F.col("relative_difference") * 100), F.when(F.col("stale"), F.lit(" (observations too far apart to compare)")).otherwise(""),
     )
     return found.withColumn("description", text)

@@ -48,10 +48,12 @@ def build_report(inputs: Inputs, windows: DataFrame, mode: str = "secondary_only
     held = asof.latest_holders(inputs.holders, windows)
     listed = held.groupBy(*KEY).agg(F.count("*").alias("listed"))
     prepared = measures.prepare_holders(held, inputs.excluded)
-    observed = prepared.groupBy(*KEY).agg(F.sum("balance").alias("observed")).join(listed, KEY)
+    kept = prepared.filter("retained")
+    # shares are of the holders that are left: their sum where no supply is reported, their number against the reported one
+    observed = listed.select(*KEY).join(kept.groupBy(*KEY).agg(F.sum("balance").alias("observed"), F.count("*").alias("listed")), KEY, "left").fillna(0, ["observed", "listed"])
     supply = asof.share_denominator(state.select(*KEY, "total_supply", "holder_count"), observed)
-    spread = measures.concentration(prepared, supply, top_n).withColumnRenamed("warnings", "spread_warnings")
-    idle = measures.dormancy(prepared.filter("retained"), active, supply)
+    spread = measures.concentration(prepared, supply, top_n).withColumnRenamed("warnings", "spread_warnings").drop("denominator")
+    idle = measures.dormancy(kept, active, supply)
     ratio = measures.active_holder_ratio(counts, universe.join(listed, KEY, "left").join(state.select(*KEY, "holder_count"), KEY, "left")).select(*KEY, "active_holder_ratio")
     blocks = [
         turned.select(*KEY, F.col("n").alias("n_transfers"), "turnover", F.col(f"nulls_{denomination}").alias("null_amounts")),

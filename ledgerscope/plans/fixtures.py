@@ -9,7 +9,6 @@ from ledgerscope.functions.classify import classify
 from ledgerscope.operators import ledger, windows
 from ledgerscope.schemas import DEAD, ZERO
 
-FIRST, LAST = "1997-01", "1998-12"
 ORDER = ["l_shipdate", "l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_quantity", "l_extendedprice", "l_discount", "l_tax", "l_returnflag", "l_linestatus"]
 
 
@@ -66,17 +65,14 @@ def snapshots(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-class AllMonths(str):
-    """A folder of tables whose windows are all months of its transfers, not the declared ones."""
-
-
 def month_list(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return windows.months_of(transfers(spark, sf_dir)) if isinstance(sf_dir, AllMonths) else windows.months(spark, FIRST, LAST)
+    """All months from the first to the last transfer."""
+    return windows.months_of(table(spark, sf_dir, "lineitem"), "l_shipdate")
 
 
 def balances(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Balances just before every month's end."""
-    return ledger.balances_at(transfers(spark, sf_dir), month_list(spark, sf_dir).select(F.col("end").alias("as_of")))
+    return ledger.balances_at(transfers(spark, sf_dir), month_list(spark, sf_dir).select(F.col("end").alias("as_of"), "month"))
 
 
 def raw_logs(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -115,7 +111,7 @@ k0 AS (SELECT t.*, lower(from_address) IN ('{ZERO}', '{DEAD}') AS fb, lower(to_a
     EXISTS (SELECT 1 FROM iss i WHERE i.asset_uid = t.asset_uid AND i.address = lower(t.to_address)) AS ti FROM t),
 k AS (SELECT *, CASE WHEN fb AND tb THEN 'unclassified' WHEN fb OR fi THEN 'mint' WHEN tb OR ti THEN 'burn' ELSE 'secondary' END AS kind,
     CASE WHEN fb AND tb THEN 'unresolved' WHEN fb THEN 'creation' WHEN tb THEN 'destruction' WHEN fi OR ti THEN 'issuer_linked' ELSE 'residual' END AS category FROM k0),
-w AS (SELECT strftime(m, '%Y-%m') AS window_id, m AS start, m + INTERVAL 1 MONTH AS "end" FROM (SELECT unnest(generate_series(TIMESTAMP '{FIRST}-01', TIMESTAMP '{LAST}-01', INTERVAL 1 MONTH)) AS m)),
+w AS (SELECT strftime(m, '%Y-%m') AS window_id, m AS start, m + INTERVAL 1 MONTH AS "end" FROM (SELECT unnest(generate_series(a, b, INTERVAL 1 MONTH)) AS m FROM (SELECT CAST(date_trunc('month', min(block_time)) AS TIMESTAMP) AS a, CAST(date_trunc('month', max(block_time)) AS TIMESTAMP) AS b FROM t))),
 p AS (SELECT k.* FROM k JOIN w ON block_time >= start AND block_time < "end"),
 s AS (SELECT asset_uid, source, as_of, 'P' || CAST(o_custkey % 25 AS VARCHAR) AS symbol, CASE WHEN o_orderstatus <> 'P' THEN o_totalprice END AS total_supply,
     CASE WHEN o_orderkey % 3 <> 0 THEN o_totalprice * 2 END AS market_value_usd, CASE WHEN o_orderkey % 4 = 0 THEN o_custkey END AS holder_count
@@ -126,8 +122,3 @@ b AS (SELECT asset_uid, w.window_id, w."end" AS as_of, address, sum(delta) AS ba
   WHERE address NOT IN ('{ZERO}', '{DEAD}') GROUP BY ALL HAVING sum(delta) > 0),
 u AS (SELECT a.asset_uid, w.window_id, w.start, w."end" FROM (SELECT DISTINCT asset_uid FROM t) a, w)
 """
-
-_DECLARED = f"SELECT unnest(generate_series(TIMESTAMP '{FIRST}-01', TIMESTAMP '{LAST}-01', INTERVAL 1 MONTH)) AS m"
-_FOUND = "SELECT unnest(generate_series(a, b, INTERVAL 1 MONTH)) AS m FROM (SELECT CAST(date_trunc('month', min(block_time)) AS TIMESTAMP) AS a, CAST(date_trunc('month', max(block_time)) AS TIMESTAMP) AS b FROM t)"
-#: The same with the windows of AllMonths.
-ALL_CTES = CTES.replace(_DECLARED, _FOUND)

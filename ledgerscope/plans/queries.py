@@ -43,12 +43,6 @@ def _universe(spark: SparkSession, sf: str) -> DataFrame:
     return panel.skeleton(fx.transfers(spark, sf), fx.month_list(spark, sf))
 
 
-def _supply(spark: SparkSession, sf: str) -> DataFrame:
-    """The observed sum at every month's end is the denominator of shares here, so that they stay within one."""
-    h = _held(spark, sf)
-    return h.groupBy("asset_uid", "window_id").agg(F.sum("balance").alias("denominator"))
-
-
 def _scanned(logs: DataFrame) -> DataFrame:
     return logs.groupBy("asset_uid", "block_window").agg(F.count("*").alias("n"), F.max(keys.hex_to_long(F.col("blockNumber"))).alias("last_block"))
 
@@ -273,13 +267,18 @@ def ls45_log_decode(spark, sf):
     return d.groupBy("asset_uid", "from_address").agg(F.count("*").alias("n"), F.sum("raw").cast("double").alias("amount"), F.date_format(F.max("block_time"), "yyyy-MM-dd").alias("latest"))
 
 
-@query()
+#: The ledger replayed row by row: the supply after each row and whether it is dropped.
+_REPLAYED = """(WITH RECURSIVE o AS MATERIALIZED (SELECT asset_uid, CAST(seq AS BIGINT) AS seq, amount, fb, tb FROM k), r AS (SELECT asset_uid, CAST(0 AS BIGINT) AS seq, CAST(0 AS DOUBLE) AS supply, false AS dropped FROM o WHERE seq = 1
+UNION ALL SELECT o.asset_uid, o.seq, CASE WHEN o.fb THEN supply + o.amount WHEN o.amount > supply OR NOT o.tb THEN supply ELSE supply - o.amount END, NOT o.fb AND o.amount > supply FROM r JOIN o ON o.asset_uid = r.asset_uid AND o.seq = r.seq + 1)
+SELECT * FROM r WHERE seq > 0)"""
+
+
+@query(f"""SELECT t.asset_uid, window_id || '/' || lpad(CAST(t.seq - min(t.seq) OVER (PARTITION BY t.asset_uid, window_id) + 1 AS VARCHAR), 12, '0') AS seq, t.amount, r.dropped FROM t JOIN {_REPLAYED} r ON r.asset_uid = t.asset_uid AND r.seq = t.seq""")
 def ls46_implausible(spark, sf):
-    """A recurrence: held against a plain replay in the tests."""
     return ledger.drop_implausible(fx.transfers(spark, sf)).select("asset_uid", "seq", "amount", "dropped")
 
 
-@query()
+@query(f"SELECT asset_uid, count(*) FILTER (dropped) AS dropped FROM {_REPLAYED} GROUP BY ALL")
 def ls47_dropped_counts(spark, sf):
     t = fx.transfers(spark, sf)
     return ledger.dropped_counts(ledger.drop_implausible(t), t.select("asset_uid").distinct())
@@ -310,7 +309,7 @@ FROM u LEFT JOIN t ON t.asset_uid = u.asset_uid AND block_time < u."end" GROUP B
 
 @query(f"SELECT * FROM {_SUPPLY}")
 def ls51_supply(spark, sf):
-    s = ledger.supply_at(fx.transfers(spark, sf), fx.month_list(spark, sf).select(F.col("end").alias("as_of")))
+    s = ledger.supply_at(fx.transfers(spark, sf), fx.month_list(spark, sf).select(F.col("end").alias("as_of"), "month"))
     return asof.exact_state(s, fx.month_list(spark, sf)).select("asset_uid", "window_id", "total_supply")
 
 
@@ -411,7 +410,8 @@ def _active(spark, sf):
 
 
 def _spread(spark, sf):
-    return measures.concentration(measures.prepare_holders(_held(spark, sf), fx.lists(spark)[1]), _supply(spark, sf))
+    """The sum of all holders is the denominator of shares here, so that they stay within one."""
+    return measures.concentration(measures.prepare_holders(_held(spark, sf), fx.lists(spark)[1]))
 
 
 @query(f"SELECT asset_uid, window_id, mode, n, volume_native, round(volume_usd, 2) AS volume_usd, nulls_usd FROM {_VOL}")
@@ -473,12 +473,14 @@ def ls72_conditional_identity(spark, sf):
     return _spread(spark, sf).select("asset_uid", "window_id", *_r("coverage", "conditional_hhi"), F.round("hhi", 4).alias("identity_hhi"))
 
 
-@query()
+@query(f"""SELECT v.asset_uid, v.window_id, volume_native AS value, 'total_volume' AS metric, 'ledger' AS sources, n AS n_records, 'secondary_only' AS mode, 'native' AS denomination, '' AS exclusions,
+CASE WHEN n > 0 AND volume_native IS NULL THEN 'null_amounts' ELSE '' END AS warnings FROM {_VOL} v WHERE mode = 'secondary_only'""")
 def ls75_provenance(spark, sf):
     v = _volumes(spark, sf).filter("mode = 'secondary_only'").join(status.contributing_sources(fx.transfers(spark, sf)), "asset_uid")
     none = F.array().cast("array<string>")
     p = measures.provenance("total_volume", "secondary_only", "native", F.col("sources"), F.col("n"), none, F.array_compact(F.array(F.when(F.col("nulls_native") > 0, F.lit("null_amounts")))))
-    return v.select("asset_uid", "window_id", F.col("volume_native").alias("value"), p.alias("provenance"))
+    lists = {c: F.array_join(F.col("p")[c], ",").alias(c) for c in ("sources", "exclusions", "warnings")}
+    return v.withColumn("p", p).select("asset_uid", "window_id", F.col("volume_native").alias("value"), "p.metric", lists["sources"], "p.n_records", "p.mode", "p.denomination", lists["exclusions"], lists["warnings"])
 
 
 # ---- report, trend, panel
@@ -582,7 +584,7 @@ def ls88_span(spark, sf):
 
 _LATEST = "(SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY asset_uid, source ORDER BY as_of DESC) AS rn FROM s) WHERE rn = 1)"
 _LONG = f"(SELECT asset_uid, source, as_of, 'total_supply' AS field, total_supply AS value FROM {_LATEST} WHERE total_supply IS NOT NULL UNION ALL SELECT asset_uid, source, as_of, 'market_value_usd', market_value_usd FROM {_LATEST} WHERE market_value_usd IS NOT NULL UNION ALL SELECT asset_uid, source, as_of, 'holder_count', holder_count FROM {_LATEST} WHERE holder_count IS NOT NULL)"
-_PAIRS = f"""(SELECT a.asset_uid, a.field, a.source AS source_a, b.source AS source_b, CASE WHEN greatest(abs(a.value), abs(b.value)) = 0 THEN 0 ELSE abs(a.value - b.value) / greatest(abs(a.value), abs(b.value)) END AS d,
+_PAIRS = f"""(SELECT a.asset_uid, a.field, a.source AS source_a, b.source AS source_b, CAST(a.value AS DOUBLE) AS va, CAST(b.value AS DOUBLE) AS vb, CASE WHEN greatest(abs(a.value), abs(b.value)) = 0 THEN 0 ELSE abs(a.value - b.value) / greatest(abs(a.value), abs(b.value)) END AS d,
   abs(epoch_us(a.as_of) - epoch_us(b.as_of)) AS gap FROM {_LONG} a JOIN {_LONG} b ON a.asset_uid = b.asset_uid AND a.field = b.field AND a.source < b.source)"""
 
 
@@ -608,7 +610,13 @@ def ls93_agreement(spark, sf):
     return reconcile.agreement(reconcile.comparisons(reconcile.long_fields(fx.snapshots(spark, sf))))
 
 
-@query()
+def _readable(v: str) -> str:
+    # values here are counts below 1,000 or amounts with two decimals
+    return f"CASE WHEN abs({v}) >= 1000 THEN format('{{:,}}', CAST(round_even({v}, 0) AS BIGINT)) ELSE format('{{:.4g}}', {v}) END"
+
+
+@query(f"""SELECT asset_uid, field, source_a, source_b, asset_uid || ' ' || field || ': ' || source_a || '=' || {_readable("va")} || ' vs ' || source_b || '=' || {_readable("vb")} || format(' ({{:.1f}}% apart)', d * 100)
+|| CASE WHEN gap > 86400000000 THEN ' (observations too far apart to compare)' ELSE '' END AS description FROM {_PAIRS} WHERE d > 0.01""")
 def ls99_descriptions(spark, sf):
     found = reconcile.disagreements(reconcile.comparisons(reconcile.long_fields(fx.snapshots(spark, sf))))
     return reconcile.describe(found).select("asset_uid", "field", "source_a", "source_b", "description")
@@ -672,21 +680,5 @@ LEFT JOIN ({_SPREAD}) s ON s.asset_uid = v.asset_uid AND s.window_id = v.window_
 def monthly_turnover(spark, sf):
     """The flagship query: monthly residual turnover and top-10 share per asset."""
     v = _volumes(spark, sf).filter("mode = 'secondary_only'")
-    spread = _spread(spark, sf).select("asset_uid", "window_id", "top_share")
-    out = v.join(_supply(spark, sf), ["asset_uid", "window_id"], "left").join(spread, ["asset_uid", "window_id"], "left")
+    out = v.join(_spread(spark, sf).select("asset_uid", "window_id", "denominator", "top_share"), ["asset_uid", "window_id"], "left")
     return out.select("asset_uid", "window_id", F.round(F.when(F.col("denominator") > 0, F.col("volume_native") / F.col("denominator")), 6).alias("turnover"), *_r("top_share"))
-
-
-# ---- all months: the windows declared for the SQL above hold 24 months; each query over them again, over every month of its transfers
-
-_MONTHLY = "monthly_turnover 38 39 41 42 43_block_ranges_newest 50 51 57 58 59 60 62 63 64 65 66 67 68 69 72 75 76 77 78 79 80 81 82 83 84 85 86 87 88".split()
-
-
-def _over_all_months(f: Callable[[SparkSession, str], DataFrame]) -> Callable[[SparkSession, str], DataFrame]:
-    return lambda spark, sf: f(spark, fx.AllMonths(sf))
-
-
-for _name in [n for n in QUERIES if any(n == m or n.startswith(f"ls{m}") for m in _MONTHLY)]:
-    QUERIES[f"{_name}_all_months"] = _over_all_months(QUERIES[_name])
-    if _name in SQL:
-        SQL[f"{_name}_all_months"] = SQL[_name].replace(fx.CTES, fx.ALL_CTES, 1)

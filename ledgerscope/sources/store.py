@@ -36,10 +36,25 @@ def without_faults(stored: DataFrame) -> DataFrame:
     return stored.filter(F.get_json_object("body", "$.error").isNull())
 
 
+def read(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame:
+    """The entries as written by ``put``, with the declared schema of the responses, so that an empty store can be read too."""
+    full = T.StructType([*[f for f in schema if f.name not in ("source", "dataset")], T.StructField("digest", T.StringType()), T.StructField("shard", T.StringType())])
+    full = T.StructType([*full, T.StructField("source", T.StringType()), T.StructField("dataset", T.StringType())])
+    return spark.read.schema(full).parquet(path)
+
+
 def clear(spark: SparkSession, path: str, source: str | None = None) -> None:
-    """Drops all entries, or one source's, by rewriting what stays to a table beside it and back."""
-    rows = spark.read.parquet(path)
-    kept = rows.filter(F.col("source") != source) if source is not None else rows.limit(0)
-    beside = f"{path.rstrip('/')}.kept"
-    kept.write.mode("overwrite").partitionBy("source", "dataset").parquet(beside)
-    spark.read.schema(rows.schema).parquet(beside).write.mode("overwrite").partitionBy("source", "dataset").parquet(path)
+    """Deletes all entries, or one source's: its partition folders, nothing is rewritten."""
+    top = spark._jvm.org.apache.hadoop.fs.Path(path)
+    files = top.getFileSystem(spark._jsc.hadoopConfiguration())
+    if not files.exists(top):
+        return
+    for entry in files.listStatus(top):
+        name = entry.getPath().getName()
+        if entry.isDirectory() and name.startswith("source=") and (source is None or name == f"source={_escaped(spark, source)}"):
+            files.delete(entry.getPath(), True)
+
+
+def _escaped(spark: SparkSession, value: str) -> str:
+    """A value as a partition folder has it."""
+    return spark._jvm.org.apache.spark.sql.catalyst.catalog.ExternalCatalogUtils.escapePathName(value)
