@@ -89,15 +89,25 @@ def selected(panel: DataFrame, assets: list[str], window_id: str) -> DataFrame:
     return F.broadcast(want).join(panel.filter(F.col("window_id") == window_id), "asset_uid", "left")
 
 
-def figures(panel: DataFrame, asset: str, names: tuple[str, ...] = ("coverage", "h_all", "h_ret", "h_cond", "k_all", "k_ret", "k_cond")) -> DataFrame:
-    """Ownership figures of one asset in its first and last window, as (name, place, value)."""
+def figures(panel: DataFrame, asset: str, factor: str | None = None, names: tuple[str, ...] = ("coverage", "h_all", "h_ret", "h_cond", "k_all", "k_ret", "k_cond")) -> DataFrame:
+    """Ownership figures of one asset in its first and last window, and median, least and most of another's factor f over the months, as (place, name, value)."""
     rows = panel.filter(F.col("asset_uid") == asset)
     edge = rows.agg(F.min("window_id").alias("first"), F.max("window_id").alias("last"))
     at = rows.join(F.broadcast(edge), (F.col("window_id") == F.col("first")) | (F.col("window_id") == F.col("last")))
     at = at.withColumn("place", F.when(F.col("window_id") == F.col("first"), "first").otherwise("last"))
-    return at.select("place", *[F.col(n).cast("double") for n in names]).unpivot(["place"], list(names), "name", "value")
-
-
-def span(panel: DataFrame) -> DataFrame:
-    """First start, last end and number of windows of a panel."""
-    return panel.agg(F.min("start").alias("first_start"), F.max("end").alias("last_end"), F.count_distinct("window_id").alias("windows"))
+    out = at.select("place", *[F.col(n).cast("double") for n in names]).unpivot(["place"], list(names), "name", "value")
+    if factor is None:
+        return out
+    spread = panel.filter(F.col("asset_uid") == factor).agg(*[g("f").cast("double").alias(n) for n, g in (("f_median", F.median), ("f_min", F.min), ("f_max", F.max))])
+    return out.unionByName(spread.select(F.lit("months").alias("place"), "*").unpivot(["place"], ["f_median", "f_min", "f_max"], "name", "value"))
+
+
+def span(panel: DataFrame, blocks: DataFrame | None = None) -> DataFrame:
+    """First start, last end and number of windows of a panel; with ``blocks`` (number, timestamp) the head block, and the first block of the last window."""
+    out = panel.agg(F.min("start").alias("first_start"), F.max("end").alias("last_end"), F.max("start").alias("__last"), F.count_distinct("window_id").alias("windows"))
+    if blocks is not None:
+        heads = blocks.crossJoin(F.broadcast(out.select("__last", "last_end"))).agg(
+            F.max("number").alias("head_block"), F.min(F.when((F.col("timestamp") >= F.col("__last")) & (F.col("timestamp") < F.col("last_end")), F.col("number"))).alias("last_window_block")
+        )
+        out = out.crossJoin(F.broadcast(heads))
+    return out.drop("__last")

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from ledgerscope.operators import asof, measures
 from ledgerscope.operators.windows import assign
 from ledgerscope.schemas import MATERIAL_CHANGE
+from ledgerscope.shared import settled
 
 KEY = measures.KEY
 #: What a ledger that fails reconciliation makes unusable.
@@ -46,8 +47,8 @@ def build_report(inputs: Inputs, windows: DataFrame, mode: str = "secondary_only
     active = measures.active(placed).filter(F.col("mode") == mode)
     counts = measures.active_counts(active)
     held = asof.latest_holders(inputs.holders, windows)
-    listed = held.groupBy(*KEY).agg(F.count("*").alias("listed"))
-    prepared = measures.prepare_holders(held, inputs.excluded)
+    listed = held.groupBy(*KEY).agg(F.count("*").alias("listed"))  # burn addresses too
+    prepared = settled(measures.prepare_holders(held, inputs.excluded))  # four uses
     kept = prepared.filter("retained")
     # shares are of the holders that are left: their sum where no supply is reported, their number against the reported one
     observed = listed.select(*KEY).join(kept.groupBy(*KEY).agg(F.sum("balance").alias("observed"), F.count("*").alias("listed")), KEY, "left").fillna(0, ["observed", "listed"])
@@ -90,10 +91,21 @@ def gate(report: DataFrame, status: DataFrame | None) -> DataFrame:
     return out.withColumn("warnings", codes).withColumn("n_warnings", F.size(codes)).drop("supply_warnings", "spread_warnings")
 
 
-def export_rows(report: DataFrame, sources: DataFrame) -> DataFrame:
-    """The flattened form: source list and warnings as text, in order of asset and window. ``sources`` is (asset_uid, sources array)."""
+def export_rows(report: DataFrame, sources: DataFrame, windows: DataFrame, blocks: DataFrame | None = None, dropped: DataFrame | None = None) -> DataFrame:
+    """The flattened form: window bounds, block columns, source list and warnings as text, in order of asset and window.
+
+    ``sources`` is (asset_uid, sources array); ``blocks`` (window_id, first_block, last_block, head_block) and ``dropped``
+    (asset_uid, dropped) are null where the data did not come from a ledger.
+    """
     out = report.join(sources, "asset_uid", "left").withColumn("sources", F.concat_ws(", ", "sources")).withColumn("warnings", F.concat_ws("; ", "warnings"))
-    return out.select("asset_uid", "symbol", "window_id", "mode", "denomination", "n_transfers", *MEASURES, "top_n", "reconciled", "sources", "n_warnings", "warnings")
+    out = out.join(F.broadcast(windows.select("window_id", F.col("start").alias("window_start"), F.col("end").alias("window_end"))), "window_id", "left")
+    none = lambda *names: [F.lit(None).cast("long").alias(n) for n in names]
+    out = out.join(F.broadcast(blocks), "window_id", "left") if blocks is not None else out.select("*", *none("first_block", "last_block", "head_block"))
+    out = out.join(dropped.select("asset_uid", F.col("dropped").alias("dropped_transfers")), "asset_uid", "left") if dropped is not None else out.select("*", *none("dropped_transfers"))
+    return out.select(
+        "asset_uid", "symbol", "window_id", "window_start", "window_end", F.col("first_block").alias("start_block"), F.col("last_block").alias("end_block"), "head_block",
+        "mode", "denomination", "n_transfers", *MEASURES, "top_n", "reconciled", "dropped_transfers", "sources", "n_warnings", "warnings",
+    ).orderBy("asset_uid", "window_id")
 
 
 def build_trend(report: DataFrame, windows: DataFrame, metrics: tuple[str, ...] = MEASURES) -> DataFrame:

@@ -452,7 +452,9 @@ def ls67_active_holder_ratio(spark, sf):
 
 @query(f"""SELECT h.asset_uid, h.window_id, round(coalesce(sum(balance) FILTER (NOT EXISTS (SELECT 1 FROM {_ACT} a WHERE a.asset_uid = h.asset_uid AND a.window_id = h.window_id AND a.address = h.address)), 0) / max(z), 6) AS dormancy FROM {_HOLD} h GROUP BY ALL""")
 def ls68_dormancy(spark, sf):
-    return measures.dormancy(_held(spark, sf), _active(spark, sf), _supply(spark, sf)).select("asset_uid", "window_id", *_r("dormancy"))
+    h = _held(spark, sf)
+    whole = h.groupBy("asset_uid", "window_id").agg(F.sum("balance").alias("denominator"))
+    return measures.dormancy(h, _active(spark, sf), whole).select("asset_uid", "window_id", *_r("dormancy"))
 
 
 _SPREAD = f"""SELECT asset_uid, window_id, count(*) FILTER (retained) AS retained_holders, round(sum(balance) FILTER (retained AND rn <= 10) / max(z), 6) AS top_share, round(sum(balance * balance) FILTER (retained) / (max(z) * max(z)) * 10000, 6) AS hhi,
@@ -497,18 +499,40 @@ def _report(spark, sf):
     return report.build_report(inputs, fx.month_list(spark, sf))
 
 
-@query(f"""SELECT v.asset_uid, v.window_id, n AS n_transfers, round(CASE WHEN right(v.asset_uid, 2) <> '03' AND total_supply > 0 THEN volume_native / total_supply END, 6) AS turnover, coalesce(a.n_active, 0) AS active,
-round(CASE WHEN right(v.asset_uid, 2) NOT IN ('03', '05') THEN coalesce(a.n_active, 0) / h.listed END, 6) AS active_holder_ratio
-FROM {_VOL} v LEFT JOIN {_SNAP} s ON v.asset_uid = s.asset_uid AND v.window_id = s.window_id LEFT JOIN (SELECT asset_uid, window_id, count(*) AS n_active FROM {_ACT} GROUP BY ALL) a ON a.asset_uid = v.asset_uid AND a.window_id = v.window_id
-LEFT JOIN (SELECT asset_uid, window_id, count(*) AS listed FROM b GROUP BY ALL) h ON h.asset_uid = v.asset_uid AND h.window_id = v.window_id WHERE mode = 'secondary_only'""")
+_KEPT = f"""(SELECT h.asset_uid, h.window_id, count(*) AS observed_n, count(*) FILTER (retained) AS listed, sum(balance) FILTER (retained) AS obs, sum(balance * balance) FILTER (retained) AS bb, sum(balance) FILTER (retained AND rn <= 10) AS top,
+  sum(CASE WHEN a.address IS NULL THEN balance ELSE 0 END) FILTER (retained) AS idle FROM (SELECT *, row_number() OVER (PARTITION BY asset_uid, window_id, retained ORDER BY balance DESC, address) AS rn FROM {_HOLD}) h
+  LEFT JOIN {_ACT} a ON a.asset_uid = h.asset_uid AND a.window_id = h.window_id AND a.address = h.address GROUP BY ALL)"""
+_GUARD = "CASE WHEN {0} <= 1 + 1e-9 THEN {0} END"
+#: All nine measures; asset 3 lacks holders, that is unmeasured, and the ledger of asset 5 does not reconcile.
+_REPORT = f"""(SELECT v.asset_uid, v.window_id, n AS n_transfers, coalesce(a.n_active, 0) AS active, d, CASE WHEN m AND total_supply > 0 THEN volume_native / total_supply END AS turnover, CASE WHEN m THEN volume_native / a.n_active END AS volume_per_active,
+  CASE WHEN ok THEN coalesce(a.n_active, 0) / h.observed_n END AS active_holder_ratio, CASE WHEN ok THEN {_GUARD.format("idle / d")} END AS dormancy, CASE WHEN ok THEN {_GUARD.format("top / d")} END AS top_share,
+  CASE WHEN ok THEN {_GUARD.format("bb / (d * d)")} END * 10000 AS hhi, CASE WHEN ok THEN {_GUARD.format("obs / d")} END AS coverage, CASE WHEN ok AND obs > 0 THEN bb / (obs * obs) * 10000 END AS conditional_hhi, CASE WHEN ok AND obs > 0 THEN top / obs END AS conditional_top_share
+FROM (SELECT *, right(asset_uid, 2) <> '03' AS m, right(asset_uid, 2) NOT IN ('03', '05') AS ok FROM {_VOL} WHERE mode = 'secondary_only') v LEFT JOIN {_SNAP} s ON v.asset_uid = s.asset_uid AND v.window_id = s.window_id
+LEFT JOIN (SELECT asset_uid, window_id, count(*) AS n_active FROM {_ACT} GROUP BY ALL) a ON a.asset_uid = v.asset_uid AND a.window_id = v.window_id
+LEFT JOIN {_KEPT} h ON h.asset_uid = v.asset_uid AND h.window_id = v.window_id
+LEFT JOIN (SELECT h.asset_uid, h.window_id, CASE WHEN coalesce(total_supply, obs, 0) > 0 THEN coalesce(total_supply, obs) END AS d FROM {_KEPT} h LEFT JOIN {_SNAP} s ON s.asset_uid = h.asset_uid AND s.window_id = h.window_id) e ON e.asset_uid = v.asset_uid AND e.window_id = v.window_id)"""
+_NINE = ("turnover", "volume_per_active", "active_holder_ratio", "dormancy", "top_share", "hhi", "coverage", "conditional_hhi", "conditional_top_share")
+_ROUNDED = ", ".join(f"round({m}, 6) AS {m}" for m in _NINE)
+
+
+@query(f"SELECT asset_uid, window_id, n_transfers, active, {_ROUNDED} FROM {_REPORT}")
 def ls76_report(spark, sf):
     """With 77 and 78: unmeasured and withheld assets keep their rows."""
-    return _report(spark, sf).select("asset_uid", "window_id", "n_transfers", *_r("turnover"), F.coalesce("active_addresses", F.lit(0)).alias("active"), *_r("active_holder_ratio"))
+    return _report(spark, sf).select("asset_uid", "window_id", "n_transfers", F.coalesce("active_addresses", F.lit(0)).alias("active"), *_r(*_NINE))
 
 
-@query()
+@query(f"""SELECT r.asset_uid, 'P' || CAST(CAST(right(r.asset_uid, 2) AS INT) AS VARCHAR) AS symbol, r.window_id, strftime(start, '%Y-%m-%d') AS window_start, strftime("end", '%Y-%m-%d') AS window_end, start_block, end_block, head_block, n_transfers, {_ROUNDED}, x.dropped AS dropped_transfers, z.sources
+FROM {_REPORT} r JOIN w ON w.window_id = r.window_id LEFT JOIN (SELECT window_id, min(l_orderkey) AS start_block, max(l_orderkey) AS end_block FROM t GROUP BY ALL) k ON k.window_id = r.window_id, (SELECT max(l_orderkey) AS head_block FROM t),
+(SELECT asset_uid, count(*) FILTER (dropped) AS dropped FROM {_REPLAYED} GROUP BY ALL) x, (SELECT asset_uid, string_agg(source, ', ' ORDER BY source) AS sources FROM (SELECT asset_uid, source FROM s UNION SELECT asset_uid, source FROM t) GROUP BY ALL) z
+WHERE x.asset_uid = r.asset_uid AND z.asset_uid = r.asset_uid""")
 def ls79_report_rows(spark, sf):
-    return report.export_rows(_report(spark, sf), status.contributing_sources(fx.transfers(spark, sf), fx.snapshots(spark, sf)))
+    t, w = fx.transfers(spark, sf), fx.month_list(spark, sf)
+    blocks = _blocks(spark, sf)
+    ranges = windows.block_ranges(blocks, w).crossJoin(F.broadcast(blocks.agg(F.max("number").alias("head_block"))))
+    dropped = ledger.dropped_counts(ledger.drop_implausible(t), t.select("asset_uid").distinct())
+    out = report.export_rows(_report(spark, sf), status.contributing_sources(t, fx.snapshots(spark, sf)), w, ranges, dropped)
+    day = lambda c: F.date_format(c, "yyyy-MM-dd").alias(c)
+    return out.select("asset_uid", "symbol", "window_id", day("window_start"), day("window_end"), "start_block", "end_block", "head_block", "n_transfers", *_r(*_NINE), "dropped_transfers", "sources")
 
 
 _PANEL = f"""(SELECT u.asset_uid, u.window_id, coalesce(sum(amount) FILTER (category = 'creation'), 0) AS v_creation, coalesce(sum(amount) FILTER (category = 'residual'), 0) AS v_residual, count(category) AS n_all, coalesce(sum(amount), 0) AS v_all,
@@ -545,11 +569,14 @@ def ls83_participation(spark, sf):
     return _panel(spark, sf).filter("holders IS NOT NULL").select("asset_uid", "window_id", *_r("participation", "dormancy"))
 
 
-@query(f"""SELECT asset_uid, window_id, h_all, coverage, h_ret, CASE WHEN c >= 0.5 THEN h_cond END AS h_cond, k_all, k_ret, CASE WHEN c >= 0.5 THEN k_cond END AS k_cond, c >= 0.5 AS assessable FROM (
+_OWNED = f"""(SELECT asset_uid, window_id, h_all, coverage, h_ret, CASE WHEN c >= 0.5 THEN h_cond END AS h_cond, k_all, k_ret, CASE WHEN c >= 0.5 THEN k_cond END AS k_cond, c >= 0.5 AS assessable FROM (
 SELECT asset_uid, window_id, round(sum(balance * balance) / (max(z) * max(z)) * 10000, 6) AS h_all, coalesce(sum(balance) FILTER (retained), 0) / max(z) AS c, round(coalesce(sum(balance) FILTER (retained), 0) / max(z), 6) AS coverage,
   round(coalesce(sum(balance * balance) FILTER (retained), 0) / (max(z) * max(z)) * 10000, 6) AS h_ret, round(sum(balance * balance) FILTER (retained) / (sum(balance) FILTER (retained) * sum(balance) FILTER (retained)) * 10000, 6) AS h_cond,
   round(sum(balance) FILTER (ra <= 10) / max(z), 6) AS k_all, round(coalesce(sum(balance) FILTER (retained AND rr <= 10), 0) / max(z), 6) AS k_ret, round(sum(balance) FILTER (retained AND rr <= 10) / sum(balance) FILTER (retained), 6) AS k_cond
-FROM (SELECT *, row_number() OVER (PARTITION BY asset_uid, window_id ORDER BY balance DESC, address) AS ra, row_number() OVER (PARTITION BY asset_uid, window_id, retained ORDER BY balance DESC, address) AS rr FROM {_HOLD}) GROUP BY ALL)""")
+FROM (SELECT *, row_number() OVER (PARTITION BY asset_uid, window_id ORDER BY balance DESC, address) AS ra, row_number() OVER (PARTITION BY asset_uid, window_id, retained ORDER BY balance DESC, address) AS rr FROM {_HOLD}) GROUP BY ALL))"""
+
+
+@query(f"SELECT * FROM {_OWNED}")
 def ls84_ownership(spark, sf):
     return _panel(spark, sf).filter("holders IS NOT NULL").select("asset_uid", "window_id", *_r("h_all", "coverage", "h_ret", "h_cond", "k_all", "k_ret", "k_cond"), "assessable")
 
@@ -569,15 +596,20 @@ def ls86_selected(spark, sf):
     return panel.selected(_panel(spark, sf), _PICK, "1998-06").select("position", "asset_uid", "v_all", "n_all")
 
 
-@query()
+_OWN = ("coverage", "h_all", "h_ret", "h_cond", "k_all", "k_ret", "k_cond")
+
+
+@query(f"""SELECT CASE WHEN window_id = a THEN 'first' ELSE 'last' END AS place, unnest([{", ".join(f"'{n}'" for n in _OWN)}]) AS name, unnest([{", ".join(_OWN)}]) AS value FROM {_OWNED}, (SELECT min(window_id) AS a, max(window_id) AS z FROM u) WHERE asset_uid = '{_PICK[0]}' AND window_id IN (a, z)
+UNION ALL SELECT 'months', unnest(['f_median', 'f_min', 'f_max']), unnest([round(median(f), 6), round(min(f), 6), round(max(f), 6)]) FROM (SELECT CASE WHEN v_residual > 0 THEN v_all / v_residual END AS f FROM {_PANEL} WHERE asset_uid = '{_PICK[1]}')""")
 def ls87_figures(spark, sf):
-    return panel.figures(_panel(spark, sf), _PICK[0])
+    return panel.figures(_panel(spark, sf), _PICK[0], _PICK[1]).select("place", "name", *_r("value"))
 
 
-@query("""SELECT strftime(min(start), '%Y-%m-%d') AS first_start, strftime(max("end"), '%Y-%m-%d') AS last_end, count(DISTINCT window_id) AS windows FROM u""")
+@query("""SELECT strftime(min(start), '%Y-%m-%d') AS first_start, strftime(max("end"), '%Y-%m-%d') AS last_end, count(DISTINCT window_id) AS windows, (SELECT max(l_orderkey) FROM t) AS head_block,
+(SELECT min(l_orderkey) FROM t WHERE window_id = (SELECT max(window_id) FROM w)) AS last_window_block FROM u""")
 def ls88_span(spark, sf):
-    out = panel.span(_universe(spark, sf))
-    return out.select(F.date_format("first_start", "yyyy-MM-dd").alias("first_start"), F.date_format("last_end", "yyyy-MM-dd").alias("last_end"), "windows")
+    out = panel.span(_universe(spark, sf), _blocks(spark, sf))
+    return out.select(F.date_format("first_start", "yyyy-MM-dd").alias("first_start"), F.date_format("last_end", "yyyy-MM-dd").alias("last_end"), "windows", "head_block", "last_window_block")
 
 
 # ---- reconciliation and ad-hoc SQL

@@ -5,7 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ledgerscope.functions.classify import classify
 from ledgerscope.functions.keys import asset_uid, contract_text, hex_to_decimal, hex_to_long, parse_utc
+from ledgerscope.schemas import Table
 
 ROWS = "struct<state:string,result:struct<rows:array<map<string,string>>>,next_offset:bigint>"
 
@@ -30,6 +32,28 @@ def saved_query_rows(responses: DataFrame, required: tuple[str, ...], optional:
     return rows.select(*[F.col("r")[c].alias(c) for c in required], *[F.try_element_at("r", F.lit(c)).alias(c) for c in optional])
 
 
+def scoped(rows: DataFrame, assets: DataFrame, start: Column | None = None, end: Column | None = None, time: str = "block_time") -> DataFrame:
+    """Rows of the wanted assets, and of the times start <= time < end where bounds are given."""
+    out = rows.join(assets.select("asset_uid").distinct(), "asset_uid", "left_semi")
+    if start is not None:
+        out = out.filter(F.col(time) >= start)
+    return out.filter(F.col(time) < end) if end is not None else out
+
+
+def completed(rows: DataFrame, table: Table, source: str, retrieved_at: Column, as_of: Column | None = None, issuers: DataFrame | None = None) -> DataFrame:
+    """A job's rows with the columns and types of their declared table, so that ``validate`` takes them.
+
+    The envelope is added; snapshots and holders without an ``as_of`` get the given one, else the time of retrieval;
+    transfers get their kind from the issuers; columns that the job does not give are typed nulls.
+    """
+    out = rows.withColumn("source", F.lit(source)).withColumn("retrieved_at", retrieved_at)
+    if "as_of" in table.schema.names and "as_of" not in out.columns:
+        out = out.withColumn("as_of", as_of if as_of is not None else F.col("retrieved_at"))
+    if "kind" in table.schema.names and issuers is not None:
+        out = classify(out, issuers)
+    return out.select(*[(F.col(f.name) if f.name in out.columns else F.lit(None)).cast(f.dataType).alias(f.name) for f in table.schema])
+
+
 def unparsed_times(rows: DataFrame, column: str) -> tuple[int, list[str]]:
     """How many timestamps fit no format, and up to three of them."""
     bad = rows.filter(F.col(column).isNotNull() & parse_utc(F.col(column)).isNull())

@@ -141,3 +141,72 @@ def test_reconcile_is_symmetric(spark):
     assert r.relative_difference == pytest.approx(0.66364, abs=1e-4) and r.stale and r.gap_hours == 72
     assert "too far apart" in reconcile.describe(reconcile.comparisons(reconcile.long_fields(s))).collect()[0].description
     assert F is not None
+
+
+def _odd_ledger(spark, rows):
+    df = spark.createDataFrame([(u, str(i // 3), i, f, t, x) for u, ls in rows.items() for i, (f, t, x) in enumerate(ls)], "asset_uid string, bucket string, seq int, from_address string, to_address string, amount double")
+    return df
+
+
+@pytest.mark.parametrize("lot_rows", [1, 5, 1000])
+def test_a_busy_asset_is_replayed_in_lots(spark, lot_rows):
+    import random
+
+    rng = random.Random(5)
+    cases = {f"eth:0x{k}": [(rng.choice([ZERO, "a", "b"]), rng.choice([DEAD, DEAD, "a"]), float(rng.randint(1, 90))) for _ in range(30)] for k in range(4)}
+    got = {}
+    for r in ledger.drop_implausible(_odd_ledger(spark, cases), lot_rows=lot_rows).orderBy("seq").collect():
+        got.setdefault(r.asset_uid, []).append(r.dropped)
+    assert got == {u: _replay(ls) for u, ls in cases.items()} and any(any(x) for x in got.values())
+
+
+def test_amounts_beyond_numbers_are_dropped_and_never_added(spark):
+    quiet = [(ZERO, "a", 10.0), ("a", "b", None), ("a", DEAD, None), ("a", "b", 10.0), (ZERO, "a", None), ("a", "b", 11.0)]
+    busy = [("a", DEAD, 5.0), *quiet]  # the burn comes before any supply, so this one is replayed
+    rows = ledger.drop_implausible(_odd_ledger(spark, {"eth:0x1": quiet, "eth:0x2": busy}), lot_rows=2).orderBy("asset_uid", "seq").collect()
+    want = [False, True, True, False, False, True]
+    assert [r.dropped for r in rows] == want + [True] + want
+    counts = ledger.dropped_counts(ledger.drop_implausible(_odd_ledger(spark, {"eth:0x1": quiet})), spark.createDataFrame([("eth:0x1",), ("eth:0x9",)], "asset_uid string"))
+    assert {r.asset_uid: r.dropped for r in counts.collect()} == {"eth:0x1": 3, "eth:0x9": 0}
+
+
+def test_a_transfer_above_todays_supply_is_kept(spark):
+    rows = ledger.drop_implausible(_odd_ledger(spark, {UID: [(ZERO, "a", 1000.0), ("a", "b", 900.0), ("b", ZERO, 950.0)]}))
+    assert not any(r.dropped for r in rows.collect())
+
+
+def test_overflowed_logs_are_dropped_end_to_end(spark):
+    word = lambda n: f"0x{n:064x}"
+    log = lambda k, f, t, n: (UID, [ledger.TRANSFER_TOPIC, word(f), word(t)], word(n), hex(k), hex(0), f"0x{k}", hex(1_780_000_000 + k))
+    raw = spark.createDataFrame([log(1, 0, 10, 1000), log(2, 10, 11, 11 * 10**39), log(3, 10, 11, 7)], "asset_uid string, topics array<string>, data string, blockNumber string, logIndex string, transactionHash string, blockTimestamp string")
+    t = ledger.decode_logs(raw).withColumn("bucket", F.lit(0)).withColumnRenamed("raw", "amount")
+    got = ledger.drop_implausible(t, seq="block").orderBy("block").collect()
+    assert [r.dropped for r in got] == [False, True, False] and [r.overflow for r in got] == [False, True, False]
+
+
+def test_dormancy_is_null_where_no_holder_is_left(spark, holders):
+    none = spark.createDataFrame([], "asset_uid string, window_id string, mode string, address string")
+    one = spark.createDataFrame([(UID, "2026-06", "all", "a"), (UID, "2026-06", "all", "c"), (UID, "2026-06", "all", "d")], none.schema)
+    assert measures.dormancy(holders, one, supply(spark)).collect()[0].dormancy == pytest.approx(0.29)
+    assert measures.dormancy(holders, none, supply(spark)).collect()[0].dormancy == pytest.approx(1.0)
+    assert measures.dormancy(holders.limit(0), one, supply(spark)).collect()[0].dormancy is None
+
+
+def test_windows_of_equal_length_are_found_by_their_number(spark):
+    w = windows.windows_ending(spark, "2026-06-30", 7, 3)
+    facts = spark.createDataFrame([(at(8),), (at(9),), (at(15),), (at(16),), (at(29),), (at(30),)], "block_time timestamp")
+    got = sorted((r.block_time.day, r.window_id) for r in windows.assign(facts, w).collect())
+    slow = sorted((r.block_time.day, r.window_id) for r in windows.assign(facts, w.select("window_id", "start", "end")).collect())
+    assert got == slow == [(9, "2026-06-16"), (15, "2026-06-16"), (16, "2026-06-23"), (29, "2026-06-30")]
+
+
+@pytest.mark.parametrize(("value", "text"), [(1234.5, "1,234"), (1e9, "1,000,000,000"), (999.96, "1000"), (12.5, "12.5"), (0.123456, "0.1235"), (0.0, "0"), (37.0, "37"), (1.234e-05, "1.234e-05")])
+def test_figures_are_written_to_be_read(spark, value, text):
+    assert spark.createDataFrame([(value,)], "v double").select(reconcile.readable("v").alias("t")).collect()[0].t == text
+
+
+def test_issuance_caveat(spark):
+    seen = _ledger(spark, [(ZERO, "a", 5), ("a", "b", 2)])
+    unseen = _ledger(spark, [("x", "a", 3), ("x", "b", 1)])
+    caveat = lambda t: ledger.issuance_caveat(ledger.issuance_profile(t)).collect()[0].caveat
+    assert caveat(seen) is None and "75.0%" in caveat(unseen) and "upper bounds" in caveat(unseen)

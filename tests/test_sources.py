@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from ledgerscope.functions import keys
 from ledgerscope.operators import status, validate
-from ledgerscope.schemas import HOLDERS
+from ledgerscope.schemas import HOLDERS, SNAPSHOTS, TRANSFERS
 from ledgerscope.sources import payloads, store, tables
 
 NOW = dt.datetime(2026, 6, 1, tzinfo=dt.timezone.utc)
@@ -118,8 +118,17 @@ def test_store_and_sinks(spark, tmp_path):
     assert [r.body for r in store.get(held, 86_400, later).collect()] == ["new"]
     store.clear(spark, path, "t")
     assert spark.read.parquet(path).select("source").distinct().collect()[0].source == "s"
-    held = spark.read.parquet(path)
+    held = store.read(spark, path, rows.schema)
+    assert store.get(held).count() == 1
     tables.write(held.select("source"), str(tmp_path / "a" / "x.csv"))
+    tables.write(held.select("body"), str(tmp_path / "b" / "x.parquet"))
+    assert spark.read.parquet(str(tmp_path / "b" / "x.parquet")).count() == 2
+    store.clear(spark, path)
+    assert store.get(store.read(spark, path, rows.schema)).count() == 0
+    store.put(rows, path)
+    assert store.read(spark, path, rows.schema).count() == 3
+    with pytest.raises(ValueError, match="zone"):
+        store.put(rows.withColumn("retrieved_at", F.lit("2026-06-01").cast("timestamp_ntz")), path)
     with pytest.raises(ValueError, match="unknown format"):
         tables.write(held, str(tmp_path / "x.xlsx"))
 
@@ -134,3 +143,44 @@ def test_missing_kinds(spark):
     f = spark.createDataFrame([("a", "x", "transfers", True), ("a", "y", "holders", False), ("b", "x", "transfers", False)], "asset_uid string, source string, kind string, ok boolean")
     got = {r.asset_uid: r.missing_kinds for r in status.missing_kinds(f, f.select("asset_uid").distinct()).collect()}
     assert got == {"a": ["holders"], "b": ["holders", "transfers"]}
+
+
+def test_payload_jobs_give_valid_tables(spark):
+    now, none = F.lit(NOW), spark.createDataFrame([], "asset_uid string, address string")
+    row = {"block_time": "2026-06-01 00:00:00.000 UTC", "tx_hash": "0x1", "log_index": "0", "contract_address": "0xA", "from_address": "0xB", "to_address": "0xC", "amount": "2"}
+    pages = lambda rows: spark.createDataFrame([(json.dumps({"state": "QUERY_STATE_COMPLETED", "result": {"rows": rows}}),)], "body string")
+    want = spark.createDataFrame([("e:0xA",)], "asset_uid string")
+    t = payloads.saved_query_transfers(pages([row, row | {"tx_hash": "0x2", "contract_address": "0xZ"}, row | {"tx_hash": "0x3", "block_time": "2026-07-01 00:00:00"}]), "E")
+    t = payloads.scoped(t, want, F.lit(NOW), F.lit(NOW + dt.timedelta(days=30)))
+    got = validate.validate(payloads.completed(t, TRANSFERS, "query", now, issuers=none), TRANSFERS, "transfers").collect()
+    assert [(r.tx_hash, r.kind, r.source) for r in got] == [("0x1", "secondary", "query")]
+    h = payloads.saved_query_holders(pages([{"contract_address": "0xA", "address": "0xB", "balance": "2"}]), "E", now)
+    assert validate.validate(payloads.completed(payloads.scoped(h, want), HOLDERS, "query", now), HOLDERS, "holders").count() == 1
+    body = json.dumps({"coins": {"e:0xA": {"price": 2.0, "symbol": "A", "decimals": 6, "timestamp": 1780272000}}})
+    price, _ = payloads.prices(spark.createDataFrame([(body,)], "body string"), want)
+    tvl = json.dumps({"chainTvls": {"E": {"tvl": [{"date": 2, "totalLiquidityUSD": 7.0}]}}})
+    series, _ = payloads.protocol_series(spark.createDataFrame([("x", tvl)], "slug string, body string"), spark.createDataFrame([("e:0xA", "x", "E")], "asset_uid string, slug string, chain string"))
+    listed, _ = payloads.token_list(spark.createDataFrame([(1, json.dumps({"results": [{"network": "e", "address": "0xA", "symbol": "A"}]}))], "page int, body string"), want, {})
+    calls = payloads.contract_snapshots(spark.createDataFrame([("e:0xA", payloads.SELECTORS["decimals"], 5, f"0x{6:064x}")], "asset_uid string, selector string, block long, result string"))
+    for name, rows in (("prices", price), ("series", series), ("list", listed), ("calls", calls)):
+        got = validate.validate(payloads.completed(rows, SNAPSHOTS, name, now), SNAPSHOTS, name).collect()
+        assert len(got) == 1 and got[0].source == name and got[0].as_of is not None
+
+
+def test_dimensions_are_checked(spark):
+    assets = spark.createDataFrame([("e:0xa", "A"), ("e:0xb", "B")], "asset_uid string, symbol string")
+    assert tables.asset_dimension(assets).count() == 2
+    with pytest.raises(validate.InvalidFrame, match="twice"):
+        tables.asset_dimension(assets.union(assets))
+    with pytest.raises(validate.InvalidFrame, match="field"):
+        tables.asset_dimension(spark.createDataFrame([("e:0xa", "")], assets.schema))
+    known = spark.createDataFrame([("e:0xa", "issuer", "0xAB", "by hand")], "asset_uid string, role string, address string, note string")
+    assert tables.address_dimension(known).collect()[0].address == "0xab"
+    with pytest.raises(validate.InvalidFrame, match="note"):
+        tables.address_dimension(known.withColumn("note", F.lit(" ")))
+
+
+def test_one_asset_only(spark):
+    status.assert_one_asset(spark.createDataFrame([("a",), ("a",)], "asset_uid string"))
+    with pytest.raises(ValueError, match="more than one"):
+        status.assert_one_asset(spark.createDataFrame([("a",), ("b",)], "asset_uid string"))
