@@ -13,26 +13,26 @@ def _sum(edges: DataFrame) -> tuple:
     return r[0], r[1]
 
 
-def _star(edges: DataFrame, large: bool, total: int) -> DataFrame:
+def _star(edges: DataFrame, large: bool) -> DataFrame:
     """Large: each node gives its larger neighbours its least neighbour. Small: it gives the same to its smaller ones and itself.
 
-    A hub, with more than a 256th of the ``total`` edges, is one of 512 at most. Its least neighbour is broadcast to its
-    edges, which stay where they are; only those of other nodes are dealt by node.
+    The least neighbours are a written table, so that the adaptive join can broadcast a small one and split the edges of a
+    hub otherwise, which it does not where a side is an aggregate.
     """
     both = edges.select("a", "b").union(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
     if not large:
         both = both.filter("b < a")
     # in two steps, so that a hub is no row for every task before in one task
-    part = both.withColumn("part", F.pmod(F.spark_partition_id(), F.lit(32))).groupBy("a", "part").agg(F.min("b").alias("m"), F.count("*").alias("c"))
-    least = part.groupBy("a").agg(F.min("m").alias("m"), F.sum("c").alias("c")).select("a", F.least("a", "m").alias("m"), "c")
-    hubs = least.filter(F.col("c") > max(total // 256, 64)).select(F.col("a").alias("hub"), F.col("m").alias("hub_m"))
-    marked = both.join(F.broadcast(hubs), F.col("a") == F.col("hub"), "left")
-    out = marked.filter("hub IS NULL").select("a", "b").join(least.select("a", "m"), "a").unionByName(marked.filter("hub IS NOT NULL").select("a", "b", F.col("hub_m").alias("m")))
+    part = both.withColumn("part", F.pmod(F.spark_partition_id(), F.lit(32))).groupBy("a", "part").agg(F.min("b").alias("m"))
+    least = stored(part.groupBy("a").agg(F.min("m").alias("m")).select("a", F.least("a", "m").alias("m")), "least")
+    out = both.join(least, "a")
     if large:
         out = out.filter("b > a").select(F.col("b").alias("a"), F.col("m").alias("b"))
     else:
         out = out.select(F.col("b").alias("a"), F.col("m").alias("b")).union(least.select("a", F.col("m").alias("b")))
-    return out.filter("a <> b").distinct()
+    found = stored(out.filter("a <> b").distinct(), "edges")
+    discard(least)
+    return found
 
 
 def components(links: DataFrame) -> DataFrame:
@@ -41,7 +41,7 @@ def components(links: DataFrame) -> DataFrame:
     before = _sum(edges)
     while before[0]:
         for large in (True, False):
-            old, edges = edges, stored(_star(edges, large, before[0]), "edges")
+            old, edges = edges, _star(edges, large)
             discard(old)
         after = _sum(edges)
         if after == before:
