@@ -222,7 +222,7 @@ def near_duplicates(docs: DataFrame, id: str = "doc_id", text: str = "text", shi
 
     Documents are linked when the sets of their lower-cased (A-Z) word shingles have a Jaccard similarity of at least
     ``percent`` hundredths. Equal sets are one class and travel as its least doc_id. In every band bucket two leaders
-    are compared with all members, the same ones in buckets of the same members but for four choices, which joins large
+    are compared with all members, the same ones in buckets of the same members, which joins large
     groups with work in proportion to their size; the second round
     then tests the remaining pairs among the members of buckets that are not yet in one component, so nothing is
     left untested; there, rare-first prefixes of the sets choose the pairs, so that a group's members that are too far apart
@@ -237,7 +237,7 @@ def near_duplicates(docs: DataFrame, id: str = "doc_id", text: str = "text", shi
     reps = sigs.filter("n > 0").dropDuplicates(owner).join(classes.withColumn("doc_id", F.col("rep")), owner)
     reps = stored(reps.select("rep", "n", "k1", "k2", "sig", "bands"), "classes")
     buckets = reps.select("rep", F.explode("bands").alias("band"))
-    leaders = buckets.groupBy("band").agg(F.count("*").alias("c"), F.min("rep").alias("l1"), F.min_by("rep", F.xxhash64("rep", F.pmod("band", F.lit(4)))).alias("l2")).filter("c > 1")
+    leaders = buckets.groupBy("band").agg(F.count("*").alias("c"), F.min("rep").alias("l1"), F.min_by("rep", F.xxhash64("rep")).alias("l2")).filter("c > 1")
     buckets = stored(buckets.join(leaders, "band").select("band", "rep", "l1", "l2"), "buckets")
     star = buckets.select("rep", F.explode(F.array("l1", "l2")).alias("lead")).filter("rep <> lead")
     star = star.select(F.greatest("rep", "lead").alias("a"), F.least("rep", "lead").alias("b")).distinct()
@@ -251,7 +251,7 @@ def near_duplicates(docs: DataFrame, id: str = "doc_id", text: str = "text", shi
     open_ = stored(placed.join(open_, "band", "left_semi").select("rep", "comp").distinct(), "open")
     pairs = _prefix_pairs(sets.join(open_, "rep"), percent)
     more = stored(_confirmed(_likely(pairs, reps, percent).join(tried, ["a", "b"], "left_anti"), sets, percent), "links")
-    labels = components(links.unionByName(more))
+    labels = components(labels.select(F.col("node").alias("a"), F.col("component").alias("b")).unionByName(more))
     by_class = classes.join(labels.withColumnRenamed("node", "rep"), "rep", "left").select("k1", "k2", F.col("n").alias("m"), F.coalesce("component", "rep").alias("comp"))
     s = sigs.select("doc_id", "n", "k1", "k2").alias("s")
     c = by_class.alias("c")
