@@ -143,7 +143,7 @@ def _sets(docs: DataFrame, wanted: DataFrame, shingle: int, id: str, text: str)
 
 
 def _confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """The pairs with 100 * intersection >= percent * union on the full sets."""
+    """The pairs with 100 * intersection >= percent * union on the full sets; where the sets come with signatures, those too far apart by estimate go first."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -159,8 +159,12 @@ def _confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
             yield pa.RecordBatch.from_arrays([kept.column("a"), kept.column("b")], ["a", "b"])
 
     kind = sets.schema["rep"].dataType.simpleString()
-    x = pairs.join(sets.select(F.col("rep").alias("a"), F.col("s").alias("sa")), "a")
-    x = x.join(sets.select(F.col("rep").alias("b"), F.col("s").alias("sb")), "b")
+    signed = ["sig"] if "sig" in sets.columns else []
+    x = pairs.join(sets.select(F.col("rep").alias("a"), F.col("s").alias("sa"), *(F.col(c).alias("ga") for c in signed)), "a")
+    x = x.join(sets.select(F.col("rep").alias("b"), F.col("s").alias("sb"), *(F.col(c).alias("gb") for c in signed)), "b")
+    if signed:
+        near = estimate(F.col("ga"), F.col("gb"), math.prod(band_plan(percent))) >= percent / 100 - MARGIN
+        x = x.filter(F.coalesce(near, F.lit(True)))
     return x.select("a", "b", "sa", "sb").mapInArrow(run, f"a {kind}, b {kind}")
 
 
@@ -250,7 +254,9 @@ def near_duplicates(docs: DataFrame, id: str = "doc_id", text: str = "text", shi
     open_ = placed.groupBy("band").agg(F.min("comp").alias("x"), F.max("comp").alias("y")).filter("x <> y").select("band")
     open_ = stored(placed.join(open_, "band", "left_semi").select("rep", "comp").distinct(), "open")
     pairs = _prefix_pairs(sets.join(open_, "rep"), percent)
-    more = stored(_confirmed(_likely(pairs, reps, percent).join(tried, ["a", "b"], "left_anti"), sets, percent), "links")
+    # the prefixes have checked the sizes, so the signatures ride with the sets: one join of the pairs, not two
+    signed = sets.join(reps.select("rep", F.col("k1").alias("k"), "sig"), ["rep", "k"], "left")
+    more = stored(_confirmed(pairs.join(tried, ["a", "b"], "left_anti"), signed, percent), "links")
     labels = components(labels.select(F.col("node").alias("a"), F.col("component").alias("b")).unionByName(more))
     by_class = classes.join(labels.withColumnRenamed("node", "rep"), "rep", "left").select("k1", "k2", F.col("n").alias("m"), F.coalesce("component", "rep").alias("comp"))
     s = sigs.select("doc_id", "n", "k1", "k2").alias("s")
