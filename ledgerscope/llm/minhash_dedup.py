@@ -143,7 +143,7 @@ def _sets(docs: DataFrame, wanted: DataFrame, shingle: int, id: str, text: str)
 
 
 def _confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """The pairs with 100 * intersection >= percent * union on the full sets; where the sets come with signatures, those too far apart by estimate go first."""
+    """The pairs with 100 * intersection >= percent * union on the full sets; where the sets come with signatures, those too far apart by estimate go first. Where they come with components, these are named instead of the sets."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -158,14 +158,15 @@ def _confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
             kept = b.filter(pa.array(keep))
             yield pa.RecordBatch.from_arrays([kept.column("a"), kept.column("b")], ["a", "b"])
 
-    kind = sets.schema["rep"].dataType.simpleString()
+    named = "comp" if "comp" in sets.columns else "rep"
+    kind = sets.schema[named].dataType.simpleString()
     signed = ["sig"] if "sig" in sets.columns else []
-    x = pairs.join(sets.select(F.col("rep").alias("a"), F.col("s").alias("sa"), *(F.col(c).alias("ga") for c in signed)), "a")
-    x = x.join(sets.select(F.col("rep").alias("b"), F.col("s").alias("sb"), *(F.col(c).alias("gb") for c in signed)), "b")
+    x = pairs.join(sets.select(F.col("rep").alias("a"), F.col(named).alias("ca"), F.col("s").alias("sa"), *(F.col(c).alias("ga") for c in signed)), "a")
+    x = x.join(sets.select(F.col("rep").alias("b"), F.col(named).alias("cb"), F.col("s").alias("sb"), *(F.col(c).alias("gb") for c in signed)), "b")
     if signed:
         near = estimate(F.col("ga"), F.col("gb"), math.prod(band_plan(percent))) >= percent / 100 - MARGIN
         x = x.filter(F.coalesce(near, F.lit(True)))
-    return x.select("a", "b", "sa", "sb").mapInArrow(run, f"a {kind}, b {kind}")
+    return x.select(F.col("ca").alias("a"), F.col("cb").alias("b"), "sa", "sb").mapInArrow(run, f"a {kind}, b {kind}")
 
 
 #: Set sizes are classed by this ratio when prefixes are joined.
@@ -253,12 +254,15 @@ def near_duplicates(docs: DataFrame, id: str = "doc_id", text: str = "text", shi
     placed = placed.select("band", "rep", F.coalesce("component", "rep").alias("comp"))
     open_ = placed.groupBy("band").agg(F.min("comp").alias("x"), F.max("comp").alias("y")).filter("x <> y").select("band")
     open_ = stored(placed.join(open_, "band", "left_semi").select("rep", "comp").distinct(), "open")
-    pairs = _prefix_pairs(sets.join(open_, "rep"), percent)
+    sets = sets.join(open_, "rep")
+    pairs = _prefix_pairs(sets, percent)
     # the prefixes have checked the sizes, so the signatures ride with the sets: one join of the pairs, not two
     signed = sets.join(reps.select("rep", F.col("k1").alias("k"), "sig"), ["rep", "k"], "left")
-    more = stored(_confirmed(pairs.join(tried, ["a", "b"], "left_anti"), signed, percent), "links")
-    labels = components(labels.select(F.col("node").alias("a"), F.col("component").alias("b")).unionByName(more))
-    by_class = classes.join(labels.withColumnRenamed("node", "rep"), "rep", "left").select("k1", "k2", F.col("n").alias("m"), F.coalesce("component", "rep").alias("comp"))
+    # between components only, so that the second pass is over these and not over all their members
+    more = stored(_confirmed(pairs.join(tried, ["a", "b"], "left_anti"), signed, percent).distinct(), "links")
+    merged = components(more).select(F.col("node").alias("comp"), F.col("component").alias("into"))
+    by_class = classes.join(labels.withColumnRenamed("node", "rep"), "rep", "left").withColumn("comp", F.coalesce("component", "rep"))
+    by_class = by_class.join(merged, "comp", "left").select("k1", "k2", F.col("n").alias("m"), F.coalesce("into", "comp").alias("comp"))
     s = sigs.select("doc_id", "n", "k1", "k2").alias("s")
     c = by_class.alias("c")
     out = s.join(c, (F.col("s.k1") == F.col("c.k1")) & (F.col("s.k2") == F.col("c.k2")) & (F.col("s.n") == F.col("c.m")), "left")

@@ -9,7 +9,7 @@ import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from ledgerscope.llm import chat_format, exact_dedup, html_extract, minhash_dedup, mixing, packing, quality_model, quality_rules, toxicity
+from ledgerscope.llm import chat_format, exact_dedup, graph, html_extract, minhash_dedup, mixing, packing, quality_model, quality_rules, toxicity
 from ledgerscope.llm.text import words_of
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
@@ -257,6 +257,54 @@ def test_near_duplicates_with_repeated_rows_and_ids(spark):
     assert sorted(r.doc_id or 0 for r in minhash_dedup.drop_near(docs, found).collect()) == [0, 1, 1, 9, 9]
 
 
+def least_reachable(nodes, links):
+    to = {k: k for k in nodes}
+
+    def root(k):
+        while to[k] != k:
+            k = to[k]
+        return k
+
+    for a, b in ((a, b) for a, b in links if a != b):
+        x, y = sorted((root(a), root(b)))
+        to[y] = x
+    return {k: root(k) for k in nodes}
+
+
+@pytest.mark.parametrize("shape", ["none", "loops", "star", "inner", "path", "random"])
+def test_components(spark, shape):
+    rng = np.random.default_rng(17)
+    links = {
+        "none": [],
+        "loops": [(3, 3), (4, 5), (5, 4), (4, 5)],
+        "star": [(k, 0) for k in range(1, 60)],
+        "inner": [(k, 30) for k in range(60) if k != 30],
+        "path": [(int(a), int(b)) for a, b in itertools.pairwise(rng.permutation(90))],
+        "random": [tuple(map(int, x)) for x in rng.integers(0, 300, (220, 2))],
+    }[shape]
+    nodes = {x for a, b in links if a != b for x in (a, b)}
+    got = [(r.node, r.component) for r in graph.components(spark.createDataFrame(links, "a long, b long")).collect()]
+    assert sorted(got) == sorted(least_reachable(nodes, links).items())
+
+
+def test_near_duplicates_in_long_chains(spark):
+    """Texts that drift: each is linked with a few neighbours, so that components of the first round meet in the second."""
+    rng = np.random.default_rng(23)
+    texts = []
+    for chain in range(5):
+        words = [f"c{chain}w{j}" for j in range(120)]
+        for step in range(60):
+            texts.append(" ".join(words))
+            at = int(rng.integers(0, 116))
+            words[at : at + 3] = [f"c{chain}s{step}x{j}" for j in range(3)]
+    order = [int(x) for x in rng.permutation(len(texts))]
+    sets = [{tuple(w[i : i + 5]) for i in range(len(w) - 4)} for w in (t.split() for t in texts)]
+    near = [(order[a], order[b]) for a, b in itertools.combinations(range(len(texts)), 2) if 100 * len(sets[a] & sets[b]) >= 80 * len(sets[a] | sets[b])]
+    docs = spark.createDataFrame([(order[k], t, 1) for k, t in enumerate(texts)], "doc_id long, text string, comp int")
+    got = {r.doc_id: r.component_id for r in minhash_dedup.near_duplicates(docs).collect()}
+    assert got == least_reachable(order, near)
+
+
 def test_prefix_pairs_take_repeated_rows_once(spark):
     rng = np.random.default_rng(8)
     base = rng.integers(1, 1 << 62, 60, np.uint64)
