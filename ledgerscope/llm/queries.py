@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ledgerscope.llm import centroids, chat_format, exact_dedup, html_extract, lm_score, merkle, minhash_dedup, mixing, packing, quality_model, quality_rules, toxicity
+from ledgerscope.llm import centroids, chat_format, embedding_dedup, exact_dedup, html_extract, lm_score, merkle, minhash_dedup, mixing, packing, quality_model, quality_rules, toxicity
 from ledgerscope.llm.text import held_out
 
 
@@ -73,6 +73,10 @@ def op11_centroid_clustering(spark: SparkSession, sf_dir: str) -> DataFrame:
     return centroids.cluster(_table(spark, sf_dir, "embeddings"))
 
 
+def op12_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return embedding_dedup.near_duplicates(_table(spark, sf_dir, "embeddings"))
+
+
 def op13_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
     n = F.col("n_chars")
     more = F.when(F.crc32(F.col("doc_id").cast("string")) % 7 == 0, n.cast("decimal(20,0)") + 1).otherwise(n)
@@ -81,7 +85,7 @@ def op13_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    found = [op1_html_extraction, op2_lm_scoring, op3_packing, op4_quality_classifier, op5_exact_dedup, op6_quality_rules, op7_source_mixing, op8_minhash_dedup, op9_chat_formatting, op10_toxicity, op11_centroid_clustering, op13_merkle_manifest]
+    found = [op1_html_extraction, op2_lm_scoring, op3_packing, op4_quality_classifier, op5_exact_dedup, op6_quality_rules, op7_source_mixing, op8_minhash_dedup, op9_chat_formatting, op10_toxicity, op11_centroid_clustering, op12_embedding_dedup, op13_merkle_manifest]
     return {f.__name__: f for f in found}
 
 
