@@ -40,7 +40,7 @@ class Simplex:
                 lower = np.block([[lower, np.zeros((len(base), 1))], [x[None, :], np.array([[np.sqrt(height)]])]])
                 kept.append(p)
         self.pivots = np.array(kept, np.int64).reshape(len(kept), pivots.shape[1])
-        self.lower = lower
+        self.inverse = np.linalg.inv(lower)  # a solver for many right sides at once may hang in a process that has forked, as a driver does to start its JVM
         self.sizes = ((self.pivots[1:] - self.pivots[:1]) ** 2).sum(1).astype(np.float64)
 
     def distances(self, vectors: np.ndarray) -> np.ndarray:
@@ -51,7 +51,7 @@ class Simplex:
         """From squared distances to the pivots: coordinates in their span, the height squared, and the error that rounding may make in squared bounds."""
         d = d.astype(np.float64)
         inner = (d[:, :1] + self.sizes - d[:, 1:]) / 2
-        x = np.linalg.solve(self.lower, inner.T).T if len(self.lower) else inner
+        x = inner @ self.inverse.T
         return x, np.maximum(d[:, 0] - (x * x).sum(1), 0), 1e-4 * d[:, 0]
 
 
