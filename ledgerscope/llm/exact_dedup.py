@@ -16,7 +16,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ledgerscope.llm.text import SPACE, mix, stored
+from ledgerscope.llm.text import SPACE, free_name, mix, stored
 
 #: Digests in one filter bucket, about: a filter of so many keys has some 60 kB.
 KEYS_PER_FILTER = 50_000
@@ -237,8 +237,9 @@ def drop_copies(docs: DataFrame, found: DataFrame, id: str = "doc_id", text: str
     A row stays by its id, its normalised text and its length, so one id with several texts is judged text by text; of
     rows that repeat all three, one stays. Such repeats are dropped before the texts move, and texts move once.
     """
-    ids = found.filter("kept").select(_row_key(F.col("doc_id"), F.col("text_sha256"), F.col("n_chars")).alias("__key")).distinct()
+    name = free_name(docs, "__key")
+    ids = found.filter("kept").select(_row_key(F.col("doc_id"), F.col("text_sha256"), F.col("n_chars")).alias(name)).distinct()
     body = F.col(f"`{text}`")
     key = _row_key(F.col(f"`{id}`"), F.sha2(normalised(body), 256), F.length(F.coalesce(body, F.lit(""))))
     # an inner join, as a semi-join would be pushed below the dropping of repeats
-    return docs.withColumn("__key", key).dropDuplicates(["__key"]).join(ids, "__key").drop("__key")
+    return docs.withColumn(name, key).dropDuplicates([name]).join(ids, name).drop(name)

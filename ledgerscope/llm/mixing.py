@@ -7,7 +7,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ledgerscope.llm.text import in_lots, stored, word_count
+from ledgerscope.llm.text import free_name, in_lots, stored, word_count
 
 #: Documents of one source and length are dealt by a seeded hash of their id to so many lots, each ranked by itself.
 LOTS = 256
@@ -158,6 +158,7 @@ def repeat(docs: DataFrame, mixed: DataFrame, row: str) -> DataFrame:
 
     Rows with a null id or an id of other rows too are taken by their own copies. An empty table gives no rows.
     """
-    copies = mixed.filter("copies > 0").select(F.col("row").alias("__taken"), F.col("copies").alias("__copies"))
-    rows = docs.join(copies, F.col(f"`{row}`") == F.col("__taken"))
-    return rows.withColumn("__copy", F.explode(F.sequence(F.lit(1), F.col("__copies")))).drop("__taken", "__copies", "__copy")
+    taken, copies, copy = (free_name(docs, n) for n in ("__taken", "__copies", "__copy"))
+    mix = mixed.filter("copies > 0").select(F.col("row").alias(taken), F.col("copies").alias(copies))
+    rows = docs.join(mix, F.col(f"`{row}`") == F.col(taken))
+    return rows.withColumn(copy, F.explode(F.sequence(F.lit(1), F.col(copies)))).drop(taken, copies, copy)

@@ -11,7 +11,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ledgerscope.llm.text import Words, held_out, pieces, stored, words_of
+from ledgerscope.llm.text import Words, held_out, one_text, pieces, stored, words_of
 
 DIMS = 32
 #: A word's index vector follows from its hash; its context sum shares one of so many rows by hash. Word endings and shapes have index vectors of their own.
@@ -187,11 +187,14 @@ def train(x: np.ndarray, y: np.ndarray, hidden: int = 32, epochs: int = 40, seed
 def fit(
     docs: DataFrame, labels: DataFrame, id: str = "doc_id", text: str = "text", label: str = "quality", max_rows: int = 20_000
 ) -> tuple[WordVectors, Network] | None:
-    """Word vectors from all texts, and the network from at most ``max_rows`` labelled rows, chosen by a hash of the id; None without both labels."""
-    known = labels.filter(F.col(label).isNotNull()).groupBy(id).agg(F.max(label).cast("double").alias("__y"))
-    known = known.orderBy(F.xxhash64(F.col(id)), F.col(id)).limit(max_rows)
-    rows = docs.select(id, text).join(F.broadcast(known), id).select(F.col(id).alias("i"), F.col(text).alias("t"), F.col("__y").alias("y"))
-    rows = stored(rows.repartition(8), "labelled")
+    """Word vectors from all texts, and the network from at most ``max_rows`` labelled rows, chosen by a hash of the id; None without both labels.
+
+    An id counts once: with the largest of its labels, and of its texts the one with the least hash.
+    """
+    key, mark = F.col(f"`{id}`"), F.col(f"`{label}`")
+    known = labels.filter(mark.isNotNull() & key.isNotNull()).groupBy(key.alias("i")).agg(F.max(mark).cast("double").alias("y"))
+    known = known.orderBy(F.xxhash64("i"), "i").limit(max_rows)
+    rows = stored(one_text(docs, known, id, text).repartition(8), "labelled")
 
     if rows.select("y").distinct().count() < 2:
         return None
@@ -223,5 +226,5 @@ def score(docs: DataFrame, model: tuple[WordVectors, Network] | None, id: str =
 
 def learn_and_score(docs: DataFrame, labels: DataFrame, id: str = "doc_id", text: str = "text", modulus: int = 5, remainder: int = 0) -> DataFrame:
     """Learns from labelled rows that are not held out, scores all rows, and adds ``held_out``. Rows are independent."""
-    model = fit(docs, labels.filter(~held_out(F.col(id), modulus, remainder)), id, text)
+    model = fit(docs, labels.filter(~held_out(F.col(f"`{id}`"), modulus, remainder)), id, text)
     return score(docs, model, id, text).withColumn("held_out", held_out(F.col("doc_id"), modulus, remainder))

@@ -149,6 +149,22 @@ def held_out(doc_id: Column, modulus: int, remainder: int) -> Column:
     return F.coalesce(F.crc32(doc_id.cast("string")) % modulus == remainder, F.lit(False))
 
 
+def free_name(df, name: str) -> str:
+    """The name, with underscores before it while a column of ``df`` has it."""
+    while name.lower() in {c.lower() for c in df.columns}:
+        name = "_" + name
+    return name
+
+
+def one_text(docs, known, id: str, text: str):
+    """``known`` (i, ...; one row an id) with ``t``, the id's text in ``docs``; of several rows the text with the least hash, so the result has at most the rows of ``known``.
+
+    An id with many rows sends one text a task.
+    """
+    rows = docs.select(F.col(f"`{id}`").alias("i"), F.col(f"`{text}`").alias("t")).join(F.broadcast(known), "i")
+    return rows.groupBy(*known.columns).agg(F.min_by("t", F.xxhash64("t")).alias("t"))
+
+
 def work_dir(spark: SparkSession) -> str:
     """The shared folder of the cluster (spark.checkpoint.dir). Where none is named, on one machine only, a temporary one is set here."""
     named = spark.conf.get("spark.checkpoint.dir", None)

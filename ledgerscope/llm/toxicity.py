@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ledgerscope.llm.text import held_out, stored
+from ledgerscope.llm.text import held_out, one_text, stored
 
 #: Digits and signs that stand for letters.
 DIGITS = {"0": "o", "1": "i", "3": "e", "4": "a", "5": "s", "7": "t", "@": "a"}
@@ -156,15 +156,16 @@ def learn_lexicon(
 ) -> Lexicon:
     """Weights from the words, and the word beginnings of four to eight letters, of labelled documents, and the scale of scores.
 
-    At most ``max_rows`` labelled rows are used, in the order of a hash of their id; rows without an id or a label are not.
+    At most ``max_rows`` labelled rows are used, in the order of a hash of their id; rows without an id or a label are not. An id
+    counts once: with the largest of its labels, and of its texts the one with the least hash.
     The counts are summed by Spark, by fold. The least ratio of entries and the scale are fitted to the same rows: those of
     a fold are scored with the entries of the others, and the pair that gives the best F1 at the threshold is taken (the
     largest ratio and 12 where the rows do not have both labels).
     """
-    known = labels.filter(F.col(label).isNotNull() & F.col(id).isNotNull()).groupBy(id).agg(F.max(label).cast("int").alias("__y"))
-    known = known.orderBy(F.xxhash64(F.col(id)), F.col(id)).limit(max_rows).withColumn("__fold", F.pmod(F.xxhash64(F.lit(3), F.col(id)), F.lit(folds)).cast("int"))
-    rows = docs.select(id, text).join(F.broadcast(known), id).select(F.col(text).alias("t"), F.col("__y").alias("y"), F.col("__fold").alias("fold"))
-    rows = stored(rows, "labelled")
+    key, mark = F.col(f"`{id}`"), F.col(f"`{label}`")
+    known = labels.filter(mark.isNotNull() & key.isNotNull()).groupBy(key.alias("i")).agg(F.max(mark).cast("int").alias("y"))
+    known = known.orderBy(F.xxhash64("i"), "i").limit(max_rows).withColumn("fold", F.pmod(F.xxhash64(F.lit(3), F.col("i")), F.lit(folds)).cast("int"))
+    rows = stored(one_text(docs, known, id, text).select("t", "y", "fold"), "labelled")
 
     def features(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         sums: dict[tuple[int, int], Counter] = {}
@@ -238,7 +239,7 @@ def toxicity(docs: DataFrame, lexicon: Lexicon, id: str = "doc_id", text: str =
 
 def learn_and_score(docs: DataFrame, labels: DataFrame, id: str = "doc_id", text: str = "text", modulus: int = 4, remainder: int = 2) -> DataFrame:
     """Learns from labelled rows that are not held out, scores all rows, and adds ``held_out``."""
-    seen = labels.filter(~held_out(F.col(id), modulus, remainder))
+    seen = labels.filter(~held_out(F.col(f"`{id}`"), modulus, remainder))
     lexicon = learn_lexicon(docs, seen, id, text)
     out = toxicity(docs, lexicon, id, text)
     return out.withColumn("held_out", held_out(F.col("doc_id"), modulus, remainder))

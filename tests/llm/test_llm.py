@@ -10,7 +10,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from ledgerscope.llm import chat_format, exact_dedup, graph, html_extract, minhash_dedup, mixing, packing, quality_model, quality_rules, toxicity
-from ledgerscope.llm.text import words_of
+from ledgerscope.llm.text import one_text, words_of
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long"
@@ -399,3 +399,23 @@ def test_chat_ties_nulls_and_many_turns(spark, none):
     assert [t.text for t in got[1].read] == ["A", "[x"] and [(t.role, t.text) for t in got[2].read] == [("user", ""), ("assistant", "")]
     assert [t.text for t in got[3].read] == [f"t<{k}>" for k in range(700)] and got[3].loss == "".join(f"t<{k}>" for k in range(1, 700, 2))
     assert chat_format.format_chats(df.limit(0).withColumn("parts", chat_format.text_part(F.col("text")))).count() == 0
+
+
+def test_a_labelled_id_with_many_rows_counts_once(spark):
+    """What is learned from has one row an id, so it is as small as its bound, and reruns agree; odd column names and clashing ones do no harm."""
+    rows = [(0, f"row {k} of id zero", 1) for k in range(10_000)] + [(k, "you idiot moron" if k % 2 else "a calm word", 1) for k in range(1, 60)]
+    docs = spark.createDataFrame(rows, "`my.id` long, `the text` string, y int").repartition(5)
+    labels = spark.createDataFrame([(k, k % 2, k % 2) for k in range(60)] + [(0, 1, 1), (None, 1, 0), (3, None, None)], "`my.id` long, toxic int, quality int")
+    known = labels.filter("toxic IS NOT NULL AND `my.id` IS NOT NULL").groupBy(F.col("`my.id`").alias("i")).agg(F.max("toxic").alias("y"))
+    got = [sorted(map(tuple, one_text(docs, known, "my.id", "the text").collect())) for _ in range(2)]
+    assert len(got[0]) == 60 and got[0] == got[1]
+    out = [sorted(map(tuple, m.learn_and_score(docs, labels, "my.id", "the text").collect())) for m in (toxicity, quality_model) for _ in range(2)]
+    assert out[0] == out[1] and out[2] == out[3] and len(out[0]) == len(out[2]) == len(rows)
+
+
+def test_helper_columns_do_not_clash(spark):
+    docs = spark.createDataFrame([(1, "a b", "s", 7, 8, 9, 10), (2, "a b", "s", 7, 8, 9, 11), (3, "c", "s", 7, 8, 9, 12)], "doc_id long, text string, source string, __taken int, __copies int, __copy int, __key int")
+    mixed = mixing.repeat(docs, mixing.mix_sources(docs, row="doc_id"), "doc_id")
+    assert mixed.columns == docs.columns and mixed.count() > 0 and {(r["__taken"], r["__copies"], r["__copy"]) for r in mixed.collect()} == {(7, 8, 9)}
+    left = exact_dedup.drop_copies(docs, exact_dedup.dedup(docs, F.col("doc_id") % 2 == 0))
+    assert sorted(left.columns) == sorted(docs.columns) and {r.doc_id: r["__key"] for r in left.collect()} == {1: 10, 3: 12}
