@@ -43,8 +43,9 @@ def request_digest(source: Column, dataset: Column, params: Column) -> Column:
 
 
 def hex_to_long(digits: Column) -> Column:
-    """A hexadecimal number of up to 15 digits, with or without 0x."""
-    return F.conv(F.regexp_replace(digits, "^0x", ""), 16, 10).cast("long")
+    """A hexadecimal number, with or without 0x; null beyond 15 digits (zeros before it aside) and where it is none."""
+    h = F.regexp_replace(F.regexp_replace(digits, "^0x", ""), "^0+(?=.)", "")
+    return F.when(h.rlike("^[0-9a-fA-F]{1,15}$"), F.conv(h, 16, 10).cast("long"))
 
 
 def hex_to_decimal(digits: Column) -> Column:
@@ -72,7 +73,7 @@ def contract_text(result: Column, cap: int = 80) -> Column:
     """
     h = F.regexp_replace(result, "^0x", "")
     size = F.when(F.length(h) >= 128, hex_to_long(F.substring(h, 114, 15)))
-    dynamic = F.substring(h, F.lit(129), (size * 2).cast("int"))
+    dynamic = F.substring(h, F.lit(129), F.least(size * 2, F.length(h).cast("long")).cast("int"))
     raw = F.when(F.length(h) == 64, F.regexp_replace(h, "(00)+$", "")).otherwise(dynamic)
     text = F.decode(F.unhex(raw), "UTF-8")
     clean = F.trim(F.regexp_replace(F.regexp_replace(text, r"[\p{C}&&[^\s]]", ""), r"\s+", " "))

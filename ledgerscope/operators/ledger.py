@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame, Observation, Window
 from pyspark.sql import functions as F
 
 from ledgerscope.functions.classify import is_burn
@@ -15,23 +15,30 @@ TRANSFER_TOPIC = "0xddf252ad1be2c89b69c2b068fc378daa952ba7f163c4a11628f55a4df523
 
 
 def scan_logs(raw: DataFrame, head: int | None = None, step: int = 10_000) -> DataFrame:
-    """Transfer logs up to a pinned head, or all to the newest block without one, with the aligned block window each belongs to (the table's partition column, so whole windows are pruned)."""
+    """Transfer logs up to a pinned head, or all to the newest block without one, with the aligned block window each belongs to (``block_window``). A block number that is none, or has over 15 digits, is left out."""
     block = hex_to_long(F.col("blockNumber"))
     return raw.filter((F.get("topics", F.lit(0)) == TRANSFER_TOPIC) & (block.isNotNull() if head is None else block <= head)).withColumn("block_window", block - F.pmod(block, F.lit(step)))
 
 
-def decode_logs(raw: DataFrame, blocks: DataFrame | None = None) -> DataFrame:
+def decode_logs(raw: DataFrame, blocks: DataFrame | None = None, skipped: Observation | None = None, unresolved: Observation | None = None) -> DataFrame:
     """Logs of three topics as transfers (asset_uid, block, log_index, tx_hash, from_address, to_address, raw, overflow, block_time).
 
     ``raw`` is exact up to 2^126, else null with ``overflow`` set (``drop_implausible`` takes a null amount as above any supply). A missing or zero timestamp is looked up in ``blocks``.
+    Logs without three topics, a block or a log index are skipped. ``skipped`` observes their number (``skipped_logs``), ``unresolved`` that of transfers whose time is
+    not found (``unresolved_times``), in the pass that reads the logs; both are known once an action on the result has ended.
     """
-    out = raw.filter(F.size("topics") == 3).select(
+    whole = (F.size("topics") == 3) & hex_to_long(F.col("blockNumber")).isNotNull() & hex_to_long(F.col("logIndex")).isNotNull()
+    read = raw.withColumn("__whole", F.coalesce(whole, F.lit(False)))
+    if skipped is not None:
+        read = read.observe(skipped, F.count_if(~F.col("__whole")).alias("skipped_logs"))
+    out = read.filter("__whole").select(
         "asset_uid", hex_to_long(F.col("blockNumber")).alias("block"), hex_to_long(F.col("logIndex")).alias("log_index"), F.col("transactionHash").alias("tx_hash"),
         topic_address(F.get("topics", F.lit(1))).alias("from_address"), topic_address(F.get("topics", F.lit(2))).alias("to_address"),
         hex_to_decimal(F.col("data")).alias("raw"), hex_to_long(F.col("blockTimestamp")).alias("__s"),
     )
     out = out.withColumn("overflow", F.col("raw").isNull()).withColumn("block_time", F.when(F.col("__s") > 0, F.timestamp_seconds("__s"))).drop("__s")
-    return block_times(out, blocks) if blocks is not None else out
+    out = block_times(out, blocks) if blocks is not None else out
+    return out if unresolved is None else out.observe(unresolved, F.count_if(F.col("block_time").isNull()).alias("unresolved_times"))
 
 
 def block_times(transfers: DataFrame, blocks: DataFrame) -> DataFrame:

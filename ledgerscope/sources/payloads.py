@@ -124,10 +124,11 @@ SELECTORS = {"decimals": "0x313ce567", "totalSupply": "0x18160ddd", "symbol": "0
 
 
 def contract_snapshots(calls: DataFrame) -> DataFrame:
-    """calls (asset_uid, selector, block, result) to snapshots; ``error_code`` is set where decimals are missing. Prices are null."""
+    """calls (asset_uid, selector, block, result) to snapshots; ``error_code`` is set where decimals are missing or above 255, a byte's largest. Prices are null."""
     pick = lambda name: F.max(F.when(F.col("selector") == SELECTORS[name], F.col("result")))
     one = calls.groupBy("asset_uid", "block").agg(*[pick(n).alias(n) for n in SELECTORS])
-    decimals = hex_to_long(F.right("decimals", F.lit(15))).cast("int")
+    read = hex_to_long(F.col("decimals"))
+    decimals = F.when(read <= 255, read.cast("int"))
     supply = hex_to_decimal(F.col("totalSupply")).cast("double") / F.pow(F.lit(10.0), decimals)
     return one.select(
         "asset_uid", "block", contract_text(F.col("symbol")).alias("symbol"), contract_text(F.col("name")).alias("name"), decimals.alias("decimals"),

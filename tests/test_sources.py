@@ -4,10 +4,11 @@ import datetime as dt
 import json
 
 import pytest
+from pyspark.sql import Observation
 from pyspark.sql import functions as F
 
 from ledgerscope.functions import keys
-from ledgerscope.operators import status, validate
+from ledgerscope.operators import ledger, status, validate
 from ledgerscope.schemas import HOLDERS, SNAPSHOTS, TRANSFERS
 from ledgerscope.sources import payloads, store, tables
 
@@ -184,3 +185,30 @@ def test_one_asset_only(spark):
     status.assert_one_asset(spark.createDataFrame([("a",), ("a",)], "asset_uid string"))
     with pytest.raises(ValueError, match="more than one"):
         status.assert_one_asset(spark.createDataFrame([("a",), ("b",)], "asset_uid string"))
+
+
+def test_malformed_numbers_are_null(spark):
+    cases = [("0x1f", 31), ("1F", 31), ("0x" + "0" * 63 + "a", 10), ("0x" + "f" * 15, 16**15 - 1), ("0x1" + "0" * 15, None), ("f" * 20, None), ("0x", None), ("zz", None), ("", None), (None, None)]
+    got = spark.createDataFrame([(k, h) for k, (h, _) in enumerate(cases)], "k int, h string").select("k", keys.hex_to_long(F.col("h")).alias("n")).collect()
+    assert {r.k: r.n for r in got} == {k: n for k, (_, n) in enumerate(cases)}
+
+
+def test_decimals_beyond_a_byte_are_missing(spark):
+    calls = [(f"e:{k}", payloads.SELECTORS["decimals"], 5, f"0x{n:064x}") for k, n in enumerate([0, 255, 256, 2**200 + 6])]
+    got = payloads.contract_snapshots(spark.createDataFrame(calls, "asset_uid string, selector string, block long, result string")).collect()
+    assert {r.asset_uid: (r.decimals, r.error_code) for r in got} == {"e:0": (0, None), "e:1": (255, None), "e:2": (None, "no_decimals"), "e:3": (None, "no_decimals")}
+
+
+def test_skipped_logs_and_unresolved_times_are_counted_in_the_pass_that_decodes(spark):
+    def log(block, topics=3, at="0x0", index="0x1"):
+        return ("a", block, index, "0xt", [ledger.TRANSFER_TOPIC, "0x" + "0" * 64, "0x" + "1" * 64][:topics], "0x5", at)
+
+    raw = [log("0x1"), log("0x2"), log("0x3", at="0x10"), log("f" * 20), log(None), log("0x1", topics=2), log("0x1", index="0x")]
+    schema = "asset_uid string, blockNumber string, logIndex string, transactionHash string, topics array<string>, data string, blockTimestamp string"
+    blocks = spark.createDataFrame([(1, dt.datetime(2024, 1, 1))], "number long, timestamp timestamp")
+    skipped, unresolved = Observation(), Observation()
+    read = spark.sparkContext.accumulator(0)
+    rows = ledger.decode_logs(spark.createDataFrame(raw, schema).withColumn("data", F.udf(lambda x: (read.add(1), x)[1])("data")), blocks, skipped, unresolved).collect()
+    assert sorted(r.block for r in rows) == [1, 2, 3] and [r.block for r in rows if r.block_time is None] == [2]
+    assert (skipped.get, unresolved.get) == ({"skipped_logs": 4}, {"unresolved_times": 1}) and read.value <= len(raw)
+    assert ledger.scan_logs(spark.createDataFrame(raw, schema)).count() == 5
