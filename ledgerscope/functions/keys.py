@@ -61,6 +61,11 @@ def hex_to_decimal(digits: Column) -> Column:
     return F.when(F.length(h) == 0, F.lit(0).cast("decimal(38,0)")).when(fits, value.cast("decimal(38,0)"))
 
 
+def negated(amount: Column) -> Column:
+    """The amount taken from zero. The minus sign alone rounds a decimal to 34 digits."""
+    return F.lit(0) - amount
+
+
 def topic_address(topic: Column) -> Column:
     """The address in the last 40 digits of a log topic."""
     return F.concat(F.lit("0x"), F.lower(F.right(topic, F.lit(40))))

@@ -7,7 +7,8 @@ from pyspark.sql import DataFrame, Observation, Window
 from pyspark.sql import functions as F
 
 from ledgerscope.functions.classify import is_burn
-from ledgerscope.functions.keys import hex_to_decimal, hex_to_long, topic_address
+from ledgerscope.functions.keys import hex_to_decimal, hex_to_long, negated, topic_address
+from ledgerscope.operators import steps
 from ledgerscope.shared import settled
 
 #: Fixed value: the topic of a Transfer event.
@@ -60,82 +61,144 @@ def running_sum(rows: DataFrame, bucket: str, order: list[str], value: str, out:
     return rows.withColumn(out, F.coalesce(inside, F.lit(0))).join(offsets, ["asset_uid", bucket]).withColumn(out, F.col(out) + F.col("__before")).drop("__before")
 
 
-#: Rows of an asset that one task replays, about.
+#: Mints and burns of an asset that one task replays, about.
 LOT_ROWS = 500_000
 
+#: Lots that one task puts together to the next level.
+FAN = 64
 
-def drop_implausible(transfers: DataFrame, bucket: str = "bucket", seq: str = "seq", lot_rows: int = LOT_ROWS) -> DataFrame:
+#: Pieces of a lot's effect that are kept; a lot with more is replayed from its start once that is known.
+PIECES = 1024
+
+
+def drop_implausible(transfers: DataFrame, bucket: str = "bucket", seq: str = "seq", lot_rows: int = LOT_ROWS, fan: int = FAN, pieces: int = PIECES) -> DataFrame:
     """Adds ``dropped``: a transfer out of no burn address that moves more than the supply so far. A dropped burn leaves the supply as it was.
 
     A null amount is one too large to be a number (see ``decode_logs``): above any supply, so it is dropped, and a mint of
-    one is kept but never added.
+    one is kept but never added. ``seq`` orders an asset's rows, ``bucket`` (no null) its stretches, and neither contradicts the other.
 
-    Where an asset's mints less burns never go below zero, the supply before a row is their running sum. Only assets that
-    do go below, which a dropped burn makes a true recurrence, are replayed in order, in lots of ``lot_rows`` rows. A lot
-    starts from the sum of the lots before it, first without drops; lots whose start has changed are replayed
-    again until none has, so a busy asset is many tasks, and an asset of one lot takes one round.
+    Only mints and burns change a supply, so only they are replayed; their narrow rows are written once. Where an asset's
+    mints less burns never go below zero, the supply after a move is their running sum. Other assets, where a dropped
+    burn makes a true recurrence, are replayed by ``supply_after``. All rows then meet the supply after the last move before
+    them in one window over their bucket.
     """
     mint, burn = is_burn(F.col("from_address")), is_burn(F.col("to_address"))
-    known = F.coalesce(F.col("amount"), F.lit(0))
-    delta = F.when(mint, known).when(burn, -known).otherwise(0)
-    above = lambda supply: ~F.col("__mint") & (F.col("amount").isNull() | (F.col("amount") > supply))
-    rows = running_sum(transfers.withColumn("__delta", delta), bucket, [seq], "__delta", "__sum")
-    rows = rows.withColumn("__mint", mint).withColumn("__burn", burn & ~mint)
-    negative = rows.groupBy("asset_uid").agg((F.min(F.col("__sum") + F.col("__delta")) < 0).alias("__replay"))
-    rows = rows.join(negative, "asset_uid")
-    plain = rows.filter("NOT __replay").withColumn("dropped", above(F.col("__sum"))).drop("__delta", "__sum", "__mint", "__burn", "__replay")
-    hard = rows.filter("__replay").drop("__sum", "__replay")
-    # buckets of an asset are put together to lots by the rows before them
-    per = hard.groupBy("asset_uid", bucket).agg(F.count("*").alias("n"), F.sum("__delta").alias("__net"))
-    before = F.coalesce(F.sum("n").over(Window.partitionBy("asset_uid").orderBy(bucket).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    per = settled(per.withColumn("__lot", F.floor(before / lot_rows)))
-    hard = hard.join(per.select("asset_uid", bucket, "__lot"), ["asset_uid", bucket])
-    starts = _lot_starts(hard.filter("__mint OR __burn"), per, seq)
-
-    def flag(part: pd.DataFrame) -> pd.DataFrame:
-        part = part.sort_values(seq)
-        dropped, _ = _replay(part)
-        return part.drop(columns=["__start", "__mint", "__burn", "__lot", "__delta"]).assign(dropped=dropped)
-
-    ready = hard.join(starts.select("asset_uid", "__lot", F.col("start").alias("__start")), ["asset_uid", "__lot"])
-    kept = [c for c in ready.columns if c not in ("__start", "__mint", "__burn", "__lot", "__delta")]
-    schema = ready.select(*kept, F.lit(True).alias("dropped")).schema
-    return plain.unionByName(ready.groupBy("asset_uid", "__lot").applyInPandas(flag, schema))
-
-
-def _replay(part: pd.DataFrame) -> tuple[list[bool], object]:
-    """Which rows are dropped, in the order given, and the supply after them."""
-    supply, dropped = part["__start"].iloc[0], []
-    for amount, mint, burn in zip(part["amount"], part["__mint"], part["__burn"], strict=True):
-        big = pd.isna(amount)
-        bad = not mint and (big or amount > supply)
-        dropped.append(bad)
-        if not bad and not big:
-            supply += amount if mint else -amount if burn else 0
-    return dropped, supply
-
-
-def _lot_starts(moves: DataFrame, per: DataFrame, seq: str) -> DataFrame:
-    """The supply at which each lot (asset_uid, __lot) of mints and burns starts, as ``start``."""
-    kind = per.schema["__net"].dataType.simpleString()
-    nets = per.groupBy("asset_uid", "__lot").agg(F.sum("__net").cast(kind).alias("net")).withColumn("start", F.lit(None).cast(kind))
-    earlier = Window.partitionBy("asset_uid").orderBy("__lot").rowsBetween(Window.unboundedPreceding, -1)
+    known = F.when(mint, F.col("amount")).when(burn, negated(F.col("amount")))
+    moves = settled(transfers.select("asset_uid", F.col(bucket).alias("bucket"), F.col(seq).alias("seq"), known.alias("delta")).filter("delta IS NOT NULL"))
+    summed = running_sum(moves, "bucket", ["seq"], "delta", "before").withColumn("after", F.col("before") + F.col("delta"))
+    negative = settled(summed.groupBy("asset_uid").agg(F.min("after").alias("least")).filter("least < 0").select("asset_uid"))
+    after = settled(
+        summed.join(negative, "asset_uid", "left_anti").select("asset_uid", "bucket", "seq", "after")
+        .unionByName(supply_after(moves.join(negative, "asset_uid", "left_semi"), lot_rows, fan, pieces))
+    )
+    # a bucket starts with what the last move of an earlier one left
+    ends = after.groupBy("asset_uid", "bucket").agg(F.max_by("after", "seq").alias("end"))
+    earlier = Window.partitionBy("asset_uid").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
+    begun = transfers.select("asset_uid", F.col(bucket).alias("bucket")).distinct().join(ends, ["asset_uid", "bucket"], "left")
+    begun = begun.select("asset_uid", "bucket", F.lit(None).cast(moves.schema["seq"].dataType).alias("seq"), F.coalesce(F.last("end", ignorenulls=True).over(earlier), F.lit(0)).alias("after"))
+    marks = begun.unionByName(after).select("asset_uid", F.col("bucket").alias(bucket), F.col("seq").alias(seq), F.col("after").alias("__after"), F.lit(True).alias("__mark"))
+    rows = transfers.withColumn("__mark", F.lit(False)).unionByName(marks, allowMissingColumns=True)
+    before = Window.partitionBy("asset_uid", bucket).orderBy(F.col(seq).asc_nulls_first(), "__mark").rowsBetween(Window.unboundedPreceding, -1)
+    supply = F.coalesce(F.last("__after", ignorenulls=True).over(before), F.lit(0))
+    out = rows.withColumn("__supply", supply).filter("NOT __mark")
+    return out.withColumn("dropped", ~mint & (F.col("amount").isNull() | (F.col("amount") > F.col("__supply")))).select(*transfers.columns, "dropped")
+
+
+def supply_after(moves: DataFrame, lot_rows: int = LOT_ROWS, fan: int = FAN, pieces: int = PIECES) -> DataFrame:
+    """The supply after each mint or burn (asset_uid, bucket, seq, delta), as ``after``; a burn above the supply changes nothing.
+
+    Buckets are put together to lots of about ``lot_rows`` moves, a task each. What a lot does to the supply it starts
+    from is a step function: on each stretch of starts the same burns are refused, so the same number is added.
+    Such functions are found for all lots at once, on the starts that mints and burns before them allow, put together ``fan`` at a time up
+    to one for each asset, and applied on the way down, so the rounds grow with the logarithm of the lots. An asset with a function of over ``pieces``
+    steps, which takes burns that refuse one another over and over, is replayed lot after lot instead (``_starts_in_turn``). An asset of one lot needs none of it.
+    """
+    before = Window.partitionBy("asset_uid").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
+    per = moves.groupBy("asset_uid", "bucket").agg(F.count("*").alias("n"), F.sum("delta").alias("net"), F.sum(F.greatest("delta", F.lit(0).cast(moves.schema["delta"].dataType))).alias("minted"))
+    per = settled(per.withColumn("lot", F.floor(F.coalesce(F.sum("n").over(before), F.lit(0)) / lot_rows)))
+    placed = moves.join(per.select("asset_uid", "bucket", "lot"), ["asset_uid", "bucket"])
+    starts = _lot_starts(placed, per, fan, pieces)
+    kind = starts.schema["start"].dataType.simpleString()
+
+    def replay(part: pd.DataFrame) -> pd.DataFrame:
+        part = part.sort_values("seq")
+        return part[["asset_uid", "bucket", "seq"]].assign(after=steps.replay(part["start"].iloc[0], part["delta"]))
+
+    schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in moves.select("asset_uid", "bucket", "seq").schema) + f", after {kind}"
+    return placed.join(starts, ["asset_uid", "lot"]).groupBy("asset_uid", "lot").applyInPandas(replay, schema)
+
+
+def _lot_starts(placed: DataFrame, per: DataFrame, fan: int, pieces: int) -> DataFrame:
+    """The supply at which each lot starts: asset_uid, lot, start."""
+    kind = per.schema["net"].dataType.simpleString()
+    earlier = Window.partitionBy("asset_uid").orderBy("lot").rowsBetween(Window.unboundedPreceding, -1)
+    zero = F.lit(0).cast(kind)
+    # a start is at least all mints less all burns before it, and at most all mints
+    sums = per.groupBy("asset_uid", "lot").agg(F.sum("net").cast(kind).alias("net"), F.sum("minted").cast(kind).alias("minted"))
+    low, high = (F.coalesce(F.sum(c).over(earlier), zero).cast(kind) for c in ("net", "minted"))
+    last = F.max("lot").over(Window.partitionBy("asset_uid"))
+    lots = settled(sums.withColumn("low", F.greatest(low, zero)).withColumn("high", high).withColumn("last", last).select("asset_uid", "lot", "net", "low", "high", "last"))
+    depth = lots.agg(F.max("last")).first()[0] or 0
+    alone = lots.filter("last = 0").select("asset_uid", "lot", zero.alias("start"))
+    if depth == 0:
+        return alone
+    shape = f"asset_uid string, lot long, high {kind}, at array<{kind}>, add array<{kind}>"
+
+    def found(part: pd.DataFrame) -> pd.DataFrame:
+        part = part.sort_values("seq")
+        at, add = steps.of_moves(part["delta"], part["low"].iloc[0], part["high"].iloc[0], pieces)
+        return pd.DataFrame({"asset_uid": part["asset_uid"].iloc[:1], "lot": part["lot"].iloc[:1], "high": part["high"].iloc[:1], "at": [at], "add": [add]})
+
+    def put_together(part: pd.DataFrame) -> pd.DataFrame:
+        part = part.sort_values("lot")
+        at, add = steps.chain(zip(part["high"], part["at"], part["add"], strict=True), pieces)
+        return pd.DataFrame({"asset_uid": part["asset_uid"].iloc[:1], "lot": part["lot"].iloc[:1] // fan, "high": part["high"].iloc[:1], "at": [at], "add": [add]})
+
+    def handed_down(part: pd.DataFrame) -> pd.DataFrame:
+        part = part.sort_values("lot")
+        return part[["asset_uid", "lot"]].assign(start=steps.starts(part["start"].iloc[0], zip(part["at"], part["add"], strict=True)))
+
+    # nothing follows the last lot of an asset, so what it does is not asked
+    asked = placed.join(lots.filter("lot < last").select("asset_uid", "lot", "low", "high"), ["asset_uid", "lot"])
+    ends = lots.filter("lot = last AND last > 0").select("asset_uid", "lot", "high", F.array("low").alias("at"), F.array(zero).alias("add"))
+    levels = [settled(asked.groupBy("asset_uid", "lot").applyInPandas(found, shape).unionByName(ends))]
+    while depth >= fan:
+        depth //= fan
+        levels.append(settled(levels[-1].groupBy("asset_uid", F.floor(F.col("lot") / fan)).applyInPandas(put_together, shape)))
+    vague = levels[0].filter("size(at) = 0").select("asset_uid")
+    for level in levels[1:]:
+        vague = vague.union(level.filter("size(at) = 0").select("asset_uid"))
+    vague = settled(vague.distinct())
+    known = levels[-1].join(vague, "asset_uid", "left_anti").withColumn("start", zero)
+    down = known.groupBy("asset_uid").applyInPandas(handed_down, f"asset_uid string, lot long, start {kind}")
+    for level in reversed(levels[:-1]):
+        above = down.withColumnRenamed("lot", "__above")
+        below = level.withColumn("__above", F.floor(F.col("lot") / fan)).join(above, ["asset_uid", "__above"])
+        down = below.groupBy("asset_uid", "__above").applyInPandas(handed_down, f"asset_uid string, lot long, start {kind}")
+    starts = alone.unionByName(down)
+    if vague.isEmpty():
+        return starts
+    return starts.unionByName(_starts_in_turn(placed.join(vague, "asset_uid", "left_semi"), lots.join(vague, "asset_uid", "left_semi")))
+
+
+def _starts_in_turn(placed: DataFrame, lots: DataFrame) -> DataFrame:
+    """The starts of lots by rounds: first as if no burn were refused, then lots whose start has changed are replayed again until none has."""
+    kind = lots.schema["net"].dataType.simpleString()
+    nets = lots.select("asset_uid", "lot", "net").withColumn("start", F.lit(None).cast(kind))
+    earlier = Window.partitionBy("asset_uid").orderBy("lot").rowsBetween(Window.unboundedPreceding, -1)
 
     def run(part: pd.DataFrame) -> pd.DataFrame:
-        part = part.sort_values(seq)
-        start = part["__start"].iloc[0]
-        return pd.DataFrame({"asset_uid": part["asset_uid"].iloc[:1], "__lot": part["__lot"].iloc[:1], "net": [_replay(part)[1] - start], "start": [start]})
+        part = part.sort_values("seq")
+        return pd.DataFrame({"asset_uid": part["asset_uid"].iloc[:1], "lot": part["lot"].iloc[:1], "net": [steps.net(part["due"].iloc[0], part["delta"])], "start": part["due"].iloc[:1]})
 
     while True:
         due = nets.withColumn("due", F.coalesce(F.sum("net").over(earlier), F.lit(0)).cast(kind))
         changed = settled(due.filter(~F.col("start").eqNullSafe(F.col("due"))))
         if changed.isEmpty():
-            return nets
-        again = moves.join(changed.select("asset_uid", "__lot", F.col("due").alias("__start")), ["asset_uid", "__lot"])
-        played = again.groupBy("asset_uid", "__lot").applyInPandas(run, f"asset_uid string, __lot long, net {kind}, start {kind}")
-        # a lot of neither mints nor burns changes nothing
-        still = changed.join(played, ["asset_uid", "__lot"], "left_anti").select("asset_uid", "__lot", F.lit(0).cast(kind).alias("net"), F.col("due").alias("start"))
-        nets = settled(due.join(changed, ["asset_uid", "__lot"], "left_anti").drop("due").unionByName(played).unionByName(still))
+            return nets.select("asset_uid", "lot", "start")
+        again = placed.join(changed.select("asset_uid", "lot", "due"), ["asset_uid", "lot"])
+        played = again.groupBy("asset_uid", "lot").applyInPandas(run, f"asset_uid string, lot long, net {kind}, start {kind}")
+        nets = settled(due.join(changed, ["asset_uid", "lot"], "left_anti").drop("due").unionByName(played))
 
 
 def dropped_counts(flagged: DataFrame, assets: DataFrame) -> DataFrame:
@@ -146,7 +209,7 @@ def dropped_counts(flagged: DataFrame, assets: DataFrame) -> DataFrame:
 
 def legs(transfers: DataFrame) -> DataFrame:
     """Two rows a transfer: the sender loses and the recipient gains the amount (asset_uid, address, delta, block_time)."""
-    two = F.explode(F.array(F.struct(F.lower("from_address").alias("address"), (-F.col("amount")).alias("delta")), F.struct(F.lower("to_address").alias("address"), F.col("amount").alias("delta"))))
+    two = F.explode(F.array(F.struct(F.lower("from_address").alias("address"), negated(F.col("amount")).alias("delta")), F.struct(F.lower("to_address").alias("address"), F.col("amount").alias("delta"))))
     return transfers.select("asset_uid", "block_time", two.alias("leg")).select("asset_uid", "leg.address", "leg.delta", "block_time")
 
 
@@ -178,7 +241,7 @@ def balances_at(transfers: DataFrame, instants: DataFrame) -> DataFrame:
 def supply_at(transfers: DataFrame, instants: DataFrame) -> DataFrame:
     """Mints less burns before each instant: asset_uid, as_of, total_supply. A transfer from zero to a burn address counts as a mint."""
     mint, burn = is_burn(F.col("from_address")), is_burn(F.col("to_address"))
-    delta = F.when(mint, F.col("amount")).when(burn, -F.col("amount")).otherwise(0)
+    delta = F.when(mint, F.col("amount")).when(burn, negated(F.col("amount"))).otherwise(0)
     moved = _next_instant(transfers.select("asset_uid", "block_time", delta.alias("delta")), instants).groupBy("asset_uid", "as_of").agg(F.sum("delta").alias("delta"))
     grid = transfers.select("asset_uid").distinct().crossJoin(F.broadcast(instants.select("as_of").distinct()))
     w = Window.partitionBy("asset_uid").orderBy("as_of").rowsBetween(Window.unboundedPreceding, 0)
@@ -209,9 +272,9 @@ def issuance_profile(transfers: DataFrame) -> DataFrame:
         F.sum(F.when(F.col("__mint"), F.col("amount"))).alias("m"), F.sum("amount").alias("r")
     )
     got = to.join(facts.select("asset_uid", "minted"), "asset_uid").withColumn("got", F.when(F.col("minted") > 0, F.coalesce("m", F.lit(0))).otherwise(F.col("r")))
-    top = got.groupBy("asset_uid").agg(F.min(F.struct((-F.col("got")).alias("x"), "recipient")).alias("t"), F.sum("got").alias("all_got"))
+    top = got.groupBy("asset_uid").agg(F.min(F.struct(negated(F.col("got")).alias("x"), "recipient")).alias("t"), F.sum("got").alias("all_got"))
     return facts.join(top, "asset_uid").select(
-        *facts.columns, F.col("t.recipient").alias("top_recipient"), F.when(F.col("all_got") > 0, -F.col("t.x") / F.col("all_got")).alias("top_share")
+        *facts.columns, F.col("t.recipient").alias("top_recipient"), F.when(F.col("all_got") > 0, negated(F.col("t.x")) / F.col("all_got")).alias("top_share")
     )
 
 
