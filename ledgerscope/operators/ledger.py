@@ -214,39 +214,78 @@ def legs(transfers: DataFrame) -> DataFrame:
 
 
 def _next_instant(rows: DataFrame, instants: DataFrame) -> DataFrame:
-    """Each row with the first instant after it; rows after the last are left out.
+    """Each row with the first instant after it as ``as_of``; rows after the last are left out.
 
     Instants with a ``month``, the ends of consecutive months, are found by the row's month. Others, a declared list, are
     one broadcast array.
     """
     if "month" in instants.columns:
-        span = instants.agg(F.min("as_of").alias("__first"), F.max("as_of").alias("__last"))
         own = F.add_months(F.trunc("block_time", "month"), 1).cast("timestamp")
-        out = rows.crossJoin(F.broadcast(span)).withColumn("as_of", F.greatest(own, F.col("__first"))).filter(F.col("as_of") <= F.col("__last"))
+        out = rows.crossJoin(F.broadcast(_span(instants))).withColumn("as_of", F.greatest(own, F.col("__first"))).filter(F.col("as_of") <= F.col("__last"))
         return out.drop("__first", "__last")
-    all_of = instants.select("as_of").distinct().agg(F.sort_array(F.collect_list("as_of")).alias("__all"))
-    out = rows.crossJoin(F.broadcast(all_of)).withColumn("as_of", F.get(F.filter("__all", lambda x: x > F.col("block_time")), F.lit(0)))
+    out = rows.crossJoin(F.broadcast(_listed(instants))).withColumn("as_of", F.get(F.filter("__all", lambda x: x > F.col("block_time")), F.lit(0)))
     return out.drop("__all").filter("as_of IS NOT NULL")
 
 
+def _span(instants: DataFrame) -> DataFrame:
+    return instants.agg(F.min("as_of").alias("__first"), F.max("as_of").alias("__last"))
+
+
+def _listed(instants: DataFrame) -> DataFrame:
+    return instants.select("as_of").distinct().agg(F.sort_array(F.collect_list("as_of")).alias("__all"))
+
+
+def _intervals(moved: DataFrame, keys: list[str], out: str) -> DataFrame:
+    """Sums of ``delta`` up to each ``as_of`` as ``out``, which hold from it up to ``until``, the next one with a change (null: for good)."""
+    w = Window.partitionBy(*keys).orderBy("as_of")
+    summed = moved.groupBy(*keys, "as_of").agg(F.sum("delta").alias("delta"))
+    return summed.select(*keys, "as_of", F.sum("delta").over(w.rowsBetween(Window.unboundedPreceding, 0)).alias(out), F.lead("as_of").over(w).alias("until"))
+
+
+def _expanded(held: DataFrame, instants: DataFrame) -> DataFrame:
+    """A row for each instant of an interval: from ``as_of`` on, before ``until``."""
+    if "month" in instants.columns:
+        end = F.coalesce(F.add_months("until", -1).cast("timestamp"), F.col("__last"))
+        at = held.crossJoin(F.broadcast(_span(instants))).withColumn("as_of", F.explode(F.sequence("as_of", end, F.expr("interval 1 month"))))
+        return at.drop("until", "__first", "__last")
+    inside = F.filter("__all", lambda x: (x >= F.col("as_of")) & (F.col("until").isNull() | (x < F.col("until"))))
+    return held.crossJoin(F.broadcast(_listed(instants))).withColumn("as_of", F.explode(inside)).drop("until", "__all")
+
+
+def balance_intervals(transfers: DataFrame, instants: DataFrame) -> DataFrame:
+    """Positive balances, burn addresses left out, as intervals: asset_uid, address, balance, as_of, until.
+
+    A balance holds at ``as_of``, just before which it was reached, and at every later instant before ``until`` (null: to
+    the last). An address has a row for each instant by which it has changed, so a holder who never moves is one row,
+    whatever the number of instants. Changes are added up by instant before they meet, so no window holds more rows than there are instants.
+    """
+    held = _intervals(_next_instant(legs(transfers), instants), ["asset_uid", "address"], "balance")
+    return held.filter((F.col("balance") > 0) & ~is_burn(F.col("address")))
+
+
 def balances_at(transfers: DataFrame, instants: DataFrame) -> DataFrame:
-    """Positive balances just before each instant, burn addresses left out: asset_uid, as_of, address, balance."""
-    moved = _next_instant(legs(transfers), instants).groupBy("asset_uid", "address", "as_of").agg(F.sum("delta").alias("delta"))
-    grid = moved.select("asset_uid", "address").distinct().crossJoin(F.broadcast(instants.select("as_of").distinct()))
-    w = Window.partitionBy("asset_uid", "address").orderBy("as_of").rowsBetween(Window.unboundedPreceding, 0)
-    held = grid.join(moved, ["asset_uid", "address", "as_of"], "left").withColumn("balance", F.sum("delta").over(w))
-    return held.filter((F.col("balance") > 0) & ~is_burn(F.col("address"))).select("asset_uid", "as_of", "address", "balance")
+    """Positive balances just before each instant, burn addresses left out: asset_uid, as_of, address, balance. Intervals are expanded where a balance exists, and only there."""
+    return _expanded(balance_intervals(transfers, instants), instants).select("asset_uid", "as_of", "address", "balance")
+
+
+def balances_at_head(transfers: DataFrame, head: int | None = None, block: str = "block") -> DataFrame:
+    """Positive balances after all transfers up to and including block ``head`` (None: the newest), without instants.
+
+    asset_uid, as_of, address, balance; burn addresses are left out. ``as_of`` is the time of the newest block read, of any asset: the moment the balances describe.
+    """
+    read = transfers if head is None else transfers.filter(F.col(block) <= head)
+    held = legs(read).groupBy("asset_uid", "address").agg(F.sum("delta").alias("balance")).filter((F.col("balance") > 0) & ~is_burn(F.col("address")))
+    return held.crossJoin(F.broadcast(read.agg(F.max_by("block_time", block).alias("as_of")))).select("asset_uid", "as_of", "address", "balance")
 
 
 def supply_at(transfers: DataFrame, instants: DataFrame) -> DataFrame:
     """Mints less burns before each instant: asset_uid, as_of, total_supply. A transfer from zero to a burn address counts as a mint."""
     mint, burn = is_burn(F.col("from_address")), is_burn(F.col("to_address"))
     delta = F.when(mint, F.col("amount")).when(burn, negated(F.col("amount"))).otherwise(0)
-    moved = _next_instant(transfers.select("asset_uid", "block_time", delta.alias("delta")), instants).groupBy("asset_uid", "as_of").agg(F.sum("delta").alias("delta"))
-    grid = transfers.select("asset_uid").distinct().crossJoin(F.broadcast(instants.select("as_of").distinct()))
-    w = Window.partitionBy("asset_uid").orderBy("as_of").rowsBetween(Window.unboundedPreceding, 0)
-    out = grid.join(moved, ["asset_uid", "as_of"], "left")
-    return out.select("asset_uid", "as_of", F.coalesce(F.sum("delta").over(w), F.lit(0)).alias("total_supply"))
+    begun = transfers.select("asset_uid").distinct().crossJoin(F.broadcast(instants.agg(F.min("as_of").alias("as_of")))).withColumn("delta", F.lit(0)).filter("as_of IS NOT NULL")
+    moved = _next_instant(transfers.select("asset_uid", "block_time", delta.alias("delta")), instants).select("asset_uid", "as_of", "delta")
+    out = _expanded(_intervals(moved.unionByName(begun), ["asset_uid"], "total_supply"), instants)
+    return out.select("asset_uid", "as_of", F.coalesce("total_supply", F.lit(0)).alias("total_supply"))
 
 
 def reconcile_ledger(transfers: DataFrame, reported: DataFrame) -> DataFrame:

@@ -303,6 +303,24 @@ def ls50_balances(spark, sf):
     return _held(spark, sf).select("asset_uid", "window_id", "address", "balance")
 
 
+@query(f"""SELECT asset_uid, address, sum(delta) AS balance, (SELECT strftime(max(block_time), '%Y-%m-%d') FROM t WHERE l_orderkey = (SELECT max(l_orderkey) FROM t)) AS as_of
+FROM leg WHERE address NOT IN ('{ZERO}', '{fx.DEAD}') GROUP BY ALL HAVING sum(delta) > 0""")
+def ls50_balances_head(spark, sf):
+    """After the newest block, without instants. A block of the tables has several times; its latest is taken."""
+    t = fx.transfers(spark, sf).withColumn("block", F.struct(F.substring("tx_hash", 3, 20).cast("long"), "block_time"))
+    return ledger.balances_at_head(t).select("asset_uid", "address", "balance", F.date_format("as_of", "yyyy-MM-dd").alias("as_of"))
+
+
+@query(f"""SELECT asset_uid, address, balance, strftime("end", '%Y-%m') AS since, strftime(until, '%Y-%m') AS until FROM (
+SELECT *, lead("end") OVER (PARTITION BY asset_uid, address ORDER BY "end") AS until FROM (
+SELECT asset_uid, address, "end", sum(d) OVER (PARTITION BY asset_uid, address ORDER BY "end") AS balance FROM (
+SELECT asset_uid, address, w."end", sum(delta) AS d FROM leg JOIN w ON block_time >= start AND block_time < w."end" GROUP BY ALL)))
+WHERE balance > 0 AND address NOT IN ('{ZERO}', '{fx.DEAD}')""")
+def ls50_balance_intervals(spark, sf):
+    held = ledger.balance_intervals(fx.transfers(spark, sf), fx.month_list(spark, sf).select(F.col("end").alias("as_of"), "month"))
+    return held.select("asset_uid", "address", "balance", F.date_format("as_of", "yyyy-MM").alias("since"), F.date_format("until", "yyyy-MM").alias("until"))
+
+
 _SUPPLY = """(SELECT u.asset_uid, u.window_id, coalesce(sum(CASE WHEN lower(from_address) IN ('{z}', '{d}') THEN amount WHEN lower(to_address) IN ('{z}', '{d}') THEN -amount END), 0) AS total_supply
 FROM u LEFT JOIN t ON t.asset_uid = u.asset_uid AND block_time < u."end" GROUP BY ALL)""".format(z=ZERO, d=fx.DEAD)
 

@@ -210,3 +210,35 @@ def test_issuance_caveat(spark):
     unseen = _ledger(spark, [("x", "a", 3), ("x", "b", 1)])
     caveat = lambda t: ledger.issuance_caveat(ledger.issuance_profile(t)).collect()[0].caveat
     assert caveat(seen) is None and "75.0%" in caveat(unseen) and "upper bounds" in caveat(unseen)
+
+
+def test_balances_are_intervals_and_equal_a_replay(spark):
+    import random
+
+    rng = random.Random(9)
+    moves = [(rng.choice([ZERO, "a", "b", "c"]), rng.choice([DEAD, "a", "b", "C"]), rng.randint(1, 30)) for _ in range(26)]
+    t = _ledger(spark, moves)
+    for days in ([3, 4, 11, 27], [1], [28]):
+        instants = spark.createDataFrame([(at(d),) for d in days], "as_of timestamp")
+        want = {}
+        for d in days:
+            held = {}
+            for k, (f, to, x) in enumerate(moves):
+                if 1 + k < d:
+                    held[f.lower()] = held.get(f.lower(), 0) - x
+                    held[to.lower()] = held.get(to.lower(), 0) + x
+            want |= {(d, who): x for who, x in held.items() if x > 0 and who not in (ZERO, DEAD)}
+        assert {(r.as_of.day, r.address): r.balance for r in ledger.balances_at(t, instants).collect()} == want
+    still = _ledger(spark, [(ZERO, "a", 5), (ZERO, "b", 2), ("b", "c", 2)])
+    months = windows.months(spark, "2026-06", "2030-12").select(F.col("end").alias("as_of"), "month")
+    assert ledger.balance_intervals(still, months).count() == 2 and ledger.balances_at(still, months).count() == 2 * 55
+    plan = ledger.balances_at(still, months)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("Join Cross") + plan.count("Join Inner") == 2  # the list's first and last, twice; no addresses by instants
+    assert {r.as_of.month: r.total_supply for r in ledger.supply_at(still, months.limit(3)).collect()} == {7: 7, 8: 7, 9: 7}
+    assert ledger.balances_at(still, months.limit(0)).count() == 0 and ledger.supply_at(still, months.limit(0)).count() == 0
+
+
+def test_balances_at_the_head_need_no_instants(spark):
+    t = _ledger(spark, [(ZERO, "a", 500), ("a", "b", 150), ("b", ZERO, 50), ("x", "b", 1)])
+    got = lambda *a: {(r.address, r.balance, r.as_of.day) for r in ledger.balances_at_head(t, *a, block="seq").collect()}
+    assert got(1) == {("a", 350, 2), ("b", 150, 2)} and got() == {("a", 350, 4), ("b", 101, 4)} and got(-1) == set()
