@@ -6,6 +6,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Observation, Window
 from pyspark.sql import functions as F
 
+from ledgerscope.functions import wide
 from ledgerscope.functions.classify import is_burn
 from ledgerscope.functions.keys import hex_to_decimal, hex_to_long, negated, topic_address
 from ledgerscope.operators import steps
@@ -21,10 +22,11 @@ def scan_logs(raw: DataFrame, head: int | None = None, step: int = 10_000) -> Da
     return raw.filter((F.get("topics", F.lit(0)) == TRANSFER_TOPIC) & (block.isNotNull() if head is None else block <= head)).withColumn("block_window", block - F.pmod(block, F.lit(step)))
 
 
-def decode_logs(raw: DataFrame, blocks: DataFrame | None = None, skipped: Observation | None = None, unresolved: Observation | None = None) -> DataFrame:
+def decode_logs(raw: DataFrame, blocks: DataFrame | None = None, skipped: Observation | None = None, unresolved: Observation | None = None, whole_words: bool = False) -> DataFrame:
     """Logs of three topics as transfers (asset_uid, block, log_index, tx_hash, from_address, to_address, raw, overflow, block_time).
 
     ``raw`` is exact up to 2^126, else null with ``overflow`` set (``drop_implausible`` takes a null amount as above any supply). A missing or zero timestamp is looked up in ``blocks``.
+    With ``whole_words`` it is a number of 256 bits (see ``wide``) instead, which balances, supplies and ``reconcile_ledger`` add up exactly; ``overflow`` is then a word that is none.
     Logs without three topics, a block or a log index are skipped. ``skipped`` observes their number (``skipped_logs``), ``unresolved`` that of transfers whose time is
     not found (``unresolved_times``), in the pass that reads the logs; both are known once an action on the result has ended.
     """
@@ -35,7 +37,7 @@ def decode_logs(raw: DataFrame, blocks: DataFrame | None = None, skipped: Observ
     out = read.filter("__whole").select(
         "asset_uid", hex_to_long(F.col("blockNumber")).alias("block"), hex_to_long(F.col("logIndex")).alias("log_index"), F.col("transactionHash").alias("tx_hash"),
         topic_address(F.get("topics", F.lit(1))).alias("from_address"), topic_address(F.get("topics", F.lit(2))).alias("to_address"),
-        hex_to_decimal(F.col("data")).alias("raw"), hex_to_long(F.col("blockTimestamp")).alias("__s"),
+        (wide.from_hex if whole_words else hex_to_decimal)(F.col("data")).alias("raw"), hex_to_long(F.col("blockTimestamp")).alias("__s"),
     )
     out = out.withColumn("overflow", F.col("raw").isNull()).withColumn("block_time", F.when(F.col("__s") > 0, F.timestamp_seconds("__s"))).drop("__s")
     out = block_times(out, blocks) if blocks is not None else out
@@ -47,9 +49,9 @@ def block_times(transfers: DataFrame, blocks: DataFrame) -> DataFrame:
     return transfers.join(b, "block", "left").withColumn("block_time", F.coalesce("block_time", "__at")).drop("__at")
 
 
-def human(raw: str, decimals: str) -> F.Column:
-    """A raw amount in the token's units, as a double, after all exact steps."""
-    return F.col(raw).cast("double") / F.pow(F.lit(10.0), F.col(decimals))
+def human(raw: str, decimals: str, whole_words: bool = False) -> F.Column:
+    """A raw amount, or one of 256 bits, in the token's units, as a double, after all exact steps."""
+    return (wide.to_double(F.col(raw)) if whole_words else F.col(raw).cast("double")) / F.pow(F.lit(10.0), F.col(decimals))
 
 
 def running_sum(rows: DataFrame, bucket: str, order: list[str], value: str, out: str) -> DataFrame:
@@ -208,8 +210,8 @@ def dropped_counts(flagged: DataFrame, assets: DataFrame) -> DataFrame:
 
 
 def legs(transfers: DataFrame) -> DataFrame:
-    """Two rows a transfer: the sender loses and the recipient gains the amount (asset_uid, address, delta, block_time)."""
-    two = F.explode(F.array(F.struct(F.lower("from_address").alias("address"), negated(F.col("amount")).alias("delta")), F.struct(F.lower("to_address").alias("address"), F.col("amount").alias("delta"))))
+    """Two rows a transfer: the sender loses and the recipient gains the amount (asset_uid, address, delta, block_time). The amount is a number, or one of 256 bits."""
+    two = F.explode(F.array(F.struct(F.lower("from_address").alias("address"), wide.minus(transfers, "amount").alias("delta")), F.struct(F.lower("to_address").alias("address"), F.col("amount").alias("delta"))))
     return transfers.select("asset_uid", "block_time", two.alias("leg")).select("asset_uid", "leg.address", "leg.delta", "block_time")
 
 
@@ -238,8 +240,8 @@ def _listed(instants: DataFrame) -> DataFrame:
 def _intervals(moved: DataFrame, keys: list[str], out: str) -> DataFrame:
     """Sums of ``delta`` up to each ``as_of`` as ``out``, which hold from it up to ``until``, the next one with a change (null: for good)."""
     w = Window.partitionBy(*keys).orderBy("as_of")
-    summed = moved.groupBy(*keys, "as_of").agg(F.sum("delta").alias("delta"))
-    return summed.select(*keys, "as_of", F.sum("delta").over(w.rowsBetween(Window.unboundedPreceding, 0)).alias(out), F.lead("as_of").over(w).alias("until"))
+    summed = moved.groupBy(*keys, "as_of").agg(wide.total(moved, "delta").alias("delta"))
+    return summed.select(*keys, "as_of", wide.total(summed, "delta", w.rowsBetween(Window.unboundedPreceding, 0)).alias(out), F.lead("as_of").over(w).alias("until"))
 
 
 def _expanded(held: DataFrame, instants: DataFrame) -> DataFrame:
@@ -260,7 +262,11 @@ def balance_intervals(transfers: DataFrame, instants: DataFrame) -> DataFrame:
     whatever the number of instants. Changes are added up by instant before they meet, so no window holds more rows than there are instants.
     """
     held = _intervals(_next_instant(legs(transfers), instants), ["asset_uid", "address"], "balance")
-    return held.filter((F.col("balance") > 0) & ~is_burn(F.col("address")))
+    return _positive(held)
+
+
+def _positive(held: DataFrame) -> DataFrame:
+    return held.filter((F.col("balance") > wide.nothing(held, "balance")) & ~is_burn(F.col("address")))
 
 
 def balances_at(transfers: DataFrame, instants: DataFrame) -> DataFrame:
@@ -274,24 +280,29 @@ def balances_at_head(transfers: DataFrame, head: int | None = None, block: str =
     asset_uid, as_of, address, balance; burn addresses are left out. ``as_of`` is the time of the newest block read, of any asset: the moment the balances describe.
     """
     read = transfers if head is None else transfers.filter(F.col(block) <= head)
-    held = legs(read).groupBy("asset_uid", "address").agg(F.sum("delta").alias("balance")).filter((F.col("balance") > 0) & ~is_burn(F.col("address")))
+    moved = legs(read)
+    held = _positive(moved.groupBy("asset_uid", "address").agg(wide.total(moved, "delta").alias("balance")))
     return held.crossJoin(F.broadcast(read.agg(F.max_by("block_time", block).alias("as_of")))).select("asset_uid", "as_of", "address", "balance")
 
 
 def supply_at(transfers: DataFrame, instants: DataFrame) -> DataFrame:
     """Mints less burns before each instant: asset_uid, as_of, total_supply. A transfer from zero to a burn address counts as a mint."""
     mint, burn = is_burn(F.col("from_address")), is_burn(F.col("to_address"))
-    delta = F.when(mint, F.col("amount")).when(burn, negated(F.col("amount"))).otherwise(0)
-    begun = transfers.select("asset_uid").distinct().crossJoin(F.broadcast(instants.agg(F.min("as_of").alias("as_of")))).withColumn("delta", F.lit(0)).filter("as_of IS NOT NULL")
+    none = wide.nothing(transfers, "amount")
+    delta = F.when(mint, F.col("amount")).when(burn, wide.minus(transfers, "amount")).otherwise(none)
+    begun = transfers.select("asset_uid").distinct().crossJoin(F.broadcast(instants.agg(F.min("as_of").alias("as_of")))).withColumn("delta", none).filter("as_of IS NOT NULL")
     moved = _next_instant(transfers.select("asset_uid", "block_time", delta.alias("delta")), instants).select("asset_uid", "as_of", "delta")
     out = _expanded(_intervals(moved.unionByName(begun), ["asset_uid"], "total_supply"), instants)
-    return out.select("asset_uid", "as_of", F.coalesce("total_supply", F.lit(0)).alias("total_supply"))
+    return out.select("asset_uid", "as_of", F.coalesce("total_supply", none).alias("total_supply"))
 
 
 def reconcile_ledger(transfers: DataFrame, reported: DataFrame) -> DataFrame:
-    """Per asset: true if positive balances sum to the reported supply and none is negative, false if not, null if no supply is reported and none is negative."""
-    held = legs(transfers).filter(~is_burn(F.col("address"))).groupBy("asset_uid", "address").agg(F.sum("delta").alias("b"))
-    sums = held.groupBy("asset_uid").agg(F.sum(F.when(F.col("b") > 0, F.col("b")).otherwise(0)).alias("held"), F.count_if(F.col("b") < 0).alias("negative"))
+    """Per asset: true if positive balances sum to the reported supply and none is negative, false if not, null if no supply is reported and none is negative. Amounts and supplies are numbers, or both of 256 bits and carried."""
+    moved, none = legs(transfers), wide.nothing(transfers, "amount")
+    held = moved.filter(~is_burn(F.col("address"))).groupBy("asset_uid", "address").agg(wide.total(moved, "delta").alias("b"))
+    sums = held.groupBy("asset_uid").agg(
+        F.coalesce(wide.total(held, "b", where=F.col("b") > none), none).alias("held"), F.count_if(F.col("b") < none).alias("negative")
+    )
     out = sums.join(reported.select("asset_uid", "total_supply"), "asset_uid", "left")
     return out.select(
         "asset_uid", "held", "negative", "total_supply",

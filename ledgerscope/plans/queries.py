@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ledgerscope.functions import classify as cl
-from ledgerscope.functions import keys
+from ledgerscope.functions import keys, wide
 from ledgerscope.operators import asof, ledger, measures, panel, reconcile, report, status, validate, windows
 from ledgerscope.plans import fixtures as fx
 from ledgerscope.schemas import TRANSFERS, ZERO
@@ -267,6 +267,16 @@ def ls45_log_decode(spark, sf):
     return d.groupBy("asset_uid", "from_address").agg(F.count("*").alias("n"), F.sum("raw").cast("double").alias("amount"), F.date_format(F.max("block_time"), "yyyy-MM-dd").alias("latest"))
 
 
+@query("""SELECT asset_uid, lower(from_address) AS from_address, '0x' || lower(to_hex(CAST(sum(amount) AS BIGINT))) || repeat('0', 40) AS whole, CAST(sum(amount) AS DOUBLE) AS amount
+FROM t WHERE (l_orderkey * 8 + l_linenumber) % 7 <> 0 GROUP BY ALL""")
+def ls45_wide_amounts(spark, sf):
+    """Amounts of 256 bits, each the ledger's own times 2^160, added up exactly."""
+    logs = fx.raw_logs(spark, sf).withColumn("data", F.concat(F.lit("0x"), F.right("data", F.lit(24)), F.lit("0" * 40)))
+    d = ledger.decode_logs(logs, whole_words=True)
+    sums = d.groupBy("asset_uid", "from_address").agg(wide.total(d, "raw").alias("raw"))
+    return sums.select("asset_uid", "from_address", wide.to_hex(F.col("raw")).alias("whole"), (wide.to_double(F.col("raw")) / F.lit(2.0**160)).alias("amount"))
+
+
 #: The ledger replayed row by row: the supply after each row and whether it is dropped.
 _REPLAYED = """(WITH RECURSIVE o AS MATERIALIZED (SELECT asset_uid, CAST(seq AS BIGINT) AS seq, amount, fb, tb FROM k), r AS (SELECT asset_uid, CAST(0 AS BIGINT) AS seq, CAST(0 AS DOUBLE) AS supply, false AS dropped FROM o WHERE seq = 1
 UNION ALL SELECT o.asset_uid, o.seq, CASE WHEN o.fb THEN supply + o.amount WHEN o.amount > supply OR NOT o.tb THEN supply ELSE supply - o.amount END, NOT o.fb AND o.amount > supply FROM r JOIN o ON o.asset_uid = r.asset_uid AND o.seq = r.seq + 1)
