@@ -34,8 +34,6 @@ END, START = np.uint64(0x1D8E4E27C47D124F), np.uint64(0x93B1F0E5A2C4D687)
 _BLOCK = 12 << 20
 #: Customers to a range of pairs and types to a range of words, about; how many rows of one range are added up at once.
 RANGE_TOKENS, RANGE_WORDS, FAN_IN = 3 << 19, 1 << 19, 1024
-#: Gibbs steps for a dish in a sweep: each customer of up to so many, else so many drawn at random.
-STEPS = 16
 _A, _B = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)
 
 
@@ -259,53 +257,112 @@ def gibbs(
 ) -> tuple[np.ndarray, np.ndarray]:
     """One sweep over dishes of c customers at t tables of the given sizes (dish by dish): the new t and sizes.
 
-    A step takes out a customer at random and seats it again: at a table of n others by n - d, at a new one by
+    A step takes out a customer and seats it again: at a table of n others by n - d, at a new one by
     (theta + d * tables of the restaurant) * parent, where the restaurant's tables are ``others``, those of its other
-    dishes, and the dish's own as they now are.
+    dishes, and the dish's own as they now are. Every customer of every dish steps once. A table is drawn as that of
+    another customer, by n, and taken by (n - d) / n, so a step costs the same whatever the dish. Dishes step side by
+    side while there are many, and each alone beyond that.
     """
-    t, sizes = t.copy(), sizes.copy()
-    steps = np.where(c > 1, np.minimum(c, STEPS), 0)
-    width = np.minimum(t + steps, c)
-    begin = np.cumsum(t) - t
     kept: list[tuple[np.ndarray, np.ndarray]] = []  # dish and size of every table
-    rank = np.where(steps > 0, _width_class(width), 0)
-    idle = rank == 0
+    order = np.argsort(-c, kind="stable")
+    many, alone, idle = (order[x:y] for x, y in _cuts(c[order]))
+    t, begin = t.copy(), np.cumsum(t) - t
     of = np.repeat(np.arange(len(t)), t)
-    kept.append((of[idle[of]], sizes[idle[of]]))
-    for k in np.unique(rank[~idle]):
-        members = np.flatnonzero(rank == k)
-        members = members[np.argsort(-steps[members], kind="stable")]
-        for lo in range(0, len(members), max(1, (1 << 20) >> k)):
-            m = members[lo : lo + max(1, (1 << 20) >> k)]
-            s = np.zeros((len(m), int(width[m].max())), np.int64)
-            row = np.repeat(np.arange(len(m)), t[m])
-            col = np.arange(len(row)) - np.repeat(np.cumsum(t[m]) - t[m], t[m])
-            s[row, col] = sizes[np.repeat(begin[m], t[m]) + col]
-            for step in range(int(steps[m[0]])):
-                n = int(np.searchsorted(-steps[m], -step, "left"))
-                x, at = s[:n], np.arange(n)
-                out = (np.cumsum(x, axis=1) <= (rng.random(n) * c[m[:n]])[:, None]).sum(axis=1)
-                x[at, np.minimum(out, x.shape[1] - 1)] -= 1
-                taken = x > 0
-                tables = taken.sum(axis=1)
-                mass = np.where(taken, x - d, 0.0)
-                old = mass.sum(axis=1)
-                new = (theta + d * (others[m[:n]] + tables)) * parent[m[:n]]
-                draw = rng.random(n) * (old + new)
-                to = (np.cumsum(mass, axis=1) <= draw[:, None]).sum(axis=1)
-                last = x.shape[1] - 1 - np.argmax(taken[:, ::-1], axis=1)  # where rounding goes past the last table
-                free = np.argmin(taken, axis=1)
-                x[at, np.where((draw >= old) & (tables < x.shape[1]), free, np.minimum(to, last))] += 1
-            t[m] = (s > 0).sum(axis=1)
-            row, col = np.nonzero(s)
-            kept.append((m[row], s[row, col]))
+    still = np.zeros(len(t), bool)
+    still[idle] = True
+    kept.append((of[still[of]], sizes[still[of]]))
+    for m in alone:
+        s = _reseat(sizes[begin[m] : begin[m] + t[m]], float(others[m]), float(parent[m]), theta, d, rng)
+        t[m] = len(s)
+        kept.append((np.full(len(s), m), s))
+    if len(many):
+        n, tables, left = c[many], t[many], others[many]
+        first = np.cumsum(n) - n  # a dish has as many places for tables as customers
+        row = np.repeat(np.arange(len(many)), tables)
+        col = np.arange(len(row)) - np.repeat(np.cumsum(tables) - tables, tables)
+        size = np.zeros(int(n.sum()), np.int32)
+        size[first[row] + col] = sizes[begin[many][row] + col]
+        at = np.repeat((first[row] + col).astype(np.int32), size[first[row] + col])  # each customer's table; who is who is drawn, as the order of steps must not follow the tables
+        at = at[np.argsort(np.repeat(np.arange(len(many)), n) + rng.random(len(at)))]
+        free = np.arange(len(size), dtype=np.int32)  # a dish's places from its tables-th on are free
+        for step in range(int(n[0])):
+            k = int(np.searchsorted(-n, -step, "left"))
+            x, own, f = n[:k], first[:k] + step, first[:k]
+            out = at[own]
+            size[out] -= 1
+            gone = np.flatnonzero(size[out] == 0)
+            tables[gone] -= 1
+            free[f[gone] + tables[gone]] = out[gone]
+            new = (theta + d * (left[:k] + tables[:k])) * parent[many[:k]]
+            opens = rng.random(k) * (x - 1 - d * tables[:k] + new) < new
+            opened = np.flatnonzero(opens)
+            to = free[f[opened] + tables[opened]]
+            tables[opened] += 1
+            size[to] = 1
+            at[own[opened]] = to
+            wait = np.flatnonzero(~opens)
+            while len(wait):
+                other = (rng.random(len(wait)) * (x[wait] - 1)).astype(np.int64)
+                to = at[f[wait] + other + (other >= step)]
+                taken = rng.random(len(wait)) * size[to] < size[to] - d
+                seated = wait[taken]
+                size[to[taken]] += 1
+                at[own[seated]] = to[taken]
+                wait = wait[~taken]
+        t[many] = tables
+        used = np.flatnonzero(size)
+        kept.append((many[np.searchsorted(first, used, "right") - 1], size[used]))
     of = np.concatenate([x for x, _ in kept])
     order = np.argsort(of, kind="stable")
-    return t, np.concatenate([x for _, x in kept])[order]
-
-
-def _width_class(n: np.ndarray) -> np.ndarray:
-    return np.ceil(np.log2(np.maximum(n, 2))).astype(np.int64)
+    return t, np.concatenate([x for _, x in kept])[order].astype(np.int64)
+
+
+#: A step of dishes side by side costs as much as this many customers of a dish that steps alone, about.
+SIDE_BY_SIDE = 32
+
+
+def _cuts(c: np.ndarray) -> tuple[tuple[int, int], ...]:
+    """Of dishes by customers, descending: those that step side by side, those that step alone (the cheapest number of them), and those of one customer."""
+    idle = int(np.searchsorted(-c, -1, "left"))
+    alone = int(np.argmin(np.cumsum(np.append(0, c[:idle])) + SIDE_BY_SIDE * np.append(c[:idle], 0)))
+    return (alone, idle), (0, alone), (idle, len(c))
+
+
+def _reseat(sizes: np.ndarray, others: float, parent: float, theta: float, d: float, rng: np.random.Generator) -> np.ndarray:
+    """A sweep over one dish, customer by customer."""
+    at = np.repeat(np.arange(len(sizes), dtype=np.int32), sizes)
+    rng.shuffle(at)  # who is who: the order of steps must not follow the tables
+    c, size, free, seat = len(at), sizes.tolist(), [], memoryview(at)
+    tables = len(size)
+    for lo in range(0, c, 1 << 16):
+        hi = min(c, lo + (1 << 16))
+        draws = rng.random((3, hi - lo)).tolist()
+        for j, u, v, w in zip(range(lo, hi), *draws, strict=True):
+            k = seat[j]
+            size[k] -= 1
+            if not size[k]:
+                tables -= 1
+                free.append(k)
+            new = (theta + d * (others + tables)) * parent
+            if u * (c - 1 - d * tables + new) < new:
+                tables += 1
+                if free:
+                    k = free.pop()
+                    size[k] = 1
+                else:
+                    k = len(size)
+                    size.append(1)
+            else:
+                while True:
+                    other = int(v * (c - 1))
+                    k = seat[other + (other >= j)]
+                    if w * size[k] < size[k] - d:
+                        break
+                    v, w = rng.random(2).tolist()
+                size[k] += 1
+            seat[j] = k
+    out = np.array(size, np.int64)
+    return out[out > 0]
 
 
 def _vocabulary(blocks: DataFrame, m: Model, lots: int) -> tuple[DataFrame, DataFrame, int]:

@@ -53,6 +53,27 @@ def test_gibbs_steps_follow_the_posterior(c, others, parent):
     assert np.mean(seen) == pytest.approx(expected_tables(c, others, parent, theta, d), rel=0.02)
 
 
+@pytest.mark.parametrize("dishes", [1, 400])
+def test_every_customer_of_a_large_dish_steps(dishes):
+    rng = np.random.default_rng(4)
+    c = np.full(dishes, 300)
+    # nobody opens a table, so all who sit alone and step leave theirs: at most every second one is left
+    t, sizes = lm_score.gibbs(c, c, np.ones(300 * dishes, int), np.zeros(dishes), np.zeros(dishes), 1.0, 0.5, rng)
+    assert (t <= 150).all() and (np.bincount(np.repeat(np.arange(dishes), t), sizes) == c).all()
+
+
+@pytest.mark.parametrize(("n", "c"), [(1, 90), (400, 90)])
+def test_large_dishes_follow_the_posterior_alone_and_side_by_side(n, c):
+    rng, d, theta, others, parent = np.random.default_rng(5), 0.6, 1.0, 10, 0.2
+    counts = np.full(n, c)
+    t = lm_score.first_tables(counts, np.full(n, 0.5), d, rng)
+    sizes, seen = lm_score.first_sizes(counts, t, d, rng), []
+    for _ in range(3000 if n == 1 else 200):
+        t, sizes = lm_score.gibbs(counts, t, sizes, np.full(n, others), np.full(n, parent), theta, d, rng)
+        seen.append(t.mean())
+    assert np.mean(seen[100:]) == pytest.approx(expected_tables(c, others, parent, theta, d), rel=0.03)
+
+
 def test_first_seats_are_bounded_and_follow_the_mass():
     rng = np.random.default_rng(2)
     c = np.array([1, 2, 40, 5000] * 200)
