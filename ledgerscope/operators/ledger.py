@@ -64,7 +64,7 @@ def running_sum(rows: DataFrame, bucket: str, order: list[str], value: str, out:
 
 
 #: Mints and burns of an asset that one task replays, about.
-LOT_ROWS = 500_000
+LOT_ROWS = 100_000
 
 #: Lots that one task puts together to the next level.
 FAN = 64

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from ledgerscope.functions.classify import classify
 from ledgerscope.operators import ledger, windows
 from ledgerscope.schemas import DEAD, ZERO
+from ledgerscope.shared import settled
 
 ORDER = ["l_shipdate", "l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_quantity", "l_extendedprice", "l_discount", "l_tax", "l_returnflag", "l_linestatus"]
 
@@ -25,8 +26,11 @@ def uid(number: Column) -> Column:
 
 
 def transfers(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """lineitem and orders as a ledger of 25 assets, ordered within an asset by ``seq``: the month, and the place in it."""
-    li = table(spark, sf_dir, "lineitem").join(table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey"), F.col("l_orderkey") == F.col("o_orderkey"))
+    """lineitem and orders as a ledger of 25 assets, ordered within an asset by ``seq``: the month, and the place in it.
+
+    Both tables are facts, so neither is broadcast, however small: the join is the same at every size.
+    """
+    li = table(spark, sf_dir, "lineitem").join(table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey").hint("merge"), F.col("l_orderkey") == F.col("o_orderkey"))
     open_, flag = F.col("l_linestatus") == "O", F.col("l_returnflag")
     sender = F.when(open_ & flag.isin("A", "N"), ZERO).otherwise(address(F.when(F.col("l_linenumber") % 2 == 0, "A").otherwise("a"), F.col("l_suppkey") % 40))
     to = F.when(open_ & (flag == "R"), DEAD).when(open_ & (flag == "N") & (F.col("l_linenumber") == 7), DEAD).otherwise(address(F.lit("a"), F.col("o_custkey") % 40))
@@ -39,6 +43,11 @@ def transfers(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def kept_transfers(spark: SparkSession, sf_dir: str, *more: str) -> DataFrame:
+    """The transfers for queries that use them several times, joined (and with ``seq`` ordered) once: their columns for measures, and ``more``."""
+    return settled(transfers(spark, sf_dir).select("asset_uid", "source", "block_time", "from_address", "to_address", "amount", "amount_usd", *more))
+
+
 def lists(spark: SparkSession) -> tuple[DataFrame, DataFrame]:
     """Issuer and excluded addresses by asset."""
     assets = spark.range(25)
@@ -50,8 +59,8 @@ def lists(spark: SparkSession) -> tuple[DataFrame, DataFrame]:
     return issuers, excluded
 
 
-def classified(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return classify(transfers(spark, sf_dir), lists(spark)[0])
+def classified(spark: SparkSession, sf_dir: str, t: DataFrame | None = None) -> DataFrame:
+    return classify(transfers(spark, sf_dir) if t is None else t, lists(spark)[0])
 
 
 def snapshots(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -73,9 +82,9 @@ def month_list(spark: SparkSession, sf_dir: str) -> DataFrame:
     return windows.months(spark, f"{days[0]:%Y-%m}", f"{days[1]:%Y-%m}")
 
 
-def balances(spark: SparkSession, sf_dir: str) -> DataFrame:
+def balances(spark: SparkSession, sf_dir: str, t: DataFrame | None = None) -> DataFrame:
     """Balances just before every month's end."""
-    return ledger.balances_at(transfers(spark, sf_dir), month_list(spark, sf_dir).select(F.col("end").alias("as_of"), "month"))
+    return ledger.balances_at(transfers(spark, sf_dir) if t is None else t, month_list(spark, sf_dir).select(F.col("end").alias("as_of"), "month"))
 
 
 def raw_logs(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -12,6 +12,7 @@ from ledgerscope.functions import keys, wide
 from ledgerscope.operators import asof, ledger, measures, panel, reconcile, report, status, validate, windows
 from ledgerscope.plans import fixtures as fx
 from ledgerscope.schemas import TRANSFERS, ZERO
+from ledgerscope.shared import settled
 from ledgerscope.sources import payloads, store
 from ledgerscope.streaming.volumes import tumbling_volumes
 
@@ -35,24 +36,24 @@ def _r(*names: str) -> list:
     return [F.round(F.col(n).cast("double"), 6).alias(n) for n in names]
 
 
-def _placed(spark: SparkSession, sf: str) -> DataFrame:
-    return windows.assign(fx.classified(spark, sf), fx.month_list(spark, sf))
+def _placed(spark: SparkSession, sf: str, t: DataFrame | None = None) -> DataFrame:
+    return windows.assign(fx.classified(spark, sf, t), fx.month_list(spark, sf))
 
 
-def _universe(spark: SparkSession, sf: str) -> DataFrame:
-    return panel.skeleton(fx.transfers(spark, sf), fx.month_list(spark, sf))
+def _universe(spark: SparkSession, sf: str, t: DataFrame | None = None) -> DataFrame:
+    return panel.skeleton(fx.transfers(spark, sf) if t is None else t, fx.month_list(spark, sf))
 
 
 def _scanned(logs: DataFrame) -> DataFrame:
     return logs.groupBy("asset_uid", "block_window").agg(F.count("*").alias("n"), F.max(keys.hex_to_long(F.col("blockNumber"))).alias("last_block"))
 
 
-def _blocks(spark: SparkSession, sf: str) -> DataFrame:
-    return fx.transfers(spark, sf).select(F.substring("tx_hash", 3, 20).cast("long").alias("number"), F.col("block_time").alias("timestamp"))
+def _blocks(spark: SparkSession, sf: str, t: DataFrame | None = None) -> DataFrame:
+    return (fx.transfers(spark, sf) if t is None else t).select(F.substring("tx_hash", 3, 20).cast("long").alias("number"), F.col("block_time").alias("timestamp"))
 
 
-def _held(spark: SparkSession, sf: str) -> DataFrame:
-    return asof.exact_state(fx.balances(spark, sf), fx.month_list(spark, sf))
+def _held(spark: SparkSession, sf: str, t: DataFrame | None = None) -> DataFrame:
+    return asof.exact_state(fx.balances(spark, sf, t), fx.month_list(spark, sf))
 
 
 # ---- sources
@@ -283,14 +284,19 @@ UNION ALL SELECT o.asset_uid, o.seq, CASE WHEN o.fb THEN supply + o.amount WHEN
 SELECT * FROM r WHERE seq > 0)"""
 
 
+def _ordered(spark, sf):
+    """What a replay reads of the transfers, joined and ordered once."""
+    return settled(fx.transfers(spark, sf).select("asset_uid", "from_address", "to_address", "amount", "bucket", "seq"))
+
+
 @query(f"""SELECT t.asset_uid, window_id || '/' || lpad(CAST(t.seq - min(t.seq) OVER (PARTITION BY t.asset_uid, window_id) + 1 AS VARCHAR), 12, '0') AS seq, t.amount, r.dropped FROM t JOIN {_REPLAYED} r ON r.asset_uid = t.asset_uid AND r.seq = t.seq""")
 def ls46_implausible(spark, sf):
-    return ledger.drop_implausible(fx.transfers(spark, sf)).select("asset_uid", "seq", "amount", "dropped")
+    return ledger.drop_implausible(_ordered(spark, sf)).select("asset_uid", "seq", "amount", "dropped")
 
 
 @query(f"SELECT asset_uid, count(*) FILTER (dropped) AS dropped FROM {_REPLAYED} GROUP BY ALL")
 def ls47_dropped_counts(spark, sf):
-    t = fx.transfers(spark, sf)
+    t = _ordered(spark, sf)
     return ledger.dropped_counts(ledger.drop_implausible(t), t.select("asset_uid").distinct())
 
 
@@ -429,17 +435,19 @@ WHERE kind = 'secondary' AND lower(a) NOT IN ('{z}', '{d}'))""".format(z=ZERO, d
 _HOLD = """(SELECT b.*, x.address IS NULL AS retained, sum(balance) OVER (PARTITION BY b.asset_uid, b.window_id) AS z FROM b LEFT JOIN exc x ON b.asset_uid = x.asset_uid AND b.address = x.address)"""
 
 
-def _volumes(spark, sf):
-    return measures.volumes(_placed(spark, sf), _universe(spark, sf))
+def _volumes(spark, sf, t=None):
+    """Transfers are used twice here, so they are joined once, as in all that follow."""
+    t = fx.kept_transfers(spark, sf) if t is None else t
+    return measures.volumes(_placed(spark, sf, t), _universe(spark, sf, t))
 
 
-def _active(spark, sf):
-    return measures.active(_placed(spark, sf)).filter("mode = 'secondary_only'")
+def _active(spark, sf, t=None):
+    return measures.active(_placed(spark, sf, t)).filter("mode = 'secondary_only'")
 
 
-def _spread(spark, sf):
+def _spread(spark, sf, t=None):
     """The sum of all holders is the denominator of shares here, so that they stay within one."""
-    return measures.concentration(measures.prepare_holders(_held(spark, sf), fx.lists(spark)[1]))
+    return measures.concentration(settled(measures.prepare_holders(_held(spark, sf, t), fx.lists(spark)[1])))
 
 
 @query(f"SELECT asset_uid, window_id, mode, n, volume_native, round(volume_usd, 2) AS volume_usd, nulls_usd FROM {_VOL}")
@@ -467,22 +475,25 @@ def ls65_active_addresses(spark, sf):
 @query(f"""SELECT v.asset_uid, v.window_id, round(volume_native / a.n, 6) AS volume_per_active FROM {_VOL} v LEFT JOIN (SELECT asset_uid, window_id, count(*) AS n FROM {_ACT} GROUP BY ALL) a
 ON a.asset_uid = v.asset_uid AND a.window_id = v.window_id WHERE mode = 'secondary_only'""")
 def ls66_volume_per_active(spark, sf):
-    v = _volumes(spark, sf).filter("mode = 'secondary_only'")
-    return measures.volume_per_active(v, measures.active_counts(_active(spark, sf))).select("asset_uid", "window_id", *_r("volume_per_active"))
+    t = fx.kept_transfers(spark, sf)
+    v = _volumes(spark, sf, t).filter("mode = 'secondary_only'")
+    return measures.volume_per_active(v, measures.active_counts(_active(spark, sf, t))).select("asset_uid", "window_id", *_r("volume_per_active"))
 
 
 @query(f"""SELECT h.asset_uid, h.window_id, round(coalesce(a.n, 0) / h.listed, 6) AS active_holder_ratio FROM (SELECT asset_uid, window_id, count(*) AS listed FROM b GROUP BY ALL) h
 LEFT JOIN (SELECT asset_uid, window_id, count(*) AS n FROM {_ACT} GROUP BY ALL) a ON a.asset_uid = h.asset_uid AND a.window_id = h.window_id""")
 def ls67_active_holder_ratio(spark, sf):
-    listed = _held(spark, sf).groupBy("asset_uid", "window_id").agg(F.count("*").alias("listed")).withColumn("holder_count", F.lit(None).cast("long"))
-    return measures.active_holder_ratio(measures.active_counts(_active(spark, sf)), listed).select("asset_uid", "window_id", *_r("active_holder_ratio"))
+    t = fx.kept_transfers(spark, sf)
+    listed = _held(spark, sf, t).groupBy("asset_uid", "window_id").agg(F.count("*").alias("listed")).withColumn("holder_count", F.lit(None).cast("long"))
+    return measures.active_holder_ratio(measures.active_counts(_active(spark, sf, t)), listed).select("asset_uid", "window_id", *_r("active_holder_ratio"))
 
 
 @query(f"""SELECT h.asset_uid, h.window_id, round(coalesce(sum(balance) FILTER (NOT EXISTS (SELECT 1 FROM {_ACT} a WHERE a.asset_uid = h.asset_uid AND a.window_id = h.window_id AND a.address = h.address)), 0) / max(z), 6) AS dormancy FROM {_HOLD} h GROUP BY ALL""")
 def ls68_dormancy(spark, sf):
-    h = _held(spark, sf)
+    t = fx.kept_transfers(spark, sf)
+    h = settled(_held(spark, sf, t))
     whole = h.groupBy("asset_uid", "window_id").agg(F.sum("balance").alias("denominator"))
-    return measures.dormancy(h, _active(spark, sf), whole).select("asset_uid", "window_id", *_r("dormancy"))
+    return measures.dormancy(h, _active(spark, sf, t), whole).select("asset_uid", "window_id", *_r("dormancy"))
 
 
 _SPREAD = f"""SELECT asset_uid, window_id, count(*) FILTER (retained) AS retained_holders, round(sum(balance) FILTER (retained AND rn <= 10) / max(z), 6) AS top_share, round(sum(balance * balance) FILTER (retained) / (max(z) * max(z)) * 10000, 6) AS hhi,
@@ -506,7 +517,8 @@ def ls72_conditional_identity(spark, sf):
 @query(f"""SELECT v.asset_uid, v.window_id, volume_native AS value, 'total_volume' AS metric, 'ledger' AS sources, n AS n_records, 'secondary_only' AS mode, 'native' AS denomination, '' AS exclusions,
 CASE WHEN n > 0 AND volume_native IS NULL THEN 'null_amounts' ELSE '' END AS warnings FROM {_VOL} v WHERE mode = 'secondary_only'""")
 def ls75_provenance(spark, sf):
-    v = _volumes(spark, sf).filter("mode = 'secondary_only'").join(status.contributing_sources(fx.transfers(spark, sf)), "asset_uid")
+    t = fx.kept_transfers(spark, sf)
+    v = _volumes(spark, sf, t).filter("mode = 'secondary_only'").join(status.contributing_sources(t), "asset_uid")
     none = F.array().cast("array<string>")
     p = measures.provenance("total_volume", "secondary_only", "native", F.col("sources"), F.col("n"), none, F.array_compact(F.array(F.when(F.col("nulls_native") > 0, F.lit("null_amounts")))))
     lists = {c: F.array_join(F.col("p")[c], ",").alias(c) for c in ("sources", "exclusions", "warnings")}
@@ -516,14 +528,15 @@ def ls75_provenance(spark, sf):
 # ---- report, trend, panel
 
 
-def _status(spark, sf):
-    assets = fx.transfers(spark, sf).select("asset_uid").distinct().withColumn("n", F.substring("asset_uid", -2, 2).cast("int"))
+def _status(t):
+    assets = t.select("asset_uid").distinct().withColumn("n", F.substring("asset_uid", -2, 2).cast("int"))
     missing = F.when(F.col("n") == 3, F.array(F.lit("holders"))).otherwise(F.array().cast("array<string>"))
     return assets.select("asset_uid", missing.alias("missing_kinds"), (F.col("n") < 20).alias("reconciliation_checked"), F.when(F.col("n") < 10, F.col("n") != 5).alias("reconciled"))
 
 
-def _report(spark, sf):
-    inputs = report.Inputs(fx.classified(spark, sf), fx.balances(spark, sf), fx.snapshots(spark, sf), fx.lists(spark)[1], _status(spark, sf))
+def _report(spark, sf, t=None):
+    t = fx.kept_transfers(spark, sf) if t is None else t
+    inputs = report.Inputs(fx.classified(spark, sf, t), settled(fx.balances(spark, sf, t)), settled(fx.snapshots(spark, sf)), fx.lists(spark)[1], _status(t))
     return report.build_report(inputs, fx.month_list(spark, sf))
 
 
@@ -554,11 +567,11 @@ FROM {_REPORT} r JOIN w ON w.window_id = r.window_id LEFT JOIN (SELECT window_id
 (SELECT asset_uid, count(*) FILTER (dropped) AS dropped FROM {_REPLAYED} GROUP BY ALL) x, (SELECT asset_uid, string_agg(source, ', ' ORDER BY source) AS sources FROM (SELECT asset_uid, source FROM s UNION SELECT asset_uid, source FROM t) GROUP BY ALL) z
 WHERE x.asset_uid = r.asset_uid AND z.asset_uid = r.asset_uid""")
 def ls79_report_rows(spark, sf):
-    t, w = fx.transfers(spark, sf), fx.month_list(spark, sf)
-    blocks = _blocks(spark, sf)
+    t, w = fx.kept_transfers(spark, sf, "tx_hash", "bucket", "seq"), fx.month_list(spark, sf)
+    blocks = _blocks(spark, sf, t)
     ranges = windows.block_ranges(blocks, w).crossJoin(F.broadcast(blocks.agg(F.max("number").alias("head_block"))))
     dropped = ledger.dropped_counts(ledger.drop_implausible(t), t.select("asset_uid").distinct())
-    out = report.export_rows(_report(spark, sf), status.contributing_sources(t, fx.snapshots(spark, sf)), w, ranges, dropped)
+    out = report.export_rows(_report(spark, sf, t), status.contributing_sources(t, fx.snapshots(spark, sf)), w, ranges, dropped)
     day = lambda c: F.date_format(c, "yyyy-MM-dd").alias(c)
     return out.select("asset_uid", "symbol", "window_id", day("window_start"), day("window_end"), "start_block", "end_block", "head_block", "n_transfers", *_r(*_NINE), "dropped_transfers", "sources")
 
@@ -575,8 +588,9 @@ def ls80_trend(spark, sf):
 
 
 def _panel(spark, sf):
-    t = fx.classified(spark, sf)
-    h = fx.balances(spark, sf)
+    t = fx.kept_transfers(spark, sf)
+    h = settled(fx.balances(spark, sf, t))
+    t = fx.classified(spark, sf, t)
     supply = h.groupBy("asset_uid", "as_of").agg(F.sum("balance").alias("total_supply")).withColumn("source", F.lit("ledger"))
     return panel.build_panel(t, fx.month_list(spark, sf), t, h, supply, fx.lists(spark)[1])
 
@@ -739,6 +753,7 @@ def stream_tumbling_volumes(spark, sf):
 LEFT JOIN ({_SPREAD}) s ON s.asset_uid = v.asset_uid AND s.window_id = v.window_id WHERE mode = 'secondary_only'""")
 def monthly_turnover(spark, sf):
     """The flagship query: monthly residual turnover and top-10 share per asset."""
-    v = _volumes(spark, sf).filter("mode = 'secondary_only'")
-    out = v.join(_spread(spark, sf).select("asset_uid", "window_id", "denominator", "top_share"), ["asset_uid", "window_id"], "left")
+    t = fx.kept_transfers(spark, sf)
+    v = _volumes(spark, sf, t).filter("mode = 'secondary_only'")
+    out = v.join(_spread(spark, sf, t).select("asset_uid", "window_id", "denominator", "top_share"), ["asset_uid", "window_id"], "left")
     return out.select("asset_uid", "window_id", F.round(F.when(F.col("denominator") > 0, F.col("volume_native") / F.col("denominator")), 6).alias("turnover"), *_r("top_share"))

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import re
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -24,6 +25,8 @@ def checkpoint_folder(spark: SparkSession) -> str:
 
 
 def settled(rows: DataFrame) -> DataFrame:
-    """The rows written to the shared folder, without their lineage."""
-    checkpoint_folder(rows.sparkSession)
-    return rows.checkpoint()
+    """The rows written to the shared folder, without their lineage: compressed columns, of which each use reads its own. A checkpoint would hold whole rows as they are in memory."""
+    spark = rows.sparkSession
+    path = f"{checkpoint_folder(spark).rstrip('/')}/settled-{uuid.uuid4().hex}"
+    rows.write.option("compression", "zstd").parquet(path)
+    return spark.read.schema(rows.schema).parquet(path)

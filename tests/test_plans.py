@@ -52,3 +52,16 @@ def test_stream_equals_batch(spark, tmp_path):
     q = stream.writeStream.outputMode("complete").format("memory").queryName("volumes").trigger(availableNow=True).option("checkpointLocation", str(tmp_path / "c")).start()
     q.awaitTermination()
     assert sorted(map(tuple, spark.table("volumes").collect())) == sorted(map(tuple, tumbling_volumes(rows).collect()))
+
+
+@pytest.mark.parametrize("name", ["ls76_report", "ls79_report_rows", "ls68_dormancy", "ls82_panel_activity", "monthly_turnover", "ls66_volume_per_active", "ls67_active_holder_ratio", "ls46_implausible", "ls47_dropped_counts"])
+def test_the_ledger_is_joined_once(spark, monkeypatch, name):
+    joined, transfers = [], queries.fx.transfers
+    monkeypatch.setattr(queries.fx, "transfers", lambda *a: joined.append(a) or transfers(*a))
+    plan = queries.QUERIES[name](spark, SF)._jdf.queryExecution().optimizedPlan().toString()
+    assert len(joined) == 1 and "l_orderkey" not in plan
+
+
+def test_the_ledger_is_joined_alike_at_every_size(spark):
+    plan = queries.fx.transfers(spark, SF)._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin" in plan and "BroadcastHashJoin" not in plan
