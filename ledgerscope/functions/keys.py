@@ -42,15 +42,21 @@ def request_digest(source: Column, dataset: Column, params: Column) -> Column:
     return F.substring(F.sha2(F.concat_ws("|", source, dataset, ordered), 256), 1, 16)
 
 
+def without_prefix(digits: Column) -> Column:
+    """The digits after 0x. Here and below no regular expressions, which take most of the time where logs are decoded."""
+    return F.when(digits.startswith("0x"), F.substring(digits, 3, 2**31 - 1)).otherwise(digits)
+
+
 def hex_to_long(digits: Column) -> Column:
     """A hexadecimal number, with or without 0x; null beyond 15 digits (zeros before it aside) and where it is none."""
-    h = F.regexp_replace(F.regexp_replace(digits, "^0x", ""), "^0+(?=.)", "")
-    return F.when(h.rlike("^[0-9a-fA-F]{1,15}$"), F.conv(h, 16, 10).cast("long"))
+    d = without_prefix(digits)
+    h = F.ltrim(d, F.lit("0"))
+    return F.when((F.length(d) > 0) & (F.length(h) <= 15) & F.unhex(h).isNotNull(), F.conv(F.concat(F.lit("0"), h), 16, 10).cast("long"))
 
 
 def hex_to_decimal(digits: Column) -> Column:
     """A 256-bit hexadecimal number as decimal(38,0), exact below 10^38; null beyond."""
-    h = F.regexp_replace(F.lower(F.regexp_replace(digits, "^0x", "")), "^0+", "")
+    h = F.ltrim(F.lower(without_prefix(digits)), F.lit("0"))
     wide = F.lpad(h, 32, "0")
     part = lambda at: F.conv(F.substring(wide, at, 8), 16, 10).cast("decimal(38,0)")
     low = part(25) + part(17) * F.lit(2**32).cast("decimal(20,0)")
@@ -58,7 +64,8 @@ def hex_to_decimal(digits: Column) -> Column:
     # 2^126 < 10^38: beyond that a number is flagged, not computed
     fits = (F.length(h) <= 31) | ((F.length(h) == 32) & (F.substring(wide, 1, 1) < "4"))
     value = F.try_add(F.try_multiply(high.cast("decimal(38,0)"), F.lit(str(2**64)).cast("decimal(20,0)")).cast("decimal(38,0)"), low.cast("decimal(38,0)"))
-    return F.when(F.length(h) == 0, F.lit(0).cast("decimal(38,0)")).when(fits, value.cast("decimal(38,0)"))
+    short = F.conv(h, 16, 10).cast("long").cast("decimal(38,0)")
+    return F.when(F.length(h) == 0, F.lit(0).cast("decimal(38,0)")).when((F.length(h) <= 15) & F.unhex(h).isNotNull(), short).when(fits, value.cast("decimal(38,0)"))
 
 
 def negated(amount: Column) -> Column:

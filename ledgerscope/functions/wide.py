@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame, WindowSpec
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
-from ledgerscope.functions.keys import negated
+from ledgerscope.functions.keys import negated, without_prefix
 
 LIMBS = ("l3", "l2", "l1", "l0")
 WHOLE = "decimal(38,0)"
@@ -34,9 +34,9 @@ def zero() -> Column:
 
 def from_hex(digits: Column) -> Column:
     """A hexadecimal number of up to 64 digits, with or without 0x; no digits after 0x are zero; null where it is none or longer (zeros before it aside)."""
-    h = F.regexp_replace(F.regexp_replace(digits, "^0x", ""), "^0+", "")
+    h = F.ltrim(without_prefix(digits), F.lit("0"))
     part = lambda k: F.conv(F.substring(F.lpad(h, 64, "0"), 1 + 16 * k, 16), 16, 10)
-    return F.when(h.rlike("^[0-9a-fA-F]{0,64}$"), _of({x: part(k) for k, x in enumerate(LIMBS)}))
+    return F.when((F.length(h) <= 64) & F.unhex(h).isNotNull(), _of({x: part(k) for k, x in enumerate(LIMBS)}))
 
 
 def from_decimal(amount: Column) -> Column:
