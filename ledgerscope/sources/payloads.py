@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from ledgerscope.functions.classify import classify
 from ledgerscope.functions.keys import asset_uid, contract_text, hex_to_decimal, hex_to_long, parse_utc
 from ledgerscope.schemas import Table
+from ledgerscope.shared import settled
 
 ROWS = "struct<state:string,result:struct<rows:array<map<string,string>>>,next_offset:bigint>"
 
@@ -19,17 +20,22 @@ class ContractError(ValueError):
 def saved_query_rows(responses: DataFrame, required: tuple[str, ...], optional: tuple[str, ...] = ()) -> DataFrame:
     """Rows of finished saved-query pages as text columns; optional columns that are absent are typed nulls.
 
-    An unfinished query and a row without a required column fail, with what is wrong, by two one-row aggregates.
+    An unfinished query and a row without a required column fail, with what is wrong, by a one-row aggregate. Pages are
+    read and parsed once; their rows are written for the checks and for what follows.
     """
     page = responses.select(F.from_json("body", ROWS).alias("p"))
-    states = page.agg(F.count_if(F.coalesce(F.col("p.state"), F.lit("")) != "QUERY_STATE_COMPLETED")).collect()[0][0]
-    if states:
-        raise ContractError(f"{states} pages of an unfinished query")
-    rows = page.select(F.explode("p.result.rows").alias("r"))
-    lacking = rows.agg(*[F.count_if(~F.map_contains_key("r", c)).alias(c) for c in required]).collect()[0]
-    if bad := [c for c in required if lacking[c]]:
+    unfinished = (F.coalesce(F.col("p.state"), F.lit("")) != "QUERY_STATE_COMPLETED").alias("__unfinished")
+    # a page without rows keeps one, so that its state is seen
+    rows = page.select(unfinished, F.posexplode_outer("p.result.rows").alias("__at", "r"))
+    lacks = [(F.col("__at").isNotNull() & ~F.map_contains_key("r", c)).alias(f"__lacks_{c}") for c in required]
+    columns = [F.try_element_at("r", F.lit(c)).alias(c) for c in (*required, *optional)]
+    rows = settled(rows.select("__unfinished", "__at", *lacks, *columns))
+    found = rows.agg(F.count_if(F.col("__unfinished") & (F.coalesce("__at", F.lit(0)) == 0)).alias("states"), *[F.count_if(f"__lacks_{c}").alias(c) for c in required]).collect()[0]
+    if found["states"]:
+        raise ContractError(f"{found['states']} pages of an unfinished query")
+    if bad := [c for c in required if found[c]]:
         raise ContractError(f"missing columns: {', '.join(bad)}")
-    return rows.select(*[F.col("r")[c].alias(c) for c in required], *[F.try_element_at("r", F.lit(c)).alias(c) for c in optional])
+    return rows.filter("__at IS NOT NULL").select(*required, *optional)
 
 
 def scoped(rows: DataFrame, assets: DataFrame, start: Column | None = None, end: Column | None = None, time: str = "block_time") -> DataFrame:

@@ -65,3 +65,23 @@ def test_the_ledger_is_joined_once(spark, monkeypatch, name):
 def test_the_ledger_is_joined_alike_at_every_size(spark):
     plan = queries.fx.transfers(spark, SF)._jdf.queryExecution().executedPlan().toString()
     assert "SortMergeJoin" in plan and "BroadcastHashJoin" not in plan
+
+
+@pytest.mark.parametrize("name", ["ls08_saved_query_transfers", "ls11_saved_query_holders"])
+def test_pages_are_read_and_parsed_once(spark, name):
+    plan = queries.QUERIES[name](spark, SF)._jdf.queryExecution().optimizedPlan().toString()
+    assert "from_json" not in plan and "collect_list" not in plan
+
+
+def test_pages_stay_as_they_are_when_the_ledger_grows(spark, monkeypatch):
+    seen, read = [], queries.payloads.saved_query_transfers
+    monkeypatch.setattr(queries.payloads, "saved_query_transfers", lambda pages, chain: seen.append(pages.count()) or read(pages, chain))
+    for sf in (SF, "/root/testdata/sf0.01"):
+        queries.ls08_saved_query_transfers(spark, sf)
+    assert seen == [50, 500]
+
+
+@pytest.mark.parametrize("name", ["ls45_log_decode", "ls45_wide_amounts"])
+def test_logs_are_decoded_without_regular_expressions(spark, name):
+    plan = queries.QUERIES[name](spark, SF)._jdf.queryExecution().optimizedPlan().toString().lower()
+    assert "rlike" not in plan
