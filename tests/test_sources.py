@@ -33,6 +33,17 @@ def test_all_violations_at_once(spark):
         assert part in str(e.value)
 
 
+def test_failed_checks_are_counted_in_tasks_without_ranking_rows(spark):
+    rows = [("eth:0xa", "node", NOW, NOW, f"0x{i:03d}", None if i % 4 == 0 else -float(i), None) for i in range(200)]
+    found = validate.violations(frame(spark, *rows, rows[7]).repartition(5), HOLDERS)
+    assert "Window" not in found._jdf.queryExecution().executedPlan().toString()
+    got = {(r["column"], r["check"]): (r["rows"], r["examples"]) for r in found.collect()}
+    assert got[("balance", "null")] == (50, ["null"] * 3) and got[("balance", "not negative")] == (151, ["-1.0", "-10.0", "-101.0"])
+    assert got[("asset_uid, source, as_of, address", "unique")][0] == 2 and len(got) == 3
+    none = validate.violations(frame(spark, GOOD), HOLDERS)
+    assert none.columns == ["column", "check", "rows", "examples"] and none.isEmpty()
+
+
 def test_shape_problems(spark):
     df = frame(spark, GOOD).drop("address").withColumn("extra", F.lit(1)).withColumn("as_of", F.col("as_of").cast("timestamp_ntz"))
     assert validate.shape_problems(df, HOLDERS) == ["address: missing", "extra: unexpected", "as_of: timestamps must carry a zone"]
