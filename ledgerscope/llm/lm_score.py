@@ -1,8 +1,9 @@
 """Language-model scoring with a two-level hierarchical Pitman-Yor model, seated by Gibbs steps.
 
 Every training word, and the start, is a context restaurant of the words that follow it; all of them share the unigram
-restaurant as parent, whose own parent is a fixed base distribution. A Gibbs step removes one customer of a dish and seats
-it again, given the tables of all others; the totals of other ranges are those of the sweep before.
+restaurant as parent, whose own parent is a fixed base distribution. A Gibbs sweep seats all customers of every dish again,
+given the tables of all other dishes: those of most dishes at once, as their number of tables is drawn from its exact
+distribution, those of very large dishes customer by customer. The totals of other ranges are those of the sweep before.
 
 How it is dealt out. Texts become blocks of word numbers, a written table bucketed by block, so that replies are joined with
 it without moving it. A word has a range by its hash, a pair of context and word one by the hash of both, so that no word
@@ -15,6 +16,7 @@ tables, of words the totals.
 
 from __future__ import annotations
 
+import functools
 import uuid
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass, field
@@ -216,6 +218,56 @@ class Model:
         return np.random.Generator(np.random.Philox(key=[self.seed, sum(int(k) << 40 * i for i, k in enumerate(key)) & (1 << 64) - 1]))
 
 
+#: Dishes of up to so many customers have their number of tables drawn at once; beyond that their customers step one by one.
+DRAWN = 2048
+_CELLS = 1 << 19
+
+
+@functools.lru_cache(maxsize=2)
+def _seatings(d: float) -> np.ndarray:
+    """Logarithms of the generalised Stirling numbers: at c * (c - 1) / 2 + t - 1 the weight of all ways to seat c customers at t tables, whose customers weigh n - d."""
+    rows = [np.zeros(1)]
+    for n in range(1, DRAWN):
+        more = rows[-1] + np.log(n - d * np.arange(1, n + 1))
+        rows.append(np.logaddexp(np.append(more, -np.inf), np.append(-np.inf, rows[-1])))
+    return np.concatenate(rows)
+
+
+def drawn_tables(c: np.ndarray, others: np.ndarray, parent: np.ndarray, theta: float, d: float, rng: np.random.Generator) -> np.ndarray:
+    """The number of tables of each dish of c customers (at most ``DRAWN``), drawn given the tables of the restaurant's other dishes.
+
+    t tables weigh as all ways to seat c customers at them, times (theta + d * (others + k)) * parent for k below t: what steps
+    of ``gibbs``, without end, would come to.
+    """
+    out = np.minimum(c, 1)
+    some = np.flatnonzero(c > 1)
+    ways, end = _seatings(d), np.cumsum(c[some])
+    lo = 0
+    while lo < len(some):
+        hi = max(lo + 1, int(np.searchsorted(end, end[lo] - c[some[lo]] + _CELLS, "right")))
+        m = some[lo:hi]
+        n = c[m]
+        begin = np.cumsum(n) - n
+        k = np.arange(int(n.sum())) - np.repeat(begin, n)
+        x = np.cumsum(np.log((theta + d * (np.repeat(others[m], n) + k)) * np.repeat(parent[m], n)))
+        x += ways[np.repeat(n * (n - 1) // 2, n) + k] - np.repeat(np.append(0.0, x)[begin], n)
+        x = np.cumsum(np.exp(x - np.repeat(np.maximum.reduceat(x, begin), n)))
+        least, most = np.append(0.0, x)[begin], x[begin + n - 1]
+        out[m] = np.clip(np.searchsorted(x, least + rng.random(len(m)) * (most - least), "right") - begin, 0, n - 1) + 1
+        lo = hi
+    return out
+
+
+def seated(
+    c: np.ndarray, t: np.ndarray, sizes: np.ndarray, others: np.ndarray, parent: np.ndarray, theta: float, d: float, rng: np.random.Generator
+) -> tuple[np.ndarray, np.ndarray]:
+    """One sweep over all dishes: the new t, and the sizes of tables of dishes beyond ``DRAWN``, whose sizes are given."""
+    large, t = c > DRAWN, t.copy()
+    t[~large] = drawn_tables(c[~large], others[~large], parent[~large], theta, d, rng)
+    t[large], sizes = gibbs(c[large], t[large], sizes, others[large], parent[large], theta, d, rng)
+    return t, sizes
+
+
 def first_tables(c: np.ndarray, new: np.ndarray, d: float, rng: np.random.Generator) -> np.ndarray:
     """A first number of tables for c customers of each dish, where a new table has mass ``new`` and the old ones k - d * t.
 
@@ -524,7 +576,7 @@ def _state(words: DataFrame, singles: DataFrame, m: Model) -> DataFrame:
 
 
 def _reseat_words(state: DataFrame, sums: DataFrame, m: Model, sweep: int) -> tuple[DataFrame, np.ndarray]:
-    """The words' totals after a sweep, with the unigram restaurant seated anew and Gibbs-stepped twice; and its customers and tables, and dishes of one and of two customers."""
+    """The words' totals after a sweep, with the unigram restaurant seated again (its large dishes anew, and stepped twice); and its customers and tables, and dishes of one and of two customers."""
 
     def run(key: tuple, held: list[dict], got: list[dict]) -> Iterator[tuple]:
         h = held[0]
@@ -537,10 +589,13 @@ def _reseat_words(state: DataFrame, sums: DataFrame, m: Model, sweep: int) -> tu
         rng = m.random(key[0], sweep, 1)
         tables = m.root[-1][1] if m.root else float(m.types)
         parent = np.full(len(c0), (1 - m.unknown) / max(m.types, 1))
-        t0 = first_tables(c0, (m.theta[1] + m.d[1] * tables) * parent, m.d[1], rng)
-        sizes = first_sizes(c0, t0, m.d[1], rng)
-        for _ in range(2):
-            t0, sizes = gibbs(c0, t0, sizes, tables - t0, parent, m.theta[1], m.d[1], rng)
+        t0 = _expand(h["t0"]) if m.root else np.minimum(c0, 1)
+        large = c0 > DRAWN
+        t0[large] = first_tables(c0[large], (m.theta[1] + m.d[1] * tables) * parent[large], m.d[1], rng)
+        sizes = first_sizes(c0[large], t0[large], m.d[1], rng)
+        others = np.maximum(tables - t0, 0)
+        t0, sizes = seated(c0, t0, sizes, others, parent, m.theta[1], m.d[1], rng)
+        t0[large], _ = gibbs(c0[large], t0[large], sizes, np.maximum(tables - t0[large], 0), parent[large], m.theta[1], m.d[1], rng)
         stats = [float(c0.sum()), float(t0.sum()), float((c0 == 1).sum()), float((c0 == 2).sum())]
         yield key[0], h["n"], h["c1"], h["k1"], _squeeze(c0), _squeeze(k), _squeeze(t0), stats
 
@@ -549,7 +604,7 @@ def _reseat_words(state: DataFrame, sums: DataFrame, m: Model, sweep: int) -> tu
     return out, np.array([float(x) for x in got])
 
 
-#: kind 0: tables of each dish and their sizes; 1: sums by word.
+#: kind 0: tables of each dish, and their sizes where it is large; 1: sums by word.
 _SEATS = "kind int, range long, to long, a binary, b binary, c binary"
 
 
@@ -586,10 +641,11 @@ def _sweep(pairs: DataFrame, seats: DataFrame | None, state: DataFrame, m: Model
         if before:
             t, sizes = _expand(before[0]["a"]), _expand(before[0]["b"])
         else:
-            t = first_tables(c, (m.theta[0] + m.d[0] * k[at_ctx]) * parent, m.d[0], rng)
-            sizes = first_sizes(c, t, m.d[0], rng)
-        others = k[at_ctx] - t if before else k[at_ctx]
-        t, sizes = gibbs(c, t, sizes, np.maximum(others, 0), parent, m.theta[0], m.d[0], rng)
+            t, large = np.minimum(c, 1), c > DRAWN
+            t[large] = first_tables(c[large], (m.theta[0] + m.d[0] * k[at_ctx[large]]) * parent[large], m.d[0], rng)
+            sizes = first_sizes(c[large], t[large], m.d[0], rng)
+        others = k[at_ctx] - (t if before else 1)  # before the first seating every pair has one table
+        t, sizes = seated(c, t, sizes, np.maximum(others, 0), parent, m.theta[0], m.d[0], rng)
         yield 0, key[0], None, _squeeze(t), _squeeze(sizes), None
         for r, idx, as_word, as_ctx in _by_word(word, ctx, t, m.word_bits):
             yield 1, key[0], r, _squeeze(idx), _squeeze(as_word), _squeeze(as_ctx)
@@ -634,7 +690,7 @@ def train(blocks: DataFrame, sweeps: int = 4, seed: int = 7, range_tokens: int =
     for s in range(1, sweeps + 1):
         seats.append(_sweep(pairs, seats[-1] if seats else None, states[-1], m, s, ranges))
         sums = seats[-1].filter("kind = 1").select(F.col("to").alias("range"), F.col("range").alias("from"), F.col("a").alias("idx"), F.col("b").alias("as_word"), F.col("c").alias("as_ctx"))
-        state, (c, t, *_) = _reseat_words(start, _added(sums, ranges), m, s)
+        state, (c, t, *_) = _reseat_words(states[-1], _added(sums, ranges), m, s)
         states.append(state)
         m.root.append((c, t))
     discard(words, start)

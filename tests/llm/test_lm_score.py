@@ -53,6 +53,22 @@ def test_gibbs_steps_follow_the_posterior(c, others, parent):
     assert np.mean(seen) == pytest.approx(expected_tables(c, others, parent, theta, d), rel=0.02)
 
 
+def test_drawn_tables_follow_the_posterior_from_any_start():
+    rng, d, theta = np.random.default_rng(2), 0.6, 1.0
+    cases = [(2, 3, 0.2), (6, 0, 0.3), (90, 10, 0.2), (30, 10, 0.2), (0, 0, 0.1), (1, 5, 0.1), (lm_score.DRAWN, 50_000, 1e-5)]
+    c, others, parent = map(np.array, zip(*[case for case in cases[:-1] for _ in range(3000)], cases[-1], strict=True))
+    t, sizes = lm_score.seated(c, np.minimum(c, 1), np.zeros(0, int), others, parent, theta, d, rng)
+    assert len(sizes) == 0 and (t <= c).all() and (t >= np.minimum(c, 1)).all()
+    for k, (n, o, p) in enumerate(cases[:4]):
+        assert t[3000 * k : 3000 * (k + 1)].mean() == pytest.approx(expected_tables(n, o, p, theta, d), rel=0.04)
+
+
+def test_large_dishes_step_beside_drawn_ones():
+    rng, c = np.random.default_rng(6), np.array([5, lm_score.DRAWN + 1, 1, 0, lm_score.DRAWN + 7])
+    t, sizes = lm_score.seated(c, np.array([1, 1, 1, 0, 1]), c[c > lm_score.DRAWN], np.zeros(5), np.full(5, 0.1), 1.0, 0.5, rng)
+    assert len(sizes) == t[1] + t[4] and sizes[: t[1]].sum() == c[1] and sizes[t[1] :].sum() == c[4] and t[3] == 0 and t[2] == 1
+
+
 @pytest.mark.parametrize("dishes", [1, 400])
 def test_every_customer_of_a_large_dish_steps(dishes):
     rng = np.random.default_rng(4)
