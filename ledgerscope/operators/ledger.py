@@ -109,16 +109,13 @@ def drop_implausible(transfers: DataFrame, bucket: str = "bucket", seq: str = "s
 def supply_after(moves: DataFrame, lot_rows: int = LOT_ROWS, fan: int = FAN, pieces: int = PIECES) -> DataFrame:
     """The supply after each mint or burn (asset_uid, bucket, seq, delta), as ``after``; a burn above the supply changes nothing.
 
-    Buckets are put together to lots of about ``lot_rows`` moves, a task each. What a lot does to the supply it starts
+    Buckets, or stretches of at most ``lot_rows`` moves of a longer one, are put together to lots of less than twice ``lot_rows``, a task each. What a lot does to the supply it starts
     from is a step function: on each stretch of starts the same burns are refused, so the same number is added.
     Such functions are found for all lots at once, on the starts that mints and burns before them allow, put together ``fan`` at a time up
     to one for each asset, and applied on the way down, so the rounds grow with the logarithm of the lots. An asset with a function of over ``pieces``
     steps, which takes burns that refuse one another over and over, is replayed lot after lot instead (``_starts_in_turn``). An asset of one lot needs none of it.
     """
-    before = Window.partitionBy("asset_uid").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
-    per = moves.groupBy("asset_uid", "bucket").agg(F.count("*").alias("n"), F.sum("delta").alias("net"), F.sum(F.greatest("delta", F.lit(0).cast(moves.schema["delta"].dataType))).alias("minted"))
-    per = settled(per.withColumn("lot", F.floor(F.coalesce(F.sum("n").over(before), F.lit(0)) / lot_rows)))
-    placed = moves.join(per.select("asset_uid", "bucket", "lot"), ["asset_uid", "bucket"])
+    placed, per = _lots(moves, lot_rows)
     starts = _lot_starts(placed, per, fan, pieces)
     kind = starts.schema["start"].dataType.simpleString()
 
@@ -130,6 +127,16 @@ def supply_after(moves: DataFrame, lot_rows: int = LOT_ROWS, fan: int = FAN, pie
     return placed.join(starts, ["asset_uid", "lot"]).groupBy("asset_uid", "lot").applyInPandas(replay, schema)
 
 
+def _lots(moves: DataFrame, lot_rows: int) -> tuple[DataFrame, DataFrame]:
+    """The moves with their ``lot``, and what each stretch of a lot comes to (n, net, minted)."""
+    place = F.row_number().over(Window.partitionBy("asset_uid", "bucket").orderBy("seq"))
+    cut = moves.withColumn("stretch", F.floor((place - 1) / lot_rows))
+    before = Window.partitionBy("asset_uid").orderBy("bucket", "stretch").rowsBetween(Window.unboundedPreceding, -1)
+    per = cut.groupBy("asset_uid", "bucket", "stretch").agg(F.count("*").alias("n"), F.sum("delta").alias("net"), F.sum(F.greatest("delta", F.lit(0).cast(moves.schema["delta"].dataType))).alias("minted"))
+    per = settled(per.withColumn("lot", F.floor(F.coalesce(F.sum("n").over(before), F.lit(0)) / lot_rows)))
+    return cut.join(per.select("asset_uid", "bucket", "stretch", "lot"), ["asset_uid", "bucket", "stretch"]).drop("stretch"), per
+
+
 def _lot_starts(placed: DataFrame, per: DataFrame, fan: int, pieces: int) -> DataFrame:
     """The supply at which each lot starts: asset_uid, lot, start."""
     kind = per.schema["net"].dataType.simpleString()

@@ -86,3 +86,11 @@ def test_rows_between_moves_see_the_last_supply_of_an_earlier_bucket(spark):
     assert got.columns == [*df.columns, "dropped"]
     assert sorted((r.seq, r.amount, r.dropped) for r in got.collect()) == [(0, 1.0, True), (1, 5.0, False), (2, 5.0, False), (3, 6.0, True), (4, 5.0, False), (5, 0.0, False), (5, 1.0, True)]
     assert ledger.drop_implausible(df.limit(0)).count() == 0
+
+
+def test_a_long_bucket_is_cut_into_lots(spark):
+    moves = spark.createDataFrame([("u", 0, i, float(-3 if i % 3 else 5)) for i in range(100)], "asset_uid string, bucket int, seq int, delta double")
+    placed, _ = ledger._lots(moves, 10)
+    assert max(r["count"] for r in placed.groupBy("lot").count().collect()) < 20
+    got = [r["after"] for r in ledger.supply_after(moves, 10).orderBy("seq").collect()]
+    assert got == plain([-3 if i % 3 else 5 for i in range(100)])
