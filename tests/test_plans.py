@@ -85,3 +85,8 @@ def test_pages_stay_as_they_are_when_the_ledger_grows(spark, monkeypatch):
 def test_logs_are_decoded_without_regular_expressions(spark, name):
     plan = queries.QUERIES[name](spark, SF)._jdf.queryExecution().optimizedPlan().toString().lower()
     assert "rlike" not in plan
+
+
+def test_the_ledger_is_joined_without_sorting(spark):
+    plan = queries.fx.transfers(spark, SF).select("asset_uid", "block_time", "from_address", "to_address", "amount")._jdf.queryExecution().executedPlan().toString()
+    assert "ShuffledHashJoin" in plan and "SortMergeJoin" not in plan and "Broadcast" not in plan
