@@ -58,6 +58,26 @@ def _expand(b: bytes) -> np.ndarray:
     return np.ascontiguousarray(raw.reshape(size, -1).T).reshape(-1).view(f"u{size}").astype(np.int64)
 
 
+def _distinct(x: np.ndarray, most: int) -> tuple[np.ndarray, np.ndarray]:
+    """The distinct numbers from 0 to ``most``, ascending, and where each of ``x`` is among them. Numbers and their places are sorted as one number where both fit."""
+    bits = len(x).bit_length()
+    if most.bit_length() + bits > 63 or not len(x):
+        return np.unique(x, return_inverse=True)
+    y = np.sort(x << bits | np.arange(len(x)))
+    place = y & (1 << bits) - 1
+    y >>= bits
+    new = np.append(True, y[1:] != y[:-1])
+    inverse = np.empty(len(x), np.int64)
+    inverse[place] = np.cumsum(new) - 1
+    return y[new], inverse
+
+
+def _met(x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Where each distinct value is met first, in that order, and which of them each of ``x`` is: by hashing, without sorting."""
+    inverse = pd.factorize(x)[0].astype(np.int64)
+    return np.flatnonzero(np.diff(np.maximum.accumulate(inverse), prepend=-1)) if len(x) else inverse, inverse
+
+
 def _runs(x: np.ndarray) -> Iterator[tuple[int, int, int]]:
     """(value, begin, end) of the runs of equal values."""
     if len(x):
@@ -91,8 +111,10 @@ def encode(docs: DataFrame, id: str, text: str, held: F.Column) -> DataFrame:
                 hi = max(lo + 1, int(np.searchsorted(offsets, offsets[lo] + _BLOCK, "right")) - 1)
                 w = Words(data[offsets[lo] : offsets[hi]], offsets[lo : hi + 1] - offsets[lo])
                 n = np.diff(w.first)
-                words, seq, count = np.unique(np.insert(w.hashes, w.first[1:], END), return_inverse=True, return_counts=True)
-                order = np.lexsort((words, -count))
+                tokens = np.insert(w.hashes, w.first[1:], END)
+                at, seq = _met(tokens)
+                words = tokens[at]
+                order = np.lexsort((words, -np.bincount(seq)))
                 rank = np.empty(len(order), np.int64)
                 rank[order] = np.arange(len(order))
                 yield pa.RecordBatch.from_arrays(
@@ -146,7 +168,7 @@ class _Block:
         before[1:] = self.seq[:-1]
         before[self.begin[:-1]] = self.start
         width = len(self.words)
-        pairs, inverse = np.unique(before * width + self.seq, return_inverse=True)
+        pairs, inverse = _distinct(before * width + self.seq, width * width)
         return pairs // width, pairs % width, inverse, np.bincount(inverse[self.train], minlength=len(pairs))
 
     def asked(self, ids: np.ndarray, bits: int) -> tuple[np.ndarray, np.ndarray, tuple]:
@@ -218,8 +240,8 @@ class Model:
         return np.random.Generator(np.random.Philox(key=[self.seed, sum(int(k) << 40 * i for i, k in enumerate(key)) & (1 << 64) - 1]))
 
 
-#: Dishes of up to so many customers have their number of tables drawn at once; beyond that their customers step one by one.
-DRAWN = 2048
+#: Dishes of up to so many customers have their number of tables drawn at once; beyond that their customers step one by one. Weights of few customers are products, those of more sums of logarithms.
+DRAWN, FEW = 2048, 16
 _CELLS = 1 << 19
 
 
@@ -239,9 +261,24 @@ def drawn_tables(c: np.ndarray, others: np.ndarray, parent: np.ndarray, theta: f
     t tables weigh as all ways to seat c customers at them, times (theta + d * (others + k)) * parent for k below t: what steps
     of ``gibbs``, without end, would come to.
     """
-    out = np.minimum(c, 1)
-    some = np.flatnonzero(c > 1)
-    ways, end = _seatings(d), np.cumsum(c[some])
+    out, ways = np.minimum(c, 1), _seatings(d)
+    some = np.flatnonzero((c > 1) & (c <= FEW))
+    some = some[np.argsort(c[some].astype(np.uint16), kind="stable")]
+    for n, x, y in _runs(c[some]):
+        m = some[x:y]
+        own, more = parent[m], d * parent[m]
+        term, sums = own * (theta + d * others[m]), np.empty((n, len(m)))
+        weight = np.ones(len(m))  # the first table's own factor is common to all
+        begin = n * (n - 1) // 2
+        sums[0] = np.exp(ways[begin])
+        for k in range(1, n):
+            term = term + more
+            weight = weight * term
+            sums[k] = sums[k - 1] + np.exp(ways[begin + k]) * weight
+        drawn = rng.random(len(m)) * sums[-1]
+        out[m] += (sums[:-1] <= drawn).sum(0)
+    some = np.flatnonzero(c > FEW)
+    end = np.cumsum(c[some])
     lo = 0
     while lo < len(some):
         hi = max(lo + 1, int(np.searchsorted(end, end[lo] - c[some[lo]] + _CELLS, "right")))
@@ -473,6 +510,8 @@ def _ids(rows: list[dict]) -> np.ndarray:
 
 #: kind 0: pairs of a range with two customers or more; 1: which of a unit's pairs are which of these (their number: one customer elsewhere); 2: numbers of single pairs by word.
 _PAIRS = "kind int, range long, unit long, ctx binary, word binary, cnt binary, stats array<long>"
+#: With them, of kind 0: the distinct words of its pairs, by range, and which of them each pair's word and context are. Every sweep asks for these.
+_PLACED = f"{_PAIRS}, ids binary, of_word binary, of_ctx binary"
 
 
 def _pairs(blocks: DataFrame, ids: DataFrame, m: Model, lots: int) -> tuple[DataFrame, DataFrame | None]:
@@ -489,52 +528,57 @@ def _pairs(blocks: DataFrame, ids: DataFrame, m: Model, lots: int) -> tuple[Data
             yield r, lot, key[0], _squeeze(ctx[x:y]), _squeeze(word[x:y]), _squeeze(cnt[x:y])
 
     def merged(rows: list[dict]):
-        sizes = [0]
+        rows, sizes = sorted(rows, key=lambda x: x["unit"]), [0]
         ctx, word, cnt = (np.concatenate([_expand(x[c]) for x in rows]) for c in ("ctx", "word", "cnt"))
         for x in rows:
             sizes.append(sizes[-1] + len(_expand(x["cnt"])))
-        _, first, inverse = np.unique(_pair_hash(ctx, word), return_index=True, return_inverse=True)
-        c = np.zeros(len(first), np.int64)
-        np.add.at(c, inverse, cnt)
-        return ctx[first], word[first], c, inverse, cnt, sizes
+        first, inverse = _met(_pair_hash(ctx, word))
+        c = np.bincount(inverse, cnt, len(first)).astype(np.int64)
+        return rows, ctx[first], word[first], c, inverse, cnt, sizes
 
     def part(key: tuple, rows: list[dict]) -> Iterator[tuple]:
-        ctx, word, c, inverse, _, sizes = merged(rows)
+        rows, ctx, word, c, inverse, _, sizes = merged(rows)
         unit = -1 - int(key[1])
         yield 0, key[0], unit, _squeeze(ctx), _squeeze(word), _squeeze(c), None
         for x, lo, hi in zip(rows, sizes[:-1], sizes[1:], strict=True):
             yield 1, key[0], x["unit"], _squeeze(inverse[lo:hi]), _squeeze(np.array([key[1]])), None, None
 
     def whole(key: tuple, rows: list[dict]) -> Iterator[tuple]:
-        ctx, word, c, inverse, cnt, sizes = merged(rows)
+        rows, ctx, word, c, inverse, cnt, sizes = merged(rows)
         many = c > 1
         place = np.where(many, np.cumsum(many) - 1, int(many.sum()))
-        yield 0, key[0], None, _squeeze(ctx[many]), _squeeze(word[many]), _squeeze(c[many]), [int((c == 1).sum()), int((c == 2).sum())]
+        ids, of_word, of_ctx = _places(word[many], ctx[many], m.word_bits)
+        at = (_squeeze(ids), _squeeze(of_word), _squeeze(of_ctx))
+        yield 0, key[0], None, _squeeze(ctx[many]), _squeeze(word[many]), _squeeze(c[many]), [int((c == 1).sum()), int((c == 2).sum())], *at
         tell = (c[inverse] > 1) | ((c[inverse] == 1) & (cnt == 0))
         for x, lo, hi in zip(rows, sizes[:-1], sizes[1:], strict=True):
             at = np.flatnonzero(tell[lo:hi])
-            yield 1, key[0], x["unit"], _squeeze(at), _squeeze(place[inverse[lo:hi][at]]), None, None
+            yield 1, key[0], x["unit"], _squeeze(at), _squeeze(place[inverse[lo:hi][at]]), None, None, None, None, None
         single = c == 1
-        for r, idx, as_word, as_ctx in _by_word(word[single], ctx[single], np.ones(int(single.sum()), np.int64), m.word_bits):
-            yield 2, key[0], r, _squeeze(idx), _squeeze(as_word), _squeeze(as_ctx), None
+        for r, idx, as_word, as_ctx in _by_word(*_places(word[single], ctx[single], m.word_bits), None, m.word_bits):
+            yield 2, key[0], r, _squeeze(idx), _squeeze(as_word), _squeeze(as_ctx), None, None, None, None
 
     asks = _cogrouped(blocks, ids, ["block"], send, columns)
     if lots == 1:
-        return stored(_grouped(asks, ["range"], whole, _PAIRS), "pairs"), None
+        return stored(_grouped(asks, ["range"], whole, _PLACED), "pairs"), None
     parts = stored(_grouped(asks, ["range", "lot"], part, _PAIRS), "lots")
-    return stored(_grouped(parts.filter("kind = 0"), ["range"], whole, _PAIRS), "pairs"), parts.filter("kind = 1")
+    return stored(_grouped(parts.filter("kind = 0"), ["range"], whole, _PLACED), "pairs"), parts.filter("kind = 1")
+
+
+def _places(word: np.ndarray, ctx: np.ndarray, bits: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The distinct words of pairs in the order of their ranges, and which of them every pair's word and context are."""
+    both = np.concatenate([word, ctx])
+    place = both >> bits
+    wide = int(place.max()).bit_length() if len(both) else 0
+    ids, inverse = _distinct((both & (1 << bits) - 1) << wide | place, 1 << bits + wide)
+    return (ids >> wide) + ((ids & (1 << wide) - 1) << bits), inverse[: len(word)], inverse[len(word) :]
 
 
-def _by_word(word: np.ndarray, ctx: np.ndarray, t: np.ndarray, bits: int) -> Iterator[tuple]:
-    """Per range of words: places in it, and the sums of t by word and by context."""
-    ids, inverse = np.unique(np.concatenate([word, ctx]), return_inverse=True)
-    as_word = np.bincount(inverse[: len(word)], t, minlength=len(ids)).astype(np.int64)
-    as_ctx = np.bincount(inverse[len(word) :], t, minlength=len(ids)).astype(np.int64)
-    r = ids & (1 << bits) - 1
-    order = np.argsort(r, kind="stable")
-    for k, x, y in _runs(r[order]):
-        o = order[x:y]
-        yield k, ids[o] >> bits, as_word[o], as_ctx[o]
+def _by_word(ids: np.ndarray, of_word: np.ndarray, of_ctx: np.ndarray, t: np.ndarray | None, bits: int) -> Iterator[tuple]:
+    """Per range of words: places in it, and the sums of t (None: one each) by word and by context."""
+    as_word, as_ctx = (np.bincount(x, t, minlength=len(ids)).astype(np.int64) for x in (of_word, of_ctx))
+    for k, x, y in _runs(ids & (1 << bits) - 1):
+        yield k, ids[x:y] >> bits, as_word[x:y], as_ctx[x:y]
 
 
 _SUMS = "range long, idx binary, as_word binary, as_ctx binary"
@@ -612,11 +656,9 @@ def _sweep(pairs: DataFrame, seats: DataFrame | None, state: DataFrame, m: Model
     """One Gibbs sweep over all pairs with two customers or more, given the words' totals of the sweep before; with no seats yet, a first seating."""
 
     def ask(row) -> Iterator[tuple]:
-        ids = np.unique(np.concatenate([_expand(row["word"]), _expand(row["ctx"])]))
-        r = ids & (1 << m.word_bits) - 1
-        order = np.argsort(r, kind="stable")
-        for k, x, y in _runs(r[order]):
-            yield k, _lot(int(row["range"]), lots), int(row["range"]), _squeeze(ids[order[x:y]] >> m.word_bits)
+        ids = _expand(row["ids"])
+        for k, x, y in _runs(ids & (1 << m.word_bits) - 1):
+            yield k, _lot(int(row["range"]), lots), int(row["range"]), _squeeze(ids[x:y] >> m.word_bits)
 
     def reply(key: tuple, held: list[dict], asked: list[dict]) -> Iterator[tuple]:
         if held:
@@ -628,13 +670,9 @@ def _sweep(pairs: DataFrame, seats: DataFrame | None, state: DataFrame, m: Model
     def seat(key: tuple, held: list[dict], got: list[dict]) -> Iterator[tuple]:
         if not held:
             return
-        ctx, word, c = (_expand(held[0][x]) for x in ("ctx", "word", "cnt"))
+        ids, at_word, at_ctx, c = (_expand(held[0][x]) for x in ("ids", "of_word", "of_ctx", "cnt"))
         replies = sorted((x for x in got if x["kind"] == 2), key=lambda x: x["to"])
-        ids = np.unique(np.concatenate([word, ctx]))
-        ids = ids[np.argsort(ids & (1 << m.word_bits) - 1, kind="stable")]
         c0, t0, k = (np.concatenate([np.zeros(0, np.int64), *[_expand(x[y]) for x in replies]]) for y in ("a", "b", "c"))
-        order = np.argsort(ids)
-        at_word, at_ctx = (order[np.searchsorted(ids, x, sorter=order)] for x in (word, ctx))
         rng = m.random(key[0], sweep, 2)
         before = [x for x in got if x["kind"] == 0]
         parent = m.unigram(sweep - 1, c0, t0)[at_word]
@@ -647,11 +685,11 @@ def _sweep(pairs: DataFrame, seats: DataFrame | None, state: DataFrame, m: Model
         others = k[at_ctx] - (t if before else 1)  # before the first seating every pair has one table
         t, sizes = seated(c, t, sizes, np.maximum(others, 0), parent, m.theta[0], m.d[0], rng)
         yield 0, key[0], None, _squeeze(t), _squeeze(sizes), None
-        for r, idx, as_word, as_ctx in _by_word(word, ctx, t, m.word_bits):
+        for r, idx, as_word, as_ctx in _by_word(ids, at_word, at_ctx, t, m.word_bits):
             yield 1, key[0], r, _squeeze(idx), _squeeze(as_word), _squeeze(as_ctx)
 
-    many = pairs.filter("kind = 0")
-    asks = _each(many, ask, "range long, lot int, unit long, idx binary")
+    many = pairs.filter("kind = 0").select("range", "cnt", "ids", "of_word", "of_ctx")
+    asks = _each(many.select("range", "ids"), ask, "range long, lot int, unit long, idx binary")
     got = _cogrouped(_to_lots(state, lots), asks, ["range", "lot"], reply, _SEATS)
     if seats is not None:
         got = got.unionByName(seats.filter("kind = 0"))
@@ -674,12 +712,11 @@ def train(blocks: DataFrame, sweeps: int = 4, seed: int = 7, range_tokens: int =
     m.d = (d0, 0.75)
 
     def one_each(row) -> Iterator[tuple]:
-        word = _expand(row["word"])
-        for r, *sums in _by_word(word, _expand(row["ctx"]), np.ones(len(word), np.int64), m.word_bits):
+        for r, *sums in _by_word(*(_expand(row[x]) for x in ("ids", "of_word", "of_ctx")), None, m.word_bits):
             yield r, int(row["range"]), *map(_squeeze, sums)
 
     # before the first seating every pair has one table
-    first = _each(pairs.filter("kind = 0"), one_each, "range long, from long, idx binary, as_word binary, as_ctx binary")
+    first = _each(pairs.filter("kind = 0").select("range", "ids", "of_word", "of_ctx"), one_each, "range long, from long, idx binary, as_word binary, as_ctx binary")
     state, (c, t, w1, w2) = _reseat_words(start, _added(first, ranges), m, 0)
     m.d = (d0, float(np.clip(w1 / max(w1 + 2 * w2, 1), 0.1, 0.95)))
     m.root.append((c, t))
@@ -743,7 +780,7 @@ def _replies(ids: DataFrame, pairs: DataFrame, links: DataFrame | None, seats: l
     for s in seats:
         s = s.filter("kind = 0")
         got = s if got is None else got.unionByName(s)
-    told = _cogrouped(pairs.filter("kind < 2"), got, ["range"], of_pairs, _REPLY)
+    told = _cogrouped(pairs.filter("kind < 2").select("kind", "range", "unit", "ctx", "word", "cnt"), got, ["range"], of_pairs, _REPLY)
     if links is not None:
         lot_of = F.udf(lambda b: -1 - int(_expand(b)[0]), "long")
         told = _cogrouped(links.withColumn("via", lot_of("word")), told.withColumn("via", F.col("block")), ["range", "via"], relay, _REPLY)

@@ -63,6 +63,40 @@ def test_drawn_tables_follow_the_posterior_from_any_start():
         assert t[3000 * k : 3000 * (k + 1)].mean() == pytest.approx(expected_tables(n, o, p, theta, d), rel=0.04)
 
 
+def test_few_customers_are_drawn_as_many_are(monkeypatch):
+    c, others, parent = (np.tile(x, 4000) for x in ([2, 5, lm_score.FEW], [3, 0, 40], [0.2, 0.3, 1e-3]))
+    means = []
+    for few in (lm_score.FEW, 1):
+        monkeypatch.setattr(lm_score, "FEW", few)
+        t = lm_score.drawn_tables(c, others, parent, 1.0, 0.6, np.random.default_rng(8))
+        assert ((t >= 1) & (t <= c)).all()
+        means.append(t.reshape(-1, 3).mean(0))
+    assert means[0] == pytest.approx(means[1], rel=0.03)
+
+
+def test_distinct_numbers_with_and_without_room_for_places():
+    x = np.array([7, 0, 7, 3, 0], np.int64)
+    for most in (7, 1 << 62):
+        values, inverse = lm_score._distinct(x, most)
+        assert values.tolist() == [0, 3, 7] and inverse.tolist() == [2, 0, 2, 1, 0]
+    first, inverse = lm_score._met(x.astype(np.uint64))
+    assert first.tolist() == [0, 1, 3] and inverse.tolist() == [0, 1, 0, 2, 1]
+    assert [len(y) for y in (*lm_score._distinct(x[:0], 7), *lm_score._met(x[:0]))] == [0] * 4
+
+
+def test_a_range_keeps_where_its_words_are(docs):
+    """Sweeps read these places and sort nothing; the words are in the order of their ranges."""
+    blocks = lm_score.bucketed(lm_score.encode(docs, "doc_id", "text", held_out(F.col("doc_id"), 7, 2)))
+    m, _, pairs, *_ = lm_score.train(blocks, sweeps=1, range_tokens=200)
+    rows = pairs.filter("kind = 0").collect()
+    assert len(rows) > 1
+    for r in rows:
+        ids, word, ctx = (lm_score._expand(x) for x in (r.ids, r.of_word, r.of_ctx))
+        assert ids[word].tolist() == lm_score._expand(r.word).tolist() and ids[ctx].tolist() == lm_score._expand(r.ctx).tolist()
+    ids, word, ctx = lm_score._places(np.array([5, 8, 5, 2]), np.array([8, 7, 5, 2]), 2)
+    assert ids.tolist() == [8, 5, 2, 7] and ids[word].tolist() == [5, 8, 5, 2] and ids[ctx].tolist() == [8, 7, 5, 2]
+
+
 def test_large_dishes_step_beside_drawn_ones():
     rng, c = np.random.default_rng(6), np.array([5, lm_score.DRAWN + 1, 1, 0, lm_score.DRAWN + 7])
     t, sizes = lm_score.seated(c, np.array([1, 1, 1, 0, 1]), c[c > lm_score.DRAWN], np.zeros(5), np.full(5, 0.1), 1.0, 0.5, rng)
