@@ -29,17 +29,25 @@ def transfers(spark: SparkSession, sf_dir: str) -> DataFrame:
     """lineitem and orders as a ledger of 25 assets, ordered within an asset by ``seq``: the month, and the place in it.
 
     Both tables are facts, so neither is broadcast, however small: the join is the same at every size. Orders, by their
-    one key, are hashed within a partition, so neither table is sorted for it.
+    one key, are hashed within a partition, so neither table is sorted for it. What keys, flags and line numbers say is put in
+    small numbers before the join, so rows that are moved for it hold little else unless ``seq`` is asked.
     """
-    li = table(spark, sf_dir, "lineitem").join(table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey").hint("shuffle_hash"), F.col("l_orderkey") == F.col("o_orderkey"))
-    open_, flag = F.col("l_linestatus") == "O", F.col("l_returnflag")
-    sender = F.when(open_ & flag.isin("A", "N"), ZERO).otherwise(address(F.when(F.col("l_linenumber") % 2 == 0, "A").otherwise("a"), F.col("l_suppkey") % 40))
-    to = F.when(open_ & (flag == "R"), DEAD).when(open_ & (flag == "N") & (F.col("l_linenumber") == 7), DEAD).otherwise(address(F.lit("a"), F.col("o_custkey") % 40))
-    place = F.row_number().over(Window.partitionBy(F.col("l_partkey") % 25, F.date_format("l_shipdate", "yyyy-MM")).orderBy(*ORDER))
+    open_, flag, line = F.col("l_linestatus") == "O", F.col("l_returnflag"), F.col("l_linenumber")
+    yes = lambda c: F.when(c, 1).otherwise(0)
+    rows = table(spark, sf_dir, "lineitem").select(
+        *ORDER, (F.col("l_partkey") % 25).alias("asset"), (F.col("l_suppkey") % 40).alias("sender"), F.when(line != 3, F.col("l_extendedprice")).alias("usd"),
+        (yes(open_ & flag.isin("A", "N")) + 2 * yes(open_ & ((flag == "R") | (flag == "N") & (line == 7))) + 4 * yes(line % 2 == 0)).alias("kind"),
+    )
+    buyers = table(spark, sf_dir, "orders").select("o_orderkey", (F.col("o_custkey") % 40).alias("recipient"))
+    li = rows.join(buyers.hint("shuffle_hash"), F.col("l_orderkey") == F.col("o_orderkey"))
+    told = lambda bit: F.col("kind").bitwiseAND(F.lit(bit)) != 0
+    sender = F.when(told(1), ZERO).otherwise(address(F.when(told(4), "A").otherwise("a"), F.col("sender")))
+    to = F.when(told(2), DEAD).otherwise(address(F.lit("a"), F.col("recipient")))
+    place = F.row_number().over(Window.partitionBy("asset", F.date_format("l_shipdate", "yyyy-MM")).orderBy(*ORDER))
     return li.select(
-        uid(F.col("l_partkey")).alias("asset_uid"), F.lit("ledger").alias("source"), F.col("l_shipdate").cast("timestamp").alias("block_time"),
+        uid(F.col("asset")).alias("asset_uid"), F.lit("ledger").alias("source"), F.col("l_shipdate").cast("timestamp").alias("block_time"),
         F.concat(F.lit("0x"), F.col("l_orderkey").cast("string")).alias("tx_hash"), F.col("l_linenumber").cast("long").alias("log_index"), sender.alias("from_address"), to.alias("to_address"),
-        F.col("l_quantity").alias("amount"), F.when(F.col("l_linenumber") != 3, F.col("l_extendedprice")).alias("amount_usd"),
+        F.col("l_quantity").alias("amount"), F.col("usd").alias("amount_usd"),
         F.date_format("l_shipdate", "yyyy-MM").alias("bucket"), F.concat_ws("/", F.date_format("l_shipdate", "yyyy-MM"), F.lpad(place.cast("string"), 12, "0")).alias("seq"),
     )
 

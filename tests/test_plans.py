@@ -1,5 +1,7 @@
 """Physical plans, the stream, and the driver contract."""
 
+import re
+
 import pytest
 
 import __spark_entry__
@@ -90,3 +92,16 @@ def test_logs_are_decoded_without_regular_expressions(spark, name):
 def test_the_ledger_is_joined_without_sorting(spark):
     plan = queries.fx.transfers(spark, SF).select("asset_uid", "block_time", "from_address", "to_address", "amount")._jdf.queryExecution().executedPlan().toString()
     assert "ShuffledHashJoin" in plan and "SortMergeJoin" not in plan and "Broadcast" not in plan
+
+
+@pytest.mark.parametrize("name", ["ls69_concentration"])
+def test_the_join_moves_small_numbers_only(spark, monkeypatch, name):
+    """Not the texts, keys and line numbers that they are made of, nor the prices, which these queries do not ask for."""
+    plans, settle = [], queries.settled
+    monkeypatch.setattr(queries, "settled", lambda rows: plans.append(rows._jdf.queryExecution().optimizedPlan().toString()) or settle(rows))
+    monkeypatch.setattr(queries.fx, "settled", queries.settled)
+    queries.QUERIES[name](spark, SF)
+    plan = next(p for p in plans if "l_orderkey" in p)
+    lines = plan.splitlines()
+    moved = lines[next(k for k, x in enumerate(lines) if "Join Inner" in x and "l_orderkey" in x) + 1]
+    assert set(re.findall(r"(?:\[|, )(l_\w+)#\d+L?(?=, |\])", moved)) == {"l_orderkey", "l_quantity", "l_shipdate"} and "l_extendedprice" not in moved, moved
