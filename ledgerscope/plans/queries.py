@@ -589,7 +589,7 @@ def ls80_trend(spark, sf):
 
 
 def _panel(spark, sf):
-    t = fx.kept_transfers(spark, sf)
+    t = settled(fx.transfers(spark, sf).select("asset_uid", "block_time", "from_address", "to_address", "amount"))
     h = settled(fx.balances(spark, sf, t))
     t = fx.classified(spark, sf, t)
     supply = h.groupBy("asset_uid", "as_of").agg(F.sum("balance").alias("total_supply")).withColumn("source", F.lit("ledger"))

@@ -94,7 +94,7 @@ def test_the_ledger_is_joined_without_sorting(spark):
     assert "ShuffledHashJoin" in plan and "SortMergeJoin" not in plan and "Broadcast" not in plan
 
 
-@pytest.mark.parametrize("name", ["ls69_concentration"])
+@pytest.mark.parametrize("name", ["ls69_concentration", "ls83_participation", "ls87_figures"])
 def test_the_join_moves_small_numbers_only(spark, monkeypatch, name):
     """Not the texts, keys and line numbers that they are made of, nor the prices, which these queries do not ask for."""
     plans, settle = [], queries.settled
