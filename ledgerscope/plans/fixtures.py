@@ -25,21 +25,24 @@ def uid(number: Column) -> Column:
     return F.concat(F.lit("tpch:0x"), F.lpad((number % 25).cast("string"), 40, "0"))
 
 
-def transfers(spark: SparkSession, sf_dir: str) -> DataFrame:
+def transfers(spark: SparkSession, sf_dir: str, narrow: bool = True) -> DataFrame:
     """lineitem and orders as a ledger of 25 assets, ordered within an asset by ``seq``: the month, and the place in it.
 
     Both tables are facts, so neither is broadcast, however small: the join is the same at every size. Orders, by their
     one key, are hashed within a partition, so neither table is sorted for it. What keys, flags and line numbers say is put in
-    small numbers before the join, so rows that are moved for it hold little else unless ``seq`` is asked.
+    small numbers before the join, so rows that are moved for it hold little else. For ``seq`` the rows are moved as they are, which
+    it orders by: with ``narrow`` false the numbers are made after the join.
     """
     open_, flag, line = F.col("l_linestatus") == "O", F.col("l_returnflag"), F.col("l_linenumber")
     yes = lambda c: F.when(c, 1).otherwise(0)
-    rows = table(spark, sf_dir, "lineitem").select(
-        *ORDER, (F.col("l_partkey") % 25).alias("asset"), (F.col("l_suppkey") % 40).alias("sender"), F.when(line != 3, F.col("l_extendedprice")).alias("usd"),
+    numbers = [
+        (F.col("l_partkey") % 25).alias("asset"), (F.col("l_suppkey") % 40).alias("sender"), F.when(line != 3, F.col("l_extendedprice")).alias("usd"),
         (yes(open_ & flag.isin("A", "N")) + 2 * yes(open_ & ((flag == "R") | (flag == "N") & (line == 7))) + 4 * yes(line % 2 == 0)).alias("kind"),
-    )
+    ]
+    rows = table(spark, sf_dir, "lineitem")
     buyers = table(spark, sf_dir, "orders").select("o_orderkey", (F.col("o_custkey") % 40).alias("recipient"))
-    li = rows.join(buyers.hint("shuffle_hash"), F.col("l_orderkey") == F.col("o_orderkey"))
+    li = (rows.select(*ORDER, *numbers) if narrow else rows).join(buyers.hint("shuffle_hash"), F.col("l_orderkey") == F.col("o_orderkey"))
+    li = li if narrow else li.select("*", *numbers)
     told = lambda bit: F.col("kind").bitwiseAND(F.lit(bit)) != 0
     sender = F.when(told(1), ZERO).otherwise(address(F.when(told(4), "A").otherwise("a"), F.col("sender")))
     to = F.when(told(2), DEAD).otherwise(address(F.lit("a"), F.col("recipient")))
@@ -54,7 +57,7 @@ def transfers(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def kept_transfers(spark: SparkSession, sf_dir: str, *more: str) -> DataFrame:
     """The transfers for queries that use them several times, joined (and with ``seq`` ordered) once: their columns for measures, and ``more``."""
-    return settled(transfers(spark, sf_dir).select("asset_uid", "source", "block_time", "from_address", "to_address", "amount", "amount_usd", *more))
+    return settled(transfers(spark, sf_dir, "seq" not in more).select("asset_uid", "source", "block_time", "from_address", "to_address", "amount", "amount_usd", *more))
 
 
 def lists(spark: SparkSession) -> tuple[DataFrame, DataFrame]:

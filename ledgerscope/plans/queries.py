@@ -287,7 +287,7 @@ SELECT * FROM r WHERE seq > 0)"""
 
 def _ordered(spark, sf):
     """What a replay reads of the transfers, joined and ordered once."""
-    return settled(fx.transfers(spark, sf).select("asset_uid", "from_address", "to_address", "amount", "bucket", "seq"))
+    return settled(fx.transfers(spark, sf, False).select("asset_uid", "from_address", "to_address", "amount", "bucket", "seq"))
 
 
 @query(f"""SELECT t.asset_uid, window_id || '/' || lpad(CAST(t.seq - min(t.seq) OVER (PARTITION BY t.asset_uid, window_id) + 1 AS VARCHAR), 12, '0') AS seq, t.amount, r.dropped FROM t JOIN {_REPLAYED} r ON r.asset_uid = t.asset_uid AND r.seq = t.seq""")

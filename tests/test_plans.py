@@ -105,3 +105,9 @@ def test_the_join_moves_small_numbers_only(spark, monkeypatch, name):
     lines = plan.splitlines()
     moved = lines[next(k for k, x in enumerate(lines) if "Join Inner" in x and "l_orderkey" in x) + 1]
     assert set(re.findall(r"(?:\[|, )(l_\w+)#\d+L?(?=, |\])", moved)) == {"l_orderkey", "l_quantity", "l_shipdate"} and "l_extendedprice" not in moved, moved
+
+
+def test_rows_in_order_are_moved_once(spark):
+    """Where the whole rows are moved for ``seq``, the numbers made of them are not moved beside them."""
+    plan = queries.fx.transfers(spark, SF, False).select("asset_uid", "from_address", "amount", "seq")._jdf.queryExecution().optimizedPlan().toString()
+    assert "asset#" not in plan[plan.index("Join Inner") :] and "kind#" not in plan[plan.index("Join Inner") :]
